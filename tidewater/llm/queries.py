@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import mixing, sharding
+from tidewater.llm import html_text, mixing, pii, sharding, url_filter
 from tidewater.llm.sql import ORACLES
 
 SHARDS = 40
@@ -16,6 +16,25 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_term")
+
+
+def op2_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    text = html_text.extract(F.col("html"))
+    return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is good if the label row of its number says quality 1 and toxic 0."""
+    labels = _read(spark, sf_dir, "labels")
+    outcome = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    out = url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), labels.select(F.col("doc_id").alias("id"), outcome.alias("good")))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -30,6 +49,9 @@ def op9_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_disclosure": op1_pii_disclosure,
+        "op2_html_tree_scoring": op2_html_tree_scoring,
+        "op3_host_reputation": op3_host_reputation,
         "op8_feistel_sharding": op8_feistel_sharding,
         "op9_fair_queue_mixing": op9_fair_queue_mixing,
     }

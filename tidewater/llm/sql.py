@@ -52,4 +52,32 @@ mixed AS (SELECT *, sum(size) OVER (ORDER BY f, rk, k ROWS UNBOUNDED PRECEDING)
 times AS (SELECT rk, k, count(*) AS times FROM mixed WHERE total <= (SELECT sum(size) FROM rows) GROUP BY rk, k)
 SELECT doc_id, size, source_size, target, CAST(size * coalesce(times, 0) AS BIGINT) AS taken FROM queue LEFT JOIN times USING (rk, k)"""
 
-ORACLES = {"op8_feistel_sharding": OP8, "op9_fair_queue_mixing": OP9}
+OP3 = r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(rule, verdict) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+ruled AS (
+  SELECT p.*, (SELECT arg_max((rule, verdict), length(rule)) FROM rules WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/')))) AS r
+  FROM parts p),
+outcomes AS (SELECT host, CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END AS good FROM parts LEFT JOIN labels ON page_id = doc_id),
+hosts AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS g, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*\.)?[^.]*$') AS domain FROM outcomes GROUP BY host),
+domains AS (SELECT domain, regexp_extract(domain, '[^.]*$') AS suffix, sum(n) AS n, sum(g) AS g FROM hosts GROUP BY domain),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM domains GROUP BY suffix),
+every AS (SELECT sum(n) AS n, sum(g) AS g, (sum(g) + 1) / (sum(n) + 2) AS prior FROM suffixes),
+s0 AS (SELECT c.*, p.n AS pn, p.g AS pg, p.prior AS up FROM suffixes c, every p),
+s1 AS (SELECT suffix, n, g, (g + w * up) / (n + w) AS prior FROM s0, (WEIGHT s0)),
+d0 AS (SELECT c.*, p.n AS pn, p.g AS pg, p.prior AS up FROM domains c JOIN s1 p USING (suffix)),
+d1 AS (SELECT domain, n, g, (g + w * up) / (n + w) AS prior FROM d0, (WEIGHT d0)),
+h0 AS (SELECT c.*, p.n AS pn, p.g AS pg, p.prior AS up FROM hosts c JOIN d1 p USING (domain)),
+h1 AS (SELECT host, (g + w * up) / (n + w) AS m, n + w AS ab FROM h0, (WEIGHT h0))
+SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN m + 1.645 * sqrt(m * (1 - m) / (ab + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN h1 USING (host)"""
+_WEIGHT = """SELECT CASE WHEN coalesce(free, 0) = 0 THEN 2.0 WHEN dev <= expected THEN 1e6 ELSE least(1e6, greatest(2.0, noise * free / (dev - expected) - 1)) END AS w
+  FROM (SELECT sum(n * (g / n - pg / pn) ** 2) AS dev, sum(pg / pn * (1 - pg / pn) * (1 - n / pn)) AS expected, sum(n - n * n / pn) AS free, sum(pg / pn * (1 - pg / pn) * n) / sum(n) AS noise
+    FROM {} WHERE n > 0)"""
+for _level in ("s0", "d0", "h0"):
+    OP3 = OP3.replace(f"WEIGHT {_level}", _WEIGHT.format(_level))
+
+ORACLES = {"op3_host_reputation": OP3, "op8_feistel_sharding": OP8, "op9_fair_queue_mixing": OP9}

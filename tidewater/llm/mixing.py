@@ -25,7 +25,7 @@ from tidewater.sources.scratch import materialize
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 20_000  # source tables beyond this many rows are joined by a shuffle
-SLICE_ROWS = 4_000  # aim for this many rows of the largest source in a slice
+SLICE_ROWS = 500  # aim for this many rows of the largest source in a slice
 
 
 def word_count(text: Column) -> Column:

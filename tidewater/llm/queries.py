@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import html_text, mixing, pii, sharding, url_filter
+from tidewater.llm import decontaminate, html_text, mixing, pii, sharding, spotsigs, url_filter
 from tidewater.llm.sql import ORACLES
 
 SHARDS = 40
@@ -35,6 +35,15 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item, with each such item."""
+    return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_likeness(_read(spark, sf_dir, "documents"))
+
+
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -52,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii_disclosure": op1_pii_disclosure,
         "op2_html_tree_scoring": op2_html_tree_scoring,
         "op3_host_reputation": op3_host_reputation,
+        "op4_string_tiling": op4_string_tiling,
+        "op6_spotsigs": op6_spotsigs,
         "op8_feistel_sharding": op8_feistel_sharding,
         "op9_fair_queue_mixing": op9_fair_queue_mixing,
     }

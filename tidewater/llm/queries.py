@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, html_text, mixing, pii, sharding, spotsigs, url_filter
+from tidewater.llm import decontaminate, html_text, jaccard_join, mixing, pii, sharding, spotsigs, url_filter
 from tidewater.llm.sql import ORACLES
 
 SHARDS = 40
@@ -40,6 +40,10 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_read(spark, sf_dir, "documents"))
+
+
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_likeness(_read(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_tree_scoring": op2_html_tree_scoring,
         "op3_host_reputation": op3_host_reputation,
         "op4_string_tiling": op4_string_tiling,
+        "op5_signature_tree_join": op5_signature_tree_join,
         "op6_spotsigs": op6_spotsigs,
         "op8_feistel_sharding": op8_feistel_sharding,
         "op9_fair_queue_mixing": op9_fair_queue_mixing,

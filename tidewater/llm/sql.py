@@ -80,4 +80,16 @@ _WEIGHT = """SELECT CASE WHEN coalesce(free, 0) = 0 THEN 2.0 WHEN dev <= expecte
 for _level in ("s0", "d0", "h0"):
     OP3 = OP3.replace(f"WEIGHT {_level}", _WEIGHT.format(_level))
 
-ORACLES = {"op3_host_reputation": OP3, "op8_feistel_sharding": OP8, "op9_fair_queue_mixing": OP9}
+OP5 = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM texts),
+elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS i FROM elements x JOIN elements y USING (e) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+  WHERE 100 * i >= 80 * (na + nb - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, len(s) AS n_shingles, c AS component_id FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON s.doc_id = a"""
+
+ORACLES = {"op5_signature_tree_join": OP5, "op3_host_reputation": OP3, "op8_feistel_sharding": OP8, "op9_fair_queue_mixing": OP9}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, html_text, jaccard_join, mixing, pii, sharding, spotsigs, url_filter
+from tidewater.llm import decontaminate, html_text, jaccard_join, mixing, pii, sharding, spotsigs, toxicity, url_filter
 from tidewater.llm.sql import ORACLES
 
 SHARDS = 40
@@ -48,6 +48,14 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_likeness(_read(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(toxicity.remainder(F.col("doc_id"), 3) != 1))
+    held_out = F.coalesce(toxicity.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    out = toxicity.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -68,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_string_tiling": op4_string_tiling,
         "op5_signature_tree_join": op5_signature_tree_join,
         "op6_spotsigs": op6_spotsigs,
+        "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
         "op8_feistel_sharding": op8_feistel_sharding,
         "op9_fair_queue_mixing": op9_fair_queue_mixing,
     }

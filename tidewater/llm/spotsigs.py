@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -95,9 +96,7 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN, text_col: str = "text") ->
     """``docs`` with ``fingerprint`` (hex of the sorted signatures) and ``signatures`` (their number)."""
 
     @F.pandas_udf("string")
-    def make(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([text_of(x) for x in signatures(pa.array(s, pa.large_string(), from_pandas=True), chain)], dtype=object)
 

@@ -81,6 +81,19 @@ def window(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def pieces(texts: pa.Array | pa.ChunkedArray, plain: bool = False, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, index of each row's first word and the end) for stretches of rows; null is empty."""
+    for lo, hi, part, at in _stretches(texts, size):
+        yield (lo, hi, *_words(part, at, plain))
+
+
+def spelled(texts: pa.Array | pa.ChunkedArray, plain: bool = False, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``pieces``, with the stretch's bytes (A-Z as a-z) and each word's first and end byte between."""
+    for lo, hi, part, at in _stretches(texts, size):
+        h, starts, ends = _spans(part, at, plain)
+        yield lo, hi, np.where((part >= 65) & (part <= 90), part + np.uint8(32), part), starts, ends, h, np.searchsorted(starts, at)
+
+
+def _stretches(texts: pa.Array | pa.ChunkedArray, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, where each row begins in them and the end), about ``size`` bytes at a time."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -96,13 +109,19 @@ def pieces(texts: pa.Array | pa.ChunkedArray, plain: bool = False, size: int = P
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        yield (lo, hi, *_words(part, at, plain))
+        yield lo, hi, part, at
         lo = hi
 
 
 def _words(data: np.ndarray, at: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    h, starts, _ = _spans(data, at, plain)
+    return h, np.searchsorted(starts, at)
+
+
+def _spans(data: np.ndarray, at: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of each word."""
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(at), np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     word = ~_separators(plain)[data]
     edge = np.zeros(len(data) + 1, bool)  # a text begins here
     edge[at] = True
@@ -112,8 +131,7 @@ def _words(data: np.ndarray, at: np.ndarray, plain: bool) -> tuple[np.ndarray, n
     here[-1], here[:-1] = False, word
     starts = np.flatnonzero(here & (~before | edge))
     ends = np.flatnonzero(before & (~here | edge))
-    h = mixed(window(running(_byte_values()[data]), starts, ends))
-    return h, np.searchsorted(starts, at)
+    return mixed(window(running(_byte_values()[data]), starts, ends)), starts, ends
 
 
 def hashed(words: list[str], plain: bool = False) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, html_text, jaccard_join, mixing, pii, sharding, spotsigs, toxicity, url_filter
+from tidewater.llm import decontaminate, html_text, jaccard_join, katz, mixing, pii, sharding, spotsigs, toxicity, url_filter
 from tidewater.llm.sql import ORACLES
 
 SHARDS = 40
@@ -68,6 +68,10 @@ def op9_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_read(spark, sf_dir, "documents"))
 
 
+def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(_read(spark, sf_dir, "documents"), toxicity.remainder(F.col("doc_id"), 7) == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_disclosure": op1_pii_disclosure,
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
         "op8_feistel_sharding": op8_feistel_sharding,
         "op9_fair_queue_mixing": op9_fair_queue_mixing,
+        "op10_katz_backoff": op10_katz_backoff,
     }
 
 

@@ -27,7 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewater.llm import words
 from tidewater.llm.components import components
@@ -353,3 +353,27 @@ def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     named = nodes.join(least, "component").select("v", "component_id")
     out = every.join(named, "v", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component (smallest id, then set name; null ids last); empty texts all stay.
+
+    The decisions are narrow rows; the texts are shuffled once, to meet them.
+    """
+    every, labels = link(docs, k, percent)
+    text_id = lambda: F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rows = every.where("n > 0").join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    keep = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "v")).alias("k")).select("k.doc_id", "k.v")
+    keep = keep.select(text_id().alias("_keep_id"), F.col("v").alias("_keep_v"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(s.name.view(np.int64), np.diff(s.at)) for _, _, s in sets_of(b.column(b.schema.get_field_index("text")), k)]
+            v, n = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v), pa.array(n)], [*b.schema.names, "_keep_v", "_keep_n"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_keep_v", T.LongType()), T.StructField("_keep_n", T.LongType())])
+    named = docs.mapInArrow(name, schema).withColumn("_keep_id", text_id())
+    met = named.join(keep.withColumn("_keep", F.lit(True)), ["_keep_id", "_keep_v"], "left").where(F.col("_keep") | (F.col("_keep_n") == 0))
+    met = met.withColumn("_keep_row", F.when(F.col("_keep_n") == 0, F.monotonically_increasing_id()))
+    return met.dropDuplicates(["_keep_id", "_keep_v", "_keep_row"]).select(*docs.columns)

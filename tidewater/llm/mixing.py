@@ -114,13 +114,12 @@ def _cut(queued: DataFrame, budget: int, slices: int, max_repeats: int):
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, with ``mix_pass`` and ``virtual_finish``, sorted by finish time."""
-    given = docs.columns
-    rows = docs.withColumns({"source": F.col(source_col), "size": word_count(F.col(text_col)), "_key": queue_key(seed, id_col, text_col), "_tie": F.xxhash64(text_col)})
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), queue_key(seed, id_col, text_col).alias("_key"), F.xxhash64(text_col).alias("_tie"))
     queued, taken = fair_queue(rows, max_repeats, weights)
     entries = queued.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).where(taken(F.col("_pass")) & ((F.col("size") > 0) | (F.col("_pass") == 0)))
-    out = entries.withColumns({"mix_pass": F.col("_pass"), "virtual_finish": finish_time(F.col("_pass"))})
-    keep = [c for c in given if c not in ("mix_pass", "virtual_finish")]
-    return out.orderBy("virtual_finish", "source_rank", "_key").select(*keep, "mix_pass", "virtual_finish")
+    ordered = entries.withColumn("_finish", finish_time(F.col("_pass"))).orderBy("_finish", "source_rank", "_key")
+    keep = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("mix_pass", "virtual_finish")]
+    return ordered.select(*keep, F.col("_pass").alias("mix_pass"), F.col("_finish").alias("virtual_finish"))
 
 
 def taken_words(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3) -> DataFrame:

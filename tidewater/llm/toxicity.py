@@ -22,7 +22,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewater.llm import words
 
@@ -221,16 +221,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, types: int = T
     return model._replace(curve=curve(np.column_stack([seen["mean"].to_numpy(), seen["top"].to_numpy()]), seen["toxic"].to_numpy()))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity``, from the text alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def score(text: Column, model: Model) -> Column:
+    """Score of a column of texts, from the text alone."""
+    sent = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(sent.value.scores(sent.value.evidence(pa.array(s, pa.large_string(), from_pandas=True))))
 
-    return docs.withColumn("toxicity", score(F.col(text_col)))
+    return run(text)
 
 
 def remainder(id_col: Column, by: int) -> Column:

@@ -22,6 +22,7 @@ from tidewater.sources.scratch import scratch_path
 
 START, END, TOTAL, TASK_ID, SEED = "2024-01-03", "2024-01-20", 1000, 1, "0"
 PROFESSIONALS, CITIES, KEYWORDS, CATEGORIES = ("BUILDING", "FURNITURE", "MACHINERY"), ("NATION_1", "NATION_2"), ("kw1", "kw2"), (5, 7)
+ALL_CITIES, ALL_KEYWORDS, ALL_CATEGORIES = tuple(f"NATION_{i}" for i in range(15)), tuple(f"kw{i}" for i in range(8)), tuple(range(80))
 TASK_PARAM = '{"startDate":["2024-01-03"],"endDate":["2024-01-20"],"startAge":["20"],"endAge":["60"],"professionals":["BUILDING,FURNITURE,MACHINERY"],"keywords":["kw1,kw2"]}'
 
 
@@ -85,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filter_sex": _filtered(sex="male"),
         "filter_keywords": _filtered(keywords=KEYWORDS),
         "filter_categories": _filtered(category_ids=CATEGORIES),
-        "filter_all": _filtered(start_age=20, end_age=60, professionals=PROFESSIONALS, cities=CITIES, sex="male", keywords=KEYWORDS, category_ids=CATEGORIES),
+        "filter_all": _filtered(start_age=20, end_age=60, professionals=PROFESSIONALS, cities=ALL_CITIES, sex="male", keywords=ALL_KEYWORDS, category_ids=ALL_CATEGORIES),
         "sessions_per_hour": lambda s, d: sessions_per_hour(_sessions(s, d)),
         "sessions_per_day": lambda s, d: sessions_per_day(_sessions(s, d)),
         "visit_length_histogram": lambda s, d: visit_length_histogram(_sessions(s, d)),
@@ -177,7 +178,7 @@ def oracle_sql() -> dict[str, str]:
         "session_user_join": f"{base} {_OUT}",
         "session_count": f"{base} SELECT count(*) AS session_count FROM sessions",
         **{k: f"{base} {_OUT} WHERE {w}" for k, w in where.items()},
-        "filter_all": f"{base} {_OUT} WHERE {' AND '.join(where.values())}",
+        "filter_all": f"{base} {_OUT} WHERE {where['filter_age']} AND {where['filter_professional']} AND {where['filter_sex']} AND city IN {ALL_CITIES} AND list_has_any(kws, {list(ALL_KEYWORDS)}) AND list_has_any(cats, {list(ALL_CATEGORIES)})",
         "sessions_per_hour": f"{base}{_HOURS} SELECT * FROM hours",
         "sessions_per_day": f"{base}{_HOURS} SELECT date, CAST(sum(n) AS BIGINT) AS n FROM hours GROUP BY date",
         "visit_length_histogram": f"{base} SELECT {', '.join(_histogram('visit_length', VISIT_BUCKETS))} FROM sessions",

@@ -30,12 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.llm import words
+from tidewater.llm.session import bounded_batches
 from tidewater.sources.scratch import materialize
 
 TOP = 5  # counts up to this are discounted by Good-Turing
 BIG = 0.995  # the discount above, so that every history keeps something for unseen words
 START, END = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5A)
-FLUSH = 2_000_000  # tokens in a batch
+FLUSH = 1_000_000  # tokens in a batch
 BUCKET = 3_000_000  # tokens in a bucket, about
 LEAST_BUCKETS = 12
 SAMPLE = 20_000  # documents from which hot words and pairs are guessed
@@ -152,7 +153,9 @@ def deal(docs: DataFrame, held_out: Column, hot: Hot, buckets: int) -> DataFrame
     """Blocks of pairs by bucket (``DEALT``), of hot pairs' shares (``LOCAL``) and of the documents themselves (``ROWS``) by batch."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def flush(batch: int, ids: list, held: np.ndarray, w: np.ndarray, before: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    def flush(batch: int, ids: list, held: np.ndarray, parts: list) -> Iterator[tuple[int, int, int, bytes]]:
+        w, before, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        parts.clear()
         hot = sent.value
         n = len(held)
         home = home_of(batch, buckets)
@@ -166,10 +169,14 @@ def deal(docs: DataFrame, held_out: Column, hot: Hot, buckets: int) -> DataFrame
             yield LOCAL, batch, home, own.block()
             w, before, d, pair = w[~is_hot], before[~is_hot], d[~is_hot], pair[~is_hot]
         by = np.where(find(hot.word, w)[0], pair, w)
-        bucket = ((by >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        del pair
         order = np.argsort(by)
-        w, before, d, bucket = w[order], before[order], d[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        w, before, d, by = w[order], before[order], d[order], by[order]
+        del order
+        by >>= np.uint64(32)
+        by *= np.uint64(buckets)
+        by >>= np.uint64(32)
+        cuts = np.searchsorted(by, np.arange(buckets + 1, dtype=np.uint64))
         bits = np.packbits(held)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[b], cuts[b + 1])
@@ -180,23 +187,21 @@ def deal(docs: DataFrame, held_out: Column, hot: Hot, buckets: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        ids, held, parts, size = [], [], [], 0
         for b in batches:
-            ids, held = b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
-            lo, size, parts = 0, 0, []
-
-            def out(hi: int) -> pa.RecordBatch:
-                w, before, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
-                return batch_of(list(flush(number, ids[lo:hi], held[lo:hi], w, before, d - lo)))
-
-            for first, end, w, before, at in tokens(b.column(1)):
-                parts.append((w, before, np.repeat(np.arange(first, end), np.diff(at))))
+            names, flags = b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
+            for lo, hi, w, before, at in tokens(b.column(1)):
+                parts.append((w, before, np.repeat(np.arange(len(ids), len(ids) + hi - lo, dtype=np.int32), np.diff(at))))
+                ids += names[lo:hi]
+                held.append(flags[lo:hi])
                 size += len(w)
                 if size >= FLUSH:
-                    yield out(end)
-                    lo, size, parts, number = end, 0, [], number + 1
-            if parts:
-                yield out(b.num_rows)
-                number += 1
+                    for row in flush(number, ids, np.concatenate(held), parts):
+                        yield batch_of([row])
+                    ids, held, parts, size, number = [], [], [], 0, number + 1
+        if ids:
+            for row in flush(number, ids, np.concatenate(held), parts):
+                yield batch_of([row])
 
     return docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held")).mapInArrow(run, SCHEMA)
 
@@ -204,37 +209,43 @@ def deal(docs: DataFrame, held_out: Column, hot: Hot, buckets: int) -> DataFrame
 def score_bucket(blocks: list[tuple[int, list[np.ndarray]]], hot: Hot, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
     """All that follows from one bucket's pairs."""
     w, before, doc, held, start = [], [], [], [], [0]
+    batches = [b for b, _ in blocks]
     for _, (names, count, hi, d, bits) in blocks:
         w.append(np.repeat(names, count))
         before.append(names[hi])
-        doc.append(d.astype(np.int64) + start[-1])
+        doc.append(d.astype(np.int32) + np.int32(start[-1]))
         flags = np.unpackbits(bits).astype(bool)
         held.append(flags)
         start.append(start[-1] + len(flags))
-    w, before, doc, held = (np.concatenate(x) for x in (w, before, doc, held))
+    blocks.clear()
+    w, before, doc, held = np.concatenate(w), np.concatenate(before), np.concatenate(doc), np.concatenate(held)
     train = ~held[doc]
     names, which = np.unique(w, return_inverse=True)
     c_of = np.bincount(which[train], minlength=len(names))
     is_hot, at = find(hot.word, names)
     c_of[is_hot] = hot.word_count[at[is_hot]]
     own = c_of[~is_hot]
-    _, one, by_pair = np.unique(pair_of(before, w), return_index=True, return_inverse=True)
+    c, end, pair = c_of[which], w == END, pair_of(before, w)
+    del w, which
+    _, one, by_pair = np.unique(pair, return_index=True, return_inverse=True)
+    del pair
     r_of = np.bincount(by_pair[train], minlength=len(one))
-    c, r = c_of[which], r_of[by_pair]
+    r = r_of[by_pair]
+    del by_pair, train
 
     # counts of counts: words (hot ones are counted elsewhere), pairs; words known
     tally = lambda x: np.bincount(np.minimum(x[x > 0], TOP + 2), minlength=TOP + 3)
     yield STATS, 0, 0, pack(tally(own), tally(r_of), np.array([(own > 0).sum()]))
 
-    for i, (batch, _) in enumerate(blocks):
+    for i, batch in enumerate(batches):
         a, b = np.searchsorted(doc, (start[i], start[i + 1]))
         shares = Shares(start[i + 1] - start[i])
-        shares.add(doc[a:b] - start[i], w[a:b] == END, c[a:b], r[a:b])
+        shares.add(doc[a:b].astype(np.int64) - start[i], end[a:b], c[a:b], r[a:b])
         yield LOCAL, batch, home_of(batch, buckets), shares.block()
 
     # by history: pairs by class of r, the sum of larger r, words by class of c, the sum of larger c
     seen = np.flatnonzero(r_of > 0)
-    h, rs, cs = before[one[seen]], r_of[seen], c_of[which[one[seen]]]
+    h, rs, cs = before[one[seen]], r_of[seen], c[one[seen]]
     yield from histories(h, rs, cs, buckets)
 
     need = np.flatnonzero(r == 0)
@@ -243,7 +254,7 @@ def score_bucket(blocks: list[tuple[int, list[np.ndarray]]], hot: Hot, buckets:
     need, part = need[order], part[order]
     cuts = np.searchsorted(part, np.arange(buckets + 1, dtype=np.uint64))
     first = np.array(start)
-    batches = np.array([b for b, _ in blocks], np.int64)
+    batches = np.array(batches, np.int64)
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         x = need[cuts[p] : cuts[p + 1]]
         source = np.searchsorted(first, doc[x], "right") - 1
@@ -408,6 +419,7 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     ``docs`` (doc_id, text) is read three times and a sample of it twice: it should be a stored table.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     held_out = F.coalesce(held_out, F.lit(False))
     hot, train_docs, size = _hot(docs, ~held_out)
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewater.llm import words
+from tidewater.llm.session import bounded_batches
 
 SEED = 5
 COVERAGE = 0.5
@@ -134,6 +135,7 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, seed: int) -> Ite
 
 def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, coverage, matched_words, tiles) for every document and item with at least ``coverage``."""
+    bounded_batches(docs.sparkSession)
     kind = dict(benchmark.dtypes)[item_col]
     own = dict(docs.dtypes)[id_col]
     schema = T._parse_datatype_string(f"doc_id {own}, item_id {kind}, coverage double, matched_words long, tiles int")
@@ -156,6 +158,7 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``docs`` without the documents that cover an item."""
+    bounded_batches(docs.sparkSession)
     for index in _indexes(benchmark, item_col, "text", seed):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidewater.llm.session import bounded_batches
 from tidewater.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -180,6 +181,7 @@ def _marker(terms: frozenset):
 
 def find(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """``docs`` with n_email, n_ip, n_card, n_phone, base_spans, spans (those and the terms'), n_term."""
+    bounded_batches(docs.sparkSession)
     terms = disclosing_terms(docs) if terms is None else terms
     made = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "n_term")
     out = docs.drop(*made)

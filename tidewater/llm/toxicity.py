@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewater.llm import words
+from tidewater.llm.session import bounded_batches
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -194,6 +195,7 @@ def sample_of(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, types: int = TYPES) -> Model:
     """Models and curve from labelled rows (doc_id, toxic). The sample bounds the broadcast of ids and all that reaches the driver."""
+    bounded_batches(docs.sparkSession)
     ids = sample_of(labels, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("kept"))

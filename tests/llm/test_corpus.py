@@ -1,0 +1,291 @@
+"""Operators on whole corpora: Jaccard join, sharding, mixing, language model, pipeline."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from brute_katz import brute, lower
+from pyspark.sql import functions as F
+
+from tidewater.llm import jaccard_join, katz, mixing, sharding, toxicity
+from tidewater.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, component string"
+EDGES = [(None, None), (None, ""), (1, ""), (1, ""), (2, "word"), (2, "word"), (3, " \n\t "), (4, "a " * 30000), (6, None), (None, "same words here"), (None, "same words here")]
+
+
+def docs(spark, rows, source=lambda i: None if i is None else f"s{i % 3}"):
+    return spark.createDataFrame([(i, t, "en", source(i), None, "x", "y", "z") for i, t in rows], DOCS)
+
+
+def shingle_set(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def brute_classes(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                parent[root(i)] = root(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[root(i)].append(rows[i][0])
+    least = {g: min((x for x in ids if x is not None), default=None) for g, ids in groups.items()}
+    return [(rows[i][0], len(sets[i]), least[root(i)] if sets[i] else rows[i][0]) for i in range(len(rows))]
+
+
+def families(seed, n=14):
+    """Chains and clusters of edited texts, shared passages, sets at the border of the threshold."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    passage = [word() for _ in range(30)]
+    out = []
+    for _ in range(n):
+        ws = [word() for _ in range(rng.choice((3, 8, 24, 60, 120)))]
+        if rng.random() < 0.5:
+            ws += passage
+        for _ in range(rng.randint(1, 9)):
+            out.append(" ".join(ws))
+            if rng.random() < 0.8:  # drift: each from the one before, so the ends of a chain may not link directly
+                ws = list(ws)
+                for _ in range(rng.randint(0, 3)):
+                    ws[rng.randrange(len(ws))] = word()
+                if rng.random() < 0.4:
+                    ws += [word() for _ in range(rng.randint(1, max(1, len(ws) // 5)))]
+    rng.shuffle(out)
+    return [(i * 7 % 1009, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 256), (2, 2), (3, 3)])
+def test_classes_equal_brute_force(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = families(seed) + (EDGES if seed == 1 else [])
+    got = [tuple(r) for r in jaccard_join.classes(docs(spark, rows)).collect()]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(got, key=key) == sorted(brute_classes(rows), key=key)
+
+
+def test_classes_when_sets_meet_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SENT", 0)
+    monkeypatch.setattr(jaccard_join, "PER_TASK", 2)
+    rows = families(4)
+    assert sorted(tuple(r) for r in jaccard_join.classes(docs(spark, rows)).collect()) == sorted(brute_classes(rows))
+
+
+def test_tree_walk_loses_no_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        base = [rng.integers(1, 1 << 63, int(rng.integers(5, 300)), dtype=np.uint64) for _ in range(6)]
+        sets = []
+        for _ in range(60):
+            b = base[rng.integers(6)]
+            keep = b[rng.random(len(b)) < rng.choice([0.8, 0.9, 0.97, 1.0])]
+            sets.append(np.unique(np.concatenate((keep, rng.integers(1, 1 << 63, int(rng.integers(0, 1 + len(b) // 8)), dtype=np.uint64)))))
+        sets = [s for s in sets if len(s)]
+        v, n = np.arange(len(sets)), np.array([len(s) for s in sets])
+        bits = [jaccard_join.bitmap(s) for s in sets]
+        half = len(sets) // 2
+        whole = jaccard_join.Tree(v, n, v, bits)
+        x, y = jaccard_join.Tree(v[:half], n[:half], v[:half], bits[:half]), jaccard_join.Tree(v[half:], n[half:], v[half:], bits[half:])
+        links = {(i, j) for i in v for j in v if i < j and jaccard_join.linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j])), 80)}
+        assert links <= {tuple(sorted(p)) for p in jaccard_join.walk(whole, whole, 80)}
+        assert {p for p in links if p[0] < half <= p[1]} <= {tuple(sorted(p)) for p in jaccard_join.walk(x, y, 80)}
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, 100 + i) for i in range(1, 30)]
+    edges = spark.createDataFrame([*chain, *star, (100, 101), (300, 300)], "a long, b long")
+    got = dict(map(tuple, components(edges).collect()))
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+
+
+def test_deduplicated(spark):
+    rows = families(6) + EDGES
+    got = jaccard_join.deduplicated(docs(spark, rows))
+    assert got.columns == docs(spark, []).columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    # one row of each component, all texts without words
+    assert sum(kept.values()) == sum(not shingle_set(t) for _, t in rows) + len({c if c is not None else ("null", t) for (_, t), (_, n, c) in zip(rows, brute_classes(rows), strict=True) if n})
+    assert jaccard_join.deduplicated(docs(spark, [])).count() == 0
+
+
+# sharding
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 500])
+def test_permutation(n):
+    places = [sharding.place(r, n, 4, seed=9) for r in range(n)]
+    assert len(set(places)) == n and max(Counter(s for s, _ in places).values()) - min(Counter(s for s, _ in places).values() or [0]) <= 1 or n < 4
+
+
+def test_sharding(spark):
+    rows = [(i * 3, f"text {i}") for i in range(200)] + EDGES
+    out = sharding.shard(docs(spark, rows), 7, seed=3)
+    assert set(out.columns) == set(docs(spark, []).columns) | {"shard", "slot"}
+    got = out.collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert set(by) == set(range(7)) and all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    unique = [r for r in got if r.doc_id is not None and r.doc_id > 6]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
+    number = {i: x for x, (i, _) in enumerate(order) if i is not None}
+    assert all((r.shard, r.slot) == sharding.place(number[r.doc_id], len(rows), 7, 3) for r in unique)
+    again = sharding.shard(docs(spark, rows).repartition(5), 7, seed=3)
+    assert {(r.doc_id, r.shard, r.slot) for r in again.collect() if r.doc_id is not None and r.doc_id > 6} == {(r.doc_id, r.shard, r.slot) for r in unique}
+    assert sharding.shard(docs(spark, []), 7).count() == 0
+
+
+# mixing
+
+
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    """Share, cap, share the excess out again, as the words say."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {s: 0.0 for s in names}, float(sum(sizes.values())), set(names)
+    while left > 1e-9 and open_:
+        total = sum(w[s] for s in open_)
+        for s in open_:
+            target[s] += left * w[s] / total
+        left = 0.0
+        for s in list(open_):
+            if target[s] >= most * sizes[s]:
+                left += target[s] - most * sizes[s]
+                target[s] = float(most * sizes[s])
+                open_.discard(s)
+    return target
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_and_taken_words(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, " ".join("w" for _ in range(rng.choice((0, 1, 5, 40))))) for i in range(120)] + EDGES
+    names = [None, "a", "b", "é", "zz", "tiny", "Z"]
+    source = lambda i: "tiny" if i == 0 else names[rng.choice((0, 1, 1, 1, 1, 2, 3, 4, 6))]
+    df = docs(spark, rows, source).cache()
+    got = mixing.taken_words(df, seed).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(int)
+    for r in df.collect():
+        by[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    want = brute_targets(by)
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r.taken % max(r["size"], 1) == 0 and 0 <= r.taken <= 3 * r["size"]
+        sizes[r.source_size, round(r.target, 6)] += r["size"]
+        taken[r.source_size, round(r.target, 6)] += r.taken
+    assert {(by[s], round(want[s], 4)) for s in by} == {(a, round(b, 4)) for a, b in sizes}
+    longest = max(r["size"] for r in got if r["size"] < 1000)
+    assert sum(taken.values()) <= sum(by.values())
+    assert all(abs(taken[k] - k[1]) <= max(longest, 30000 if k[0] > 20000 else 0) for k in taken)
+    again = mixing.taken_words(df.repartition(6), seed).collect()
+    assert Counter((r.doc_id, r["size"], r.taken) for r in again) == Counter((r.doc_id, r["size"], r.taken) for r in got)
+
+
+def test_slices_do_not_matter(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7)) for i in range(300)]
+    want = Counter((r.doc_id, r.taken) for r in mixing.taken_words(docs(spark, rows)).collect())
+    for slice_rows, broadcast in ((1, 20000), (100000, 0)):
+        monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+        assert Counter((r.doc_id, r.taken) for r in mixing.taken_words(docs(spark, rows)).collect()) == want
+
+
+def test_mix_rows(spark):
+    rows = [(i, "w " * (1 + i % 7)) for i in range(200)] + [(900, ""), (901, None)]
+    df = docs(spark, rows)
+    taken = {r.doc_id: r.taken // max(r["size"], 1) for r in mixing.taken_words(df).collect() if r["size"]}
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "mix_pass", "virtual_finish"]
+    got = out.collect()
+    assert Counter(r.doc_id for r in got if r.doc_id < 900) == Counter({k: v for k, v in taken.items() if v})
+    finish = [r.virtual_finish for r in got]
+    assert finish == sorted(finish)
+    assert mixing.mix(docs(spark, [])).count() == 0 and mixing.taken_words(docs(spark, [])).count() == 0
+    assert [r.taken for r in mixing.taken_words(docs(spark, [(1, ""), (2, None)])).collect()] == [0, 0]
+
+
+# language model
+
+
+def check_katz(spark, rows):
+    df = docs(spark, rows)
+    got = katz.scores(df, toxicity.remainder(F.col("doc_id"), 7) == 2).collect()
+    want, p2, count = brute(rows)
+    key = lambda r: (r[0] is not None, r[0], *r[1:5], round(r[6], 6))
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
+    return p2, count
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_katz_equals_brute_force(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    if seed:  # many batches and buckets, words and pairs that count as hot
+        for k, v in {"FLUSH": 50, "BUCKET": 300, "HOT_LEAST": 12, "HOT_WORD": 0.01, "HOT_PAIR": 0.004}.items():
+            monkeypatch.setattr(katz, k, v)
+    vocab = [f"w{int(rng.paretovariate(0.7))}" for _ in range(300)]
+    rows = [(i, " ".join("of the" if rng.random() < 0.1 else rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(150)] + [(500 + i, "of the of the End") for i in range(20)]
+    rows += [x for x in EDGES if x[0] != 4] if seed != 2 else []
+    p2, count = check_katz(spark, rows)
+    for h in ("<s>", "of", "the", "w1", "never seen"):
+        assert sum(p2(h, w) for w in count) + p2(h, "unknown word") == pytest.approx(1)
+
+
+def test_katz_degenerate(spark):
+    assert katz.scores(docs(spark, []), F.lit(False)).count() == 0
+    check_katz(spark, [(None, None)])
+    r = katz.scores(docs(spark, [(1, "a b")]), F.lit(True)).first()
+    assert (r.train_tokens, r.n_known, r.held_out) == (0, 0, True)
+
+
+# pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter") for b in ("ren", "sto", "na", "li", "vor")]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(i, say(30) + (" groxish vermin" if i % 6 == 0 else "")) for i in range(240)]
+    rows += [(1000 + i, rows[1][1]) for i in range(9)] + [(2000, say(10) + " " + item + " " + say(10)), *EDGES]
+    clean = [i for i in range(1, 240) if i % 6]
+    spark.createDataFrame([(i, t, "en", None if i is None else f"s{i % 2}", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, df = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        df = stage(spark, df, str(tmp_path))
+        df.write.parquet(f"{tmp_path}/out{k}")
+        df = spark.read.parquet(f"{tmp_path}/out{k}")
+        assert set(df.columns) == {"doc_id", "text", "lang", "source", "n_chars"} | ({"shard", "slot"} if k == 4 else set())
+        seen[name] = [r.doc_id for r in df.collect()]
+    ids = seen["toxicity"]
+    assert not {i for i in range(0, 240, 6) if i != 6} & set(ids)  # 6 has a second row, without a text
+    assert set(clean) <= set(ids) and len(ids) == len(rows) - 40
+    ids = Counter(seen["ngram_jaccard_join"])
+    assert ids[1] and not any(ids[1000 + i] for i in range(9)) and set(clean) <= set(ids)
+    assert 2000 in ids and 2000 not in seen["benchmark_decontamination"] and set(clean) <= set(seen["benchmark_decontamination"])
+    assert max(Counter(i for i in seen["mixing"] if i is not None and i > 6).values()) <= 3
+    assert Counter(seen["sharding"]) == Counter(seen["mixing"])
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(seen["sharding"])

@@ -73,13 +73,15 @@ def test_base_spans_equal_the_patterns():
 
 def test_disclosing_terms(spark):
     rng = random.Random(1)
-    filler = ["alpha", "bravo", "carol", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet"]
+    filler = [a + b + c for a in ("ka", "lo", "mi", "ter", "su") for b in ("ren", "sto", "na", "li") for c in ("vor", "da", "pel", "ock")]
     say = lambda: " ".join(rng.choice(filler) for _ in range(6))
     rows = [(i, f"{say()} zorbulon {say()} kim@corp.example {say()}") for i in range(6)]
     rows += [(100 + i, say()) for i in range(200)] + [(400 + i, "unique copy text quibblex mail ann@corp.example stays") for i in range(9)]
+    near = "a long text of which there are near copies only and glimmerk next to joe@corp.example as all of them have it".split()
+    rows += [(450 + i, " ".join(w if j != i else say() for j, w in enumerate(near))) for i in range(9)]
     rows += [(500, "here is zorbulon alone"), *EDGES]
     df = docs(spark, rows)
-    assert [r.term for r in pii.disclosing_terms(df).collect()] == ["zorbulon"]  # copies of one text say nothing about quibblex
+    assert [r.term for r in pii.disclosing_terms(df).collect()] == ["zorbulon"]  # copies say nothing about quibblex, nor near copies about glimmerk
     found = {r.doc_id: r for r in pii.find(df).collect() if r.doc_id is not None}
     assert found[500].spans == "term:8:16" and found[500].n_term == 1
     assert found[0].base_spans.startswith("email:") and found[0].spans.startswith(found[0].base_spans + ",term:")

@@ -37,6 +37,8 @@ DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialo
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+DROP_STEMS = re.compile("advert|breadcrumb|comments?(?!ar)|cookie|disclaimer|disqus|footer|navbar|navigation|newsletter|popup|sidebar|sponsor|subscri")
+LAYOUT_WORDS = frozenset("has layout no with without".split())  # "with-sidebar" is said of what stands beside one
 GOOD_WORDS = frozenset("article body content entry main page post story text".split())
 
 
@@ -59,6 +61,8 @@ def _attributes(text: str) -> tuple[frozenset, str]:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             words.update(w.lower() for w in WORD.findall(value))
+            if any(DROP_STEMS.match(w.replace("-", "").replace("_", "")) for w in value.lower().split()):
+                words.add("advert")
         elif name == "role":
             role = value.strip().lower()
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -144,11 +148,11 @@ def _prune(root: Node) -> list[Node]:
         kept = []
         for c in n.children:
             if isinstance(c, Node):
-                bad = c.tag in DROP or c.role in DROP_ROLES or c.role == "hidden" or bool(c.hints & DROP_WORDS)
-                if c.tag == "header":
+                bad = c.tag in DROP or c.role in DROP_ROLES or c.role == "hidden" or bool(c.hints & DROP_WORDS) and c.tag not in ("html", "body") and not c.hints & LAYOUT_WORDS
+                if c.tag == "header" or "header" in c.hints and c.tag == "div":
                     if not inside[id(n)]:
                         bad = True
-                    else:  # of an article's own header, the headings stay
+                    elif c.tag == "header":  # of an article's own header, the headings stay
                         c.children = [x for x in c.children if isinstance(x, Node) and re.fullmatch("h[1-6]|hgroup|div", x.tag)]
                 if bad and not (c.whole and c.tag not in DROP and c.role != "hidden"):
                     continue

@@ -220,6 +220,27 @@ def test_fingerprints(spark):
     assert pairs == {(1, 3)}
 
 
+def test_near_pairs_equal_brute_force(spark):
+    rng = random.Random(4)
+    words_ = [a + b for a in ("ka", "lo", "mi", "ter", "su", "ven") for b in ("ren", "sto", "na", "li", "dor")] + ["the", "of", "and", "a"] * 6
+    texts = []
+    for _ in range(12):
+        t = [rng.choice(words_) for _ in range(rng.randint(20, 90))]
+        for _ in range(rng.randint(1, 4)):
+            texts.append(" ".join(t))
+            t = list(t)
+            t[rng.randrange(len(t))] = rng.choice(words_)
+    sigs = spotsigs.signatures(pa.array(texts))
+    for least in (0.5, 0.8):
+        want = {}
+        for i, a in enumerate(sigs):
+            for j in range(i):
+                if spotsigs.text_of(a) != spotsigs.text_of(sigs[j]) and (x := spotsigs.likeness(sigs[j], a)) >= least:
+                    want[tuple(sorted(min(k for k, s in enumerate(sigs) if spotsigs.text_of(s) == spotsigs.text_of(sigs[m])) for m in (i, j)))] = x
+        got = {(r.a, r.b): r.likeness for r in spotsigs.near_pairs(spotsigs.fingerprints(docs(spark, list(enumerate(texts)))), least).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_edited_and_next(spark):
     rows = [(10, "abcdefg"), (20, "xy"), (5, ""), (7, "the quick brown fox jumps over the lazy dog"), *EDGES]
     got = spotsigs.edit_likeness(docs(spark, rows)).collect()

@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewater.llm import words
 from tidewater.llm.session import bounded_batches
@@ -109,15 +109,21 @@ def near_pairs(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") ->
     """(a, b, likeness) of fingerprints with Jaccard of at least ``least``, one per pair of different fingerprints.
 
     Each different fingerprint stands once, under its smallest id. Fingerprints are partitioned by set length, ranges growing by
-    1/least, so partners are in the same or the next range; within a range they meet over the signatures
-    of their prefix (the first n - ceil(least * n) + 1 in the order of values), and are compared in full.
+    1/least, so partners are in the same or the next range; within a range they meet over the signatures of their
+    prefix (the first n - ceil(least * n) + 1, rarest in the corpus first, so common ones seldom count), and are compared in
+    full. The result has every pair, so a family of different near copies gives all of its pairs.
     """
     rep = prints.where("signatures > 0").groupBy("fingerprint", "signatures").agg(F.min(id_col).alias("id"))
     part = F.floor(F.log(F.col("signatures").cast("double")) / F.log(F.lit(1 / least))).cast("int")
     sig = F.filter(F.split(F.regexp_replace("fingerprint", "(.{8})", "$1,"), ","), lambda x: x != "")
-    rep = rep.withColumns({"part": part, "sig": sig})
-    head = F.slice("sig", F.lit(1), (F.col("signatures") - F.ceil(F.col("signatures") * least - 1e-9) + 1).cast("int"))
-    seeds = rep.select("id", "part", "signatures", F.explode(head).alias("seed"))
+    rep = rep.select("id", "signatures", part.alias("part"), sig.alias("sig"))
+    each = rep.select("id", "part", "signatures", F.explode("sig").alias("seed"))
+    often = each.groupBy("seed").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "seed"))
+    seeds = each.join(often, "seed").where("often > 1").withColumn("place", place)  # what one text alone has meets no other
+    alone = rep.select("id", "signatures").join(each.join(often.where("often = 1"), "seed").groupBy("id").agg(F.count(F.lit(1)).alias("alone")), "id", "left")
+    room = F.col("signatures") - F.ceil(F.col("signatures") * least - 1e-9) + 1 - F.coalesce("alone", F.lit(0))
+    seeds = seeds.join(alone.select("id", room.alias("room")), "id").where("place <= room").select("id", "part", "signatures", "seed")
     left = seeds.withColumn("at", F.explode(F.array(F.col("part"), F.col("part") + 1, F.col("part") - 1)))
     r = seeds.select(F.col("id").alias("b"), F.col("part").alias("at"), "seed", F.col("signatures").alias("nb"))
     close = F.least("signatures", "nb") >= F.greatest("signatures", "nb") * F.lit(least) - 1e-9

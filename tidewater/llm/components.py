@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.sources.scratch import materialize
+from tidewater.sources.scratch import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(low, "u").where("m > u").select(F.col("m").alias("u"), F.col("low").alias("m")).distinct()
         least = large.groupBy("u").agg(F.min("m").alias("low"))
         small = large.join(least, "u").where("m <> low").select(F.greatest("m", "low").alias("u"), F.least("m", "low").alias("m"))
-        e = materialize(small.union(least.select("u", "low")).distinct(), name)
+        before, e = e, materialize(small.union(least.select("u", "low")).distinct(), name)
+        discard(before)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "m")).alias("x")).first()
         if now == seen:
             break

@@ -27,18 +27,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewater.llm import words
 from tidewater.llm.components import components
-from tidewater.sources.scratch import materialize
+from tidewater.llm.session import bounded_batches
+from tidewater.sources.scratch import discard, materialize
 
 K, PERCENT = 5, 80
-COMMON = 100_000  # elements that the order of elements lists as common; which ones does not change results
-COMMON_IN_BATCH = 8
+COMMON = 1_000_000  # elements that the order of elements lists as common; which ones does not change results
+COMMON_IN_TASK, COUNTED = 3, 4_000_000  # listed if so many of about 10,000 documents read together have it
 BLOCK = 256  # sets in a block
 LEAF = 16
-SENT_IDS = 2_000_000  # vertex names sent to every task; beyond, sets are joined by a shuffle
+SENT = 1_000_000  # roles of sets in comparisons that are sent to every task; more meet their sets by a shuffle
 PER_TASK = 500  # comparisons with one leading set in a task
 
 NARROW = np.uint64(0x9E3779B97F4A7C15)
@@ -70,11 +72,21 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
     """Elements that many documents share, rarest first: a list of bounded length, to order elements by."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def frequent() -> pa.RecordBatch:
+            e, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            e, n = e[n >= COMMON_IN_TASK], n[n >= COMMON_IN_TASK]
+            return pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n, pa.int64())], ["element", "n"])
+
         for b in batches:
-            found = [s.element for _, _, s in sets_of(b.column(0), k)]
-            e, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            e, n = e[n >= COMMON_IN_BATCH], n[n >= COMMON_IN_BATCH]
-            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n, pa.int64())], ["element", "n"])
+            for _, _, s in sets_of(b.column(0), k):
+                held.append(s.element)
+                size += len(s.element)
+            if size > COUNTED:
+                yield frequent()
+                held, size = [], 0
+        yield frequent()
 
     found = docs.select("text").mapInArrow(count, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "element").limit(COMMON).toArrow()
@@ -109,8 +121,8 @@ class Order:
 
 
 def bitmap(e: np.ndarray) -> bytes:
-    """Bits of the elements' low parts, about twice as many as there are elements."""
-    width = max(64, 1 << int(2 * len(e) - 1).bit_length())
+    """Bits of the elements' low parts, 4 to 8 times as many as there are elements."""
+    width = max(64, 1 << int(4 * len(e) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(e & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -139,58 +151,85 @@ def signed(docs: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, v long, head binary, bits binary")
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        head = b.column(2)
-        count = np.array([len(x) // 8 for x in head.to_pylist()], np.int64)
-        element = np.frombuffer(b"".join(head.to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(element), pa.array(np.repeat(b.column(0).to_numpy(), count)), pa.array(np.repeat(b.column(1).to_numpy(), count))], ["element", "v", "n"])
+def postings(every: DataFrame, order: Order) -> DataFrame:
+    """(element, v, n) of the first elements that more than one set has.
+
+    One shuffle by element. Listed common elements need no test, so their sets are spread over tasks.
+    """
+    sent = every.sparkSession.sparkContext.broadcast(order.key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, one = np.unique(b.column(0).to_numpy(), return_index=True)
+            heads = b.column(2).take(pa.array(one)).to_pylist()
+            count = np.array([len(x) // 8 for x in heads], np.int64)
+            element = np.frombuffer(b"".join(heads), np.uint64)
+            v, n = np.repeat(v, count), np.repeat(b.column(1).to_numpy()[one], count)
+            spread = np.where(np.isin(element, sent.value), (v.view(np.uint64) >> np.uint64(54)).astype(np.int32) + 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(v), pa.array(n), pa.array(spread.astype(np.int32))], ["element", "v", "n", "spread"])
+
+    rows = every.where("n > 0").select("v", "n", "head").mapInArrow(run, "element long, v long, n long, spread int")
+    w = Window.partitionBy("element", "spread")
+    rows = rows.withColumns({"lo": F.min("v").over(w), "hi": F.max("v").over(w)}).where((F.col("spread") > 0) | (F.col("lo") < F.col("hi")))
+    return rows.select("element", "v", "n").distinct()
 
 
 def linked(na, nb, both, percent: int):
     return 100 * both >= percent * (na + nb - both)
 
 
-def _same_size(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _same_size(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes may link; false if there is no other set."""
+    return F.coalesce(F.least(a, b) * 100 >= F.greatest(a, b) * percent, F.lit(False)) & a.isNotNull() & b.isNotNull()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names whose full sets link.
+def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set names whose full sets link. ``names``: (v, least), each set's smallest document.
 
-    Sets of the names that occur are taken from the texts again. All pairs of one ``a`` meet its set in as many tasks as it has
-    ``PER_TASK`` pairs, so no set gathers an unbounded number of others.
+    Sets of the names that occur are taken from the texts again and go straight to where they are compared. All pairs of one ``a`` meet its
+    set in as many tasks as it has ``PER_TASK`` pairs, so no set gathers an unbounded number of others.
     """
     pairs = materialize(pairs.select("a", "b").distinct(), "jaccard-pairs")
-    names = materialize(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "jaccard-names")
-    chosen = np.sort(names.toArrow()["v"].to_numpy()) if names.count() <= SENT_IDS else None
-    sent = docs.sparkSession.sparkContext.broadcast(chosen)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, s in sets_of(b.column(0), k):
-                name = s.name.view(np.int64)
-                rows = np.flatnonzero((np.isin(name, sent.value) if sent.value is not None else True) & (np.diff(s.at) > 0))
-                rows = rows[np.unique(name[rows], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(name[rows]), pa.array([s.element[s.at[i] : s.at[i + 1]].tobytes() for i in rows], pa.binary())], ["v", "elements"])
-
-    sets = docs.select("text").mapInArrow(pick, "v long, elements binary")
-    if chosen is None:
-        sets = sets.join(names, "v", "left_semi")
-    sets = materialize(sets, "jaccard-sets").dropDuplicates(["v"])
     tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("tasks"))
-    salted = pairs.join(tasks, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("tasks")))
-    left = tasks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1))).join(sets, tasks["a"] == sets["v"])
-    right = salted.join(sets, salted["b"] == sets["v"])
-    rows = left.select("a", "salt", F.lit(None).cast("bigint").alias("b"), "elements").unionByName(right.select("a", "salt", "b", "elements"))
+    right = pairs.join(tasks, "a").select(F.col("b").alias("v"), "a", F.pmod(F.xxhash64("b"), F.col("tasks")).alias("salt"), F.lit(1).alias("other"))
+    left = tasks.select(F.col("a").alias("v"), "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("salt"), F.lit(0).alias("other"))
+    roles = materialize(right.unionByName(left).join(names, "v"), "jaccard-roles")
+    discard(pairs)
+    sends = roles.count() <= SENT
+    table = roles.orderBy("v").toArrow() if sends else None
+    sent = docs.sparkSession.sparkContext.broadcast(table and tuple(table[c].to_numpy(zero_copy_only=False) if c != "least" else table[c].to_pylist() for c in ("v", "a", "salt", "other", "least")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for lo, _, s in sets_of(b.column(1), k):
+                name, out = s.name.view(np.int64), []
+                full = np.diff(s.at) > 0
+                if sent.value is None:
+                    out = [(None, None, None, name[i], i, ids[lo + i]) for i in np.flatnonzero(full)]
+                else:
+                    v, a, salt, other, least = sent.value
+                    first, end = np.searchsorted(v, name, "left"), np.searchsorted(v, name, "right")
+                    for i in np.flatnonzero(full & (end > first)):
+                        if ids[lo + i] == least[first[i]]:
+                            out += [(a[j], salt[j], other[j], name[i], i, None) for j in range(first[i], end[i])]
+                elements = pa.array([s.element[s.at[x[4]] : s.at[x[4] + 1]].tobytes() for x in out], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in out], pa.int64()) for c in (0, 1, 2, 3)), pa.array([x[5] for x in out], kind), elements], ["a", "salt", "other", "b", "id", "elements"])
+
+    id_type = docs.schema["doc_id"].dataType
+    kind = to_arrow_type(id_type)
+    rows = docs.select("doc_id", "text").mapInArrow(sets, f"a long, salt long, other long, b long, id {id_type.simpleString()}, elements binary")
+    if not sends:  # too many roles to send: sets meet them by a shuffle
+        rows = rows.select("b", "id", "elements").join(roles.withColumnRenamed("v", "b"), "b").where(F.col("id").eqNullSafe(F.col("least")))
+    rows = rows.select("a", "salt", "other", "b", "elements")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.uint64)
         for b in batches:
             out: list[tuple[int, int]] = []
-            for x, y, e in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            for x, role, y, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 other = np.frombuffer(e.as_buffer(), np.uint64)
-                if y is None:
+                if not role:
                     own = other.copy()
                 else:
                     at = np.searchsorted(own, other)
@@ -199,7 +238,8 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
                         out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").select("a", "other", "b", "elements")
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 class Node:
@@ -270,8 +310,8 @@ def walk(x: Tree, y: Tree, percent: int) -> Iterator[tuple[int, int]]:
                     yield int(x.v[i]), int(y.v[j])
 
 
-def tree_pairs(units: DataFrame, percent: int) -> DataFrame:
-    """Units (unit, side, v, n, component, bits) to candidate pairs (a, b): side 0 against side 1, or against itself without a side 1."""
+def tree_pairs(units: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """Units (element, kind, i, j, side, v, n, component), with bitmaps from ``every`` (v, bits), to candidate pairs (a, b): side 0 against side 1, or against itself without a side 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list) -> pa.RecordBatch:
@@ -296,13 +336,21 @@ def tree_pairs(units: DataFrame, percent: int) -> DataFrame:
         if held:
             yield emit(held)
 
-    units = units.select(F.concat_ws(":", "element", "i", "j").alias("unit"), "side", "v", "n", "component", "bits", (F.col("kind") == 0).alias("alone"))
+    bits = every.select("v", "bits").join(units.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"])
+    units = units.join(bits, "v").select(F.concat_ws(":", "element", "i", "j").alias("unit"), "side", "v", "n", "component", "bits", (F.col("kind") == 0).alias("alone"))
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
-def _units(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _units(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of blocks, for every different group of sets under one element that spans components."""
-    tagged = shared.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v")).drop("label")
+    tagged = shared.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    # sizes alone leave no partner to a set whose neighbours in size, under the element, are too far; the sets
+    # of large groups all have near ones, so only groups of one block are looked at
+    few = tagged.groupBy("element").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
+    tagged = tagged.join(few.select("element", "c"), "element")
+    w = Window.partitionBy("element", F.when(F.col("c") > BLOCK, F.col("v")).otherwise(0)).orderBy("n")
+    near = lambda m: _same_size(F.col("n"), m(F.col("n")).over(w), percent)
+    tagged = tagged.withColumn("near", (F.col("c") > BLOCK) | near(F.lag) | near(F.lead)).where("near").drop("near", "c")
     groups = tagged.groupBy("element").agg(
         F.min("component").alias("c1"), F.max("component").alias("c2"), F.min_by("component", "v").alias("lead"), F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("v")).alias("x1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("x2"),
@@ -321,7 +369,7 @@ def _units(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     cross = F.transform(upto("majors"), lambda t: one(2, block, -t - 1, 0))
     major = F.transform(upto("minors"), lambda t: one(2, t, -block - 1, 1))
     units = rows.withColumn("u", F.explode(F.when(F.col("minor"), F.concat(own, later, former, cross)).otherwise(major)))
-    return units.select("element", "u.*", "v", "n", "component").join(nodes.select("v", "bits"), "v")
+    return units.select("element", "u.*", "v", "n", "component")
 
 
 def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -329,18 +377,25 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
 
     ``docs`` (doc_id, text) is read four times: it should be a stored table.
     """
+    bounded_batches(docs.sparkSession)
     order = Order(_common(docs, k))
     every = materialize(signed(docs, order, k, percent), "jaccard-signed")
-    nodes = materialize(every.where("n > 0").groupBy("v", "n").agg(F.first("head").alias("head"), F.first("bits").alias("bits")), "jaccard-nodes")
-    postings = nodes.select("v", "n", "head").mapInArrow(_postings, "element long, v long, n long")
-    met = postings.groupBy("element").agg(F.min(F.struct("v", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = materialize(postings.join(met.select("element", F.col("lead.v").alias("lead"), F.col("lead.n").alias("lead_n")), "element"), "jaccard-shared")
-    close = shared.where((F.col("v") != F.col("lead")) & _same_size("n", "lead_n", percent))
+    names = materialize(every.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("least")), "jaccard-names")
+    shared = materialize(postings(every, order), "jaccard-shared")
+    # the leading set of an element is the one that meets most others over all its elements
+    size = shared.groupBy("element").agg(F.count(F.lit(1)).alias("c"))
+    weight = shared.join(size, "element").groupBy("v").agg(F.sum("c").alias("weight"))
+    lead = shared.join(weight, "v").groupBy("element").agg(F.max(F.struct("weight", "v", "n")).alias("lead")).select("element", F.col("lead.v").alias("lead"), F.col("lead.n").alias("lead_n"))
+    close = shared.join(lead, "element").where((F.col("v") != F.col("lead")) & _same_size(F.col("n"), F.col("lead_n"), percent))
     best = close.groupBy("v", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.max(F.struct("c", "lead")).alias("x"))
-    first = materialize(verify(docs, best.select(F.col("x.lead").alias("a"), F.col("v").alias("b")), k, percent), "jaccard-links")
+    first = materialize(verify(docs, names, best.select(F.col("x.lead").alias("a"), F.col("v").alias("b")), k, percent), "jaccard-links")
     labels = materialize(components(first), "jaccard-labels")
-    more = verify(docs, tree_pairs(_units(shared.select("element", "v", "n"), nodes, labels), percent), k, percent)
-    return every.select("doc_id", "n", "v"), components(first.union(more))
+    units = materialize(_units(shared, labels, percent), "jaccard-units")
+    more = materialize(verify(docs, names, tree_pairs(units, every, percent), k, percent), "jaccard-links")
+    narrow = materialize(every.select("doc_id", "n", "v"), "jaccard-documents")
+    found = components(first.union(more))
+    discard(every, shared, units, names, labels, first, more)
+    return narrow, found
 
 
 def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -35,12 +35,12 @@ TYPES = 2_000_000
 THRESHOLD = 0.7
 END = 32  # stands for the end of a word; no word holds this byte
 BYTE = np.uint64(8)
-LONGEST = 64  # bytes of a word that are spelled out at most; the rest of a longer word has no evidence
+LONG = 64  # a word of more bytes weighs as much as one of so many: its ratio is normalised to this length
 
 
 def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every byte of the given words and their ends, with up to ORDER - 1 bytes before in the word, packed into an integer (last byte lowest); and where each word's begin."""
-    n = np.minimum(ends - starts, LONGEST)
+    n = ends - starts
     at = np.concatenate(([0], np.cumsum(n + 1)))
     offset = np.arange(at[-1]) - np.repeat(at[:-1], n + 1)
     flat = np.full(at[-1], END, np.uint64)
@@ -89,7 +89,7 @@ class Model(NamedTuple):
             i = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
             known = self.context[i] == context
             out[rest[known]] = self.context_ratio[i[known]]
-        return np.add.reduceat(out, at[:-1])
+        return np.add.reduceat(out, at[:-1]) * np.minimum(1, LONG / (ends - starts))
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Per text: mean ratio over its words, and the highest mean over a stretch of words."""

@@ -220,6 +220,18 @@ def test_fingerprints(spark):
     assert pairs == {(1, 3)}
 
 
+def test_texts_without_anchors_are_signed_whole(spark):
+    table = [f"kilo{i} wert{i * 7}" for i in range(40)]
+    half = table[:20] + [f"neu{i} zahl{i}" for i in range(20)]
+    texts = [" ".join(table), " ".join(half), " ".join(table[:2] + half[20:]), " ".join([*table, "the", "end"]), " ".join(half) + " of"]
+    a, b, c, d, e = spotsigs.signatures(pa.array(texts))
+    assert len(a) == len(b) == 78 and len(d) == 79 and (e == b).all()  # all chains of content words; anchors at the end have none
+    assert spotsigs.likeness(a, b) == 38 / 118 and spotsigs.likeness(a, c) == 2 / len(set(a.tolist()) | set(c.tolist())) and spotsigs.likeness(a, d) == 78 / 79
+    rows = [(1, texts[0]), (2, texts[2]), (3, "the cat sat on the mat and the dog ran")]
+    got = {r.doc_id: (r.near_edited, r.near_next) for r in spotsigs.edit_likeness(docs(spark, rows)).collect()}
+    assert got[1][0] < 0.5 and got[1][1] < 0.1
+
+
 def test_near_pairs_equal_brute_force(spark):
     rng = random.Random(4)
     words_ = [a + b for a in ("ka", "lo", "mi", "ter", "su", "ven") for b in ("ren", "sto", "na", "li", "dor")] + ["the", "of", "and", "a"] * 6

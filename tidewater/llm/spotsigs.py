@@ -4,6 +4,9 @@ A signature is an anchor (a common word, or the start of the text) and the chain
 punctuation. A document's fingerprint is the set of its signatures, as sorted 32-bit values in hex. Boilerplate
 has few common words, so it hardly counts; a moved paragraph keeps its signatures.
 
+A text in which no common word has a full chain (a table, a list, code, other languages) is signed whole: by the
+chains that begin at each of its content words. One with few common words is signed at those and its start only.
+
 A text with words but no full chain has one signature of all its words; one without words, of its characters;
 the empty text has none. Two empty fingerprints are alike (1), an empty and another are not (0). Equal texts
 have equal fingerprints.
@@ -57,12 +60,20 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
         anchor = _is_anchor(h)
         content = np.flatnonzero(~anchor)
         spots = np.flatnonzero(anchor)
-        row = np.concatenate((np.arange(hi - lo), np.searchsorted(first, spots, "right") - 1))  # each text's start is an anchor too
-        name = np.concatenate((np.full(hi - lo, START, np.uint64), h[spots]))
-        begin = np.searchsorted(content, np.concatenate((first[:-1], spots)))  # the first content word after the anchor
-        full = begin + chain <= np.searchsorted(content, first[1:])[row]  # within the text
-        order = np.argsort(row[full], kind="stable")
-        row, name, begin = row[full][order], name[full][order], begin[full][order]
+        ends = np.searchsorted(content, first)  # each row's first content word and the end
+        row = np.searchsorted(first, spots, "right") - 1
+        begin = np.searchsorted(content, spots)  # the first content word after the anchor
+        full = begin + chain <= ends[row + 1]  # within the text
+        row, name, begin = row[full], h[spots[full]], begin[full]
+        # each text's start is an anchor too; where it is the only one with a full chain, so is every place
+        count = np.where(np.bincount(row, minlength=hi - lo) > 0, 1, np.diff(ends) - chain + 1)
+        count = np.where(np.diff(ends) >= chain, count, 0)
+        at = np.cumsum(count) - count
+        row = np.concatenate((np.repeat(np.arange(hi - lo), count), row))
+        name = np.concatenate((np.full(count.sum(), START, np.uint64), name))
+        begin = np.concatenate((np.arange(count.sum()) + np.repeat(ends[:-1] - at, count), begin))
+        order = np.argsort(row, kind="stable")
+        row, name, begin = row[order], name[order], begin[order]
         s = words.running(h[content])
         sig = (words.mixed(words.window(s, begin, begin + chain) ^ name) >> np.uint64(32)).astype(np.uint32)
         cut = np.searchsorted(row, np.arange(hi - lo + 1))

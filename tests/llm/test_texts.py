@@ -94,6 +94,16 @@ def test_disclosing_terms(spark):
     assert pii.find(df).count() == len(rows)
 
 
+def test_near_copies_do_not_hide_other_surroundings(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    near = [word() for _ in range(20)]
+    rows = [(i, " ".join([*near[:10], "bob@corp.example", *near[10:]]).replace(near[i % 20], word())) for i in range(100)]
+    rows += [(100 + i, " ".join([*(word() for _ in range(6)), "zorbulon", "bob@corp.example", *(word() for _ in range(8))])) for i in range(20)]
+    rows += [(200 + i, " ".join(word() for _ in range(12))) for i in range(400)] + [(900, "here is zorbulon alone")]
+    assert [r.term for r in pii.disclosing_terms(docs(spark, rows)).collect()] == ["zorbulon"]
+
+
 def test_terms_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(pii, "BLOCK_TERMS", 1)
     terms = spark.createDataFrame([("bbb", 1.0), ("aaa", 1.0), ("ccc", 1.0)], "term string, degree double")

@@ -4,7 +4,7 @@ Protected entities are the values that the patterns find (an address, a number).
 an entity are counted with it. A term discloses an entity when knowing the term removes most of what was unknown:
 PMI(term, entity) / IC(entity) >= ``DISCLOSURE``, where IC(entity) = -log p(entity) and
 PMI = log p(entity | term) - log p(entity), in documents. Copies say nothing new, so at least ``SUPPORT``
-different surroundings must hold the pair, and an entity's surroundings must differ from each other by and large. Such terms are marked everywhere, and generalised or removed.
+surroundings that are not near copies of each other must hold the pair. Such terms are marked everywhere, and generalised or removed.
 
 Edge cases: null text is empty; spans are in code points, end exclusive; a term that touches a pattern's span
 is not marked again; an empty corpus discloses nothing; null or repeated ids only repeat rows (documents
@@ -34,7 +34,7 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 
 DISCLOSURE = 0.9
 SUPPORT = 3
-ALIKE = 0.5  # an entity whose places share more than this part of their terms is only known from near copies
+ALIKE = 0.5  # places that share more than this part of their terms are near copies
 WINDOW = 8  # terms on each side of an entity
 REACH = 400  # code points on each side within which those terms are looked for
 BLOCK_TERMS = 200_000  # terms sent to the executors at a time; more are handled in further blocks
@@ -123,7 +123,7 @@ def _counter(terms: frozenset):
             for t in b["text"]:
                 for w in terms.intersection(TERM.findall(t.lower())) if t else ():
                     n[w] = n.get(w, 0) + 1
-            yield pd.DataFrame({"term": list(n), "docs": list(n.values())})
+            yield pd.DataFrame({"term": pd.Series(list(n), dtype=object), "docs": pd.Series(list(n.values()), dtype="int64")})
 
     return count
 
@@ -137,6 +137,18 @@ def _blocks(terms: DataFrame) -> Iterator[frozenset]:
         yield frozenset(r.term for r in part.toLocalIterator())
 
 
+def _varied(each: DataFrame, support: int) -> DataFrame:
+    """(entity, term) of ``each`` (entity, term, place, marks) with at least ``support`` places that are not near copies.
+
+    A pair's leader is its first place; places like it are dropped, and the first of the rest is the next leader.
+    """
+    for _ in range(support - 1):
+        leader = each.groupBy("entity", "term").agg(F.min_by("marks", "place").alias("leader"))
+        shared = 2 * F.size(F.array_intersect("marks", "leader")) / (F.size("marks") + F.size("leader"))
+        each = each.join(leader, ["entity", "term"]).where(shared <= ALIKE).drop("leader")
+    return each.select("entity", "term").distinct()
+
+
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(term, degree): terms whose strongest disclosure of any entity reaches the threshold, from the whole corpus."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
@@ -144,13 +156,12 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     places = places.groupBy("entity", "place").agg(F.count(F.lit(1)).alias("docs"), F.min("terms").alias("terms"))
     places = materialize(places, "pii-places")
     entities = places.groupBy("entity").agg(F.sum("docs").alias("entity_docs"), F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
-    pairs = places.join(entities, "entity").select("entity", "entity_docs", "docs", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "entity_docs", "term").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("places"))
-    # terms that two places of an entity share on average, against a place's terms: near copies share most
-    shape = places.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("all_terms"))
-    shared = pairs.groupBy("entity").agg(F.sum(F.col("places") * (F.col("places") - 1)).alias("shared"))
-    varied = shape.join(shared, "entity").where(F.col("shared") <= F.lit(ALIKE) * F.col("all_terms") * (F.col("n") - 1))
-    pairs = materialize(pairs.where(F.col("places") >= support).join(varied, "entity", "left_semi"), "pii-pairs")
+    marks = F.transform("terms", lambda t: F.xxhash64(t)).alias("marks")
+    each = places.join(entities, "entity").select("entity", "entity_docs", "place", "docs", marks, F.explode("terms").alias("term"))
+    pairs = each.groupBy("entity", "entity_docs", "term").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
+    pairs = materialize(pairs, "pii-pairs")
+    each = materialize(each.join(pairs, ["entity", "term"], "left_semi").select("entity", "term", "place", "marks"), "pii-each")
+    pairs = materialize(pairs.join(_varied(each, support), ["entity", "term"], "left_semi"), "pii-varied")
     spark = docs.sparkSession
     counts = [texts.mapInPandas(_counter(b), "term string, docs long") for b in _blocks(pairs.select("term").distinct())]
     if not counts:

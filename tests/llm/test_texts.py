@@ -104,6 +104,25 @@ def test_near_copies_do_not_hide_other_surroundings(spark):
     assert [r.term for r in pii.disclosing_terms(docs(spark, rows)).collect()] == ["zorbulon"]
 
 
+def test_one_long_document_discloses_nothing(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    said = lambda *at: " ".join([*(word() for _ in range(8)), *at, *(word() for _ in range(9))])
+    archive = " ".join(said("zorbulon", "pat@corp.example") if i % 2 else said("pat@corp.example") for i in range(50))
+    rows = [(1, archive)] + [(10 + i, said("zorbulon")) for i in range(20)] + [(100 + i, said()) for i in range(400)]
+    assert pii.disclosing_terms(docs(spark, rows)).collect() == []
+    rows += [(1, said("glimmerk", "lee@corp.example")) for i in range(3)]  # repeated ids are documents of their own
+    assert [r.term for r in pii.disclosing_terms(docs(spark, rows)).collect()] == ["glimmerk"]
+
+
+def test_shared_part_of_terms(spark):
+    rng = random.Random(8)
+    pick = lambda n: sorted(rng.sample(range(-1000, 1000), n))
+    rows = [(sorted({*c, *pick(rng.randint(0, 20))}), sorted({*c, *pick(rng.randint(1, 20))})) for c in (pick(rng.randint(0, 20)) for _ in range(50))]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", pii._shared("a", "b").alias("s")).collect()
+    assert all(r.s == pytest.approx(2 * len({*r.a} & {*r.b}) / (len(r.a) + len(r.b))) for r in got)
+
+
 def test_terms_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(pii, "BLOCK_TERMS", 1)
     terms = spark.createDataFrame([("bbb", 1.0), ("aaa", 1.0), ("ccc", 1.0)], "term string, degree double")

@@ -3,8 +3,8 @@
 Protected entities are the values that the patterns find (an address, a number). Over the whole corpus, terms that stand near
 an entity are counted with it. A term discloses an entity when knowing the term removes most of what was unknown:
 PMI(term, entity) / IC(entity) >= ``DISCLOSURE``, where IC(entity) = -log p(entity) and
-PMI = log p(entity | term) - log p(entity), in documents. Copies say nothing new, so at least ``SUPPORT``
-surroundings that are not near copies of each other must hold the pair. Such terms are marked everywhere, and generalised or removed.
+PMI = log p(entity | term) - log p(entity), in documents: one that names an entity often counts once, and its
+surroundings are those of all its spans together. Copies say nothing new, so surroundings of at least ``SUPPORT`` documents that are not near copies of each other must hold the pair. Such terms are marked everywhere, and generalised or removed.
 
 Edge cases: null text is empty; spans are in code points, end exclusive; a term that touches a pattern's span
 is not marked again; an empty corpus discloses nothing; null or repeated ids only repeat rows (documents
@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.llm.session import bounded_batches
 from tidewater.sources.scratch import materialize
@@ -35,6 +35,7 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 DISCLOSURE = 0.9
 SUPPORT = 3
 ALIKE = 0.5  # places that share more than this part of their terms are near copies
+MARKS = 64  # hashes kept of a place's terms to compare it
 WINDOW = 8  # terms on each side of an entity
 REACH = 400  # code points on each side within which those terms are looked for
 BLOCK_TERMS = 200_000  # terms sent to the executors at a time; more are handled in further blocks
@@ -91,8 +92,8 @@ def _key(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _surroundings(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[str]]]:
-    """(entity, hash of its surroundings, terms near it) for each span."""
+def _surroundings(text: str, spans: list[Span]) -> dict[int, set[str]]:
+    """For each entity of a text, the terms near any of its spans."""
     taken = sorted((a, b) for _, a, b in spans)
 
     def clear(lo: int, hi: int) -> list[str]:
@@ -102,17 +103,17 @@ def _surroundings(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list
                 piece[i - lo] = " "
         return [w.lower() for w in TERM.findall("".join(piece))]
 
+    out: dict[int, set[str]] = {}
     for kind, a, b in spans:
-        before, after = clear(max(0, a - REACH), a)[-WINDOW:], clear(b, b + REACH)[:WINDOW]
         value = text[a:b].lower() if kind == "email" else re.sub(r"[^0-9.+]", "", text[a:b])
-        terms = sorted({*before, *after})
-        if terms:
-            yield _key(kind, value), _key(*before, "\1", *after), terms
+        out.setdefault(_key(kind, value), set()).update(clear(max(0, a - REACH), a)[-WINDOW:], clear(b, b + REACH)[:WINDOW])
+    return out
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each entity of each document: equal surroundings have equal places."""
     for b in batches:
-        rows = [x for t in b["text"] if t for x in _surroundings(t, base_spans(t))]
+        rows = [(e, _key(*t), t) for x in b["text"] if x for e, near in _surroundings(x, base_spans(x)).items() if (t := sorted(near))]
         yield pd.DataFrame(rows, columns=["entity", "place", "terms"])
 
 
@@ -137,6 +138,14 @@ def _blocks(terms: DataFrame) -> Iterator[frozenset]:
         yield frozenset(r.term for r in part.toLocalIterator())
 
 
+def _shared(a: str, b: str) -> Column:
+    """The part of their terms that two sets share, 2|a and b| / (|a| + |b|), from their smallest hashes; exact up to ``MARKS`` terms."""
+    both, full = F.array_sort(F.array_union(a, b)), (F.size(a) >= MARKS) | (F.size(b) >= MARKS)
+    seen = F.when(full, F.slice(both, 1, MARKS)).otherwise(both)  # the smallest of the union are known in both
+    j = F.size(F.array_intersect(F.array_intersect(a, b), seen)) / F.size(seen)
+    return 2 * j / (1 + j)
+
+
 def _varied(each: DataFrame, support: int) -> DataFrame:
     """(entity, term) of ``each`` (entity, term, place, marks) with at least ``support`` places that are not near copies.
 
@@ -144,8 +153,7 @@ def _varied(each: DataFrame, support: int) -> DataFrame:
     """
     for _ in range(support - 1):
         leader = each.groupBy("entity", "term").agg(F.min_by("marks", "place").alias("leader"))
-        shared = 2 * F.size(F.array_intersect("marks", "leader")) / (F.size("marks") + F.size("leader"))
-        each = each.join(leader, ["entity", "term"]).where(shared <= ALIKE).drop("leader")
+        each = each.join(leader, ["entity", "term"]).where(_shared("marks", "leader") <= ALIKE).drop("leader")
     return each.select("entity", "term").distinct()
 
 
@@ -156,7 +164,7 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     places = places.groupBy("entity", "place").agg(F.count(F.lit(1)).alias("docs"), F.min("terms").alias("terms"))
     places = materialize(places, "pii-places")
     entities = places.groupBy("entity").agg(F.sum("docs").alias("entity_docs"), F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
-    marks = F.transform("terms", lambda t: F.xxhash64(t)).alias("marks")
+    marks = F.slice(F.array_sort(F.transform("terms", lambda t: F.xxhash64(t))), 1, MARKS).alias("marks")
     each = places.join(entities, "entity").select("entity", "entity_docs", "place", "docs", marks, F.explode("terms").alias("term"))
     pairs = each.groupBy("entity", "entity_docs", "term").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
     pairs = materialize(pairs, "pii-pairs")

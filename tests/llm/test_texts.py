@@ -115,6 +115,15 @@ def test_one_long_document_discloses_nothing(spark):
     assert [r.term for r in pii.disclosing_terms(docs(spark, rows)).collect()] == ["glimmerk"]
 
 
+def test_terms_far_from_the_value_count(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    said = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, f"zorbulon {said(200)} please write to us at our usual mail address moe@corp.example any time of the day") for i in range(6)]
+    rows += [(100 + i, said(20) + " please write to us at our usual mail address any time of the day") for i in range(100)] + [(300, "here is zorbulon alone")]
+    assert [r.term for r in pii.disclosing_terms(docs(spark, rows)).collect()] == ["zorbulon"]
+
+
 def test_shared_part_of_terms(spark):
     rng = random.Random(8)
     pick = lambda n: sorted(rng.sample(range(-1000, 1000), n))

@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and terms that give protected values away.
 
-Protected entities are the values that the patterns find (an address, a number). Over the whole corpus, terms that stand near
-an entity are counted with it. A term discloses an entity when knowing the term removes most of what was unknown:
-PMI(term, entity) / IC(entity) >= ``DISCLOSURE``, where IC(entity) = -log p(entity) and
-PMI = log p(entity | term) - log p(entity), in documents: one that names an entity often counts once, and its
-surroundings are those of all its spans together. Copies say nothing new, so surroundings of at least ``SUPPORT`` documents that are not near copies of each other must hold the pair. Such terms are marked everywhere, and generalised or removed.
+Protected entities are the values that the patterns find (an address, a number). Over the whole corpus, the terms of the
+documents that name an entity are counted with it, wherever they stand. A term discloses an entity when knowing the term
+removes most of what was unknown: PMI(term, entity) / IC(entity) >= ``DISCLOSURE``, where IC(entity) = -log p(entity) and
+PMI = log p(entity | term) - log p(entity), in documents. Copies say nothing new, so at least ``SUPPORT`` documents
+that are not near copies of each other must hold the pair. Such terms are marked everywhere, and generalised or removed.
 
 Edge cases: null text is empty; spans are in code points, end exclusive; a term that touches a pattern's span
 is not marked again; an empty corpus discloses nothing; null or repeated ids only repeat rows (documents
@@ -14,7 +14,9 @@ are counted by row).
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,10 +36,8 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 
 DISCLOSURE = 0.9
 SUPPORT = 3
-ALIKE = 0.5  # places that share more than this part of their terms are near copies
-MARKS = 64  # hashes kept of a place's terms to compare it
-WINDOW = 8  # terms on each side of an entity
-REACH = 400  # code points on each side within which those terms are looked for
+ALIKE = 0.5  # documents that share more than this part of their terms and pairs of neighbouring terms are near copies
+MARKS = 64  # hashes kept of a document to compare it
 BLOCK_TERMS = 200_000  # terms sent to the executors at a time; more are handled in further blocks
 
 Span = tuple[str, int, int]
@@ -92,41 +92,39 @@ def _key(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _surroundings(text: str, spans: list[Span]) -> dict[int, set[str]]:
-    """For each entity of a text, the terms near any of its spans."""
+def _outside(text: str, spans: list[Span]) -> list[str]:
+    """The text's terms in order, but those that touch a span."""
     taken = sorted((a, b) for _, a, b in spans)
-
-    def clear(lo: int, hi: int) -> list[str]:
-        piece = list(text[lo:hi])
-        for a, b in taken:
-            for i in range(max(a, lo), min(b, hi)):
-                piece[i - lo] = " "
-        return [w.lower() for w in TERM.findall("".join(piece))]
-
-    out: dict[int, set[str]] = {}
-    for kind, a, b in spans:
-        value = text[a:b].lower() if kind == "email" else re.sub(r"[^0-9.+]", "", text[a:b])
-        out.setdefault(_key(kind, value), set()).update(clear(max(0, a - REACH), a)[-WINDOW:], clear(b, b + REACH)[:WINDOW])
+    out, i = [], 0
+    for m in TERM.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or taken[i][0] >= m.end():
+            out.append(m[0].lower())
     return out
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each entity of each document: equal surroundings have equal places."""
+    """Documents that name entities: equal terms in order have equal places; marks are the smallest hashes of terms and pairs of neighbours."""
     for b in batches:
-        rows = [(e, _key(*t), t) for x in b["text"] if x for e, near in _surroundings(x, base_spans(x)).items() if (t := sorted(near))]
-        yield pd.DataFrame(rows, columns=["entity", "place", "terms"])
-
-
-def _counter(terms: frozenset):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n: dict[str, int] = {}
-            for t in b["text"]:
-                for w in terms.intersection(TERM.findall(t.lower())) if t else ():
-                    n[w] = n.get(w, 0) + 1
-            yield pd.DataFrame({"term": pd.Series(list(n), dtype=object), "docs": pd.Series(list(n.values()), dtype="int64")})
-
-    return count
+        rows = []
+        for row, text in zip(b["row"], b["text"], strict=True):
+            spans = base_spans(text) if text else []
+            terms = _outside(text, spans) if spans else []
+            if terms:
+                entities = {_key(k, text[i:j].lower() if k == "email" else re.sub(r"[^0-9.+]", "", text[i:j])) for k, i, j in spans}
+                marks = heapq.nsmallest(MARKS, {*map(_key, terms), *map(_key, terms, terms[1:])})
+                rows.append((row, sorted(entities), _key(*terms), marks, sorted({*terms})))
+        yield pd.DataFrame(rows, columns=["row", "entities", "place", "marks", "terms"])
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each term with the documents of the batch that hold it."""
+    for b in batches:
+        n: Counter[str] = Counter()
+        for t in b["text"]:
+            n.update({w.lower() for w in TERM.findall(t)} if t else ())
+        yield pd.DataFrame({"term": pd.Series(list(n), dtype=object), "docs": pd.Series(list(n.values()), dtype="int64")})
 
 
 def _blocks(terms: DataFrame) -> Iterator[frozenset]:
@@ -139,7 +137,7 @@ def _blocks(terms: DataFrame) -> Iterator[frozenset]:
 
 
 def _shared(a: str, b: str) -> Column:
-    """The part of their terms that two sets share, 2|a and b| / (|a| + |b|), from their smallest hashes; exact up to ``MARKS`` terms."""
+    """The part that two sets share, 2|a and b| / (|a| + |b|), from their smallest hashes; exact under ``MARKS`` of them."""
     both, full = F.array_sort(F.array_union(a, b)), (F.size(a) >= MARKS) | (F.size(b) >= MARKS)
     seen = F.when(full, F.slice(both, 1, MARKS)).otherwise(both)  # the smallest of the union are known in both
     j = F.size(F.array_intersect(F.array_intersect(a, b), seen)) / F.size(seen)
@@ -160,28 +158,21 @@ def _varied(each: DataFrame, support: int) -> DataFrame:
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(term, degree): terms whose strongest disclosure of any entity reaches the threshold, from the whole corpus."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    places = texts.mapInPandas(_contexts, "entity long, place long, terms array<string>")
-    places = places.groupBy("entity", "place").agg(F.count(F.lit(1)).alias("docs"), F.min("terms").alias("terms"))
-    places = materialize(places, "pii-places")
-    entities = places.groupBy("entity").agg(F.sum("docs").alias("entity_docs"), F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
-    marks = F.slice(F.array_sort(F.transform("terms", lambda t: F.xxhash64(t))), 1, MARKS).alias("marks")
-    each = places.join(entities, "entity").select("entity", "entity_docs", "place", "docs", marks, F.explode("terms").alias("term"))
-    pairs = each.groupBy("entity", "entity_docs", "term").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("places")).where(F.col("places") >= support)
-    pairs = materialize(pairs, "pii-pairs")
-    each = materialize(each.join(pairs, ["entity", "term"], "left_semi").select("entity", "term", "place", "marks"), "pii-each")
-    pairs = materialize(pairs.join(_varied(each, support), ["entity", "term"], "left_semi"), "pii-varied")
-    spark = docs.sparkSession
-    counts = [texts.mapInPandas(_counter(b), "term string, docs long") for b in _blocks(pairs.select("term").distinct())]
-    if not counts:
-        return spark.createDataFrame([], "term string, degree double")
-    df = counts[0]
-    for c in counts[1:]:
-        df = df.unionByName(c)
-    df = df.groupBy("term").agg(F.sum("docs").alias("term_docs"))
+    named = texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_contexts, "row long, entities array<long>, place long, marks array<long>, terms array<string>")
+    named = materialize(named, "pii-named")
+    each = named.select("row", "place", F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"), F.count_distinct("place").alias("places")).where(F.col("places") >= support)
+    each = materialize(each.join(entities.select("entity", "entity_docs"), "entity").select("row", "entity", "entity_docs"), "pii-entities")
+    pairs = each.join(named.select("row", "terms"), "row").select("entity", "entity_docs", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "entity_docs", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    counts = texts.mapInPandas(_counted, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs"))
     n = F.lit(float(max(docs.count(), 2)))
     information = F.log(n / F.least(F.col("entity_docs").cast("double"), n - 0.5))
-    degree = 1 + F.log(F.least(F.col("both") / F.col("term_docs"), F.lit(1.0))) / information
-    return materialize(pairs.join(df, "term").withColumn("degree", degree).groupBy("term").agg(F.max("degree").alias("degree")).where(F.col("degree") >= disclosure), "pii-terms")
+    degree = 1 + F.log(F.col("both") / F.col("term_docs")) / information
+    pairs = materialize(pairs.join(counts, "term").withColumn("degree", degree).where(F.col("degree") >= disclosure).select("entity", "term", "degree"), "pii-pairs")
+    held = each.join(named, "row").select("entity", "place", "marks", F.explode("terms").alias("term")).join(pairs, ["entity", "term"], "left_semi")
+    held = materialize(held.dropDuplicates(["entity", "term", "place"]), "pii-held")
+    return materialize(pairs.join(_varied(held, support), ["entity", "term"], "left_semi").groupBy("term").agg(F.max("degree").alias("degree")), "pii-terms")
 
 
 def _marker(terms: frozenset):

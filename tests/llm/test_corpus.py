@@ -198,6 +198,12 @@ def test_targets_and_taken_words(spark, seed):
     assert Counter((r.doc_id, r["size"], r.taken) for r in again) == Counter((r.doc_id, r["size"], r.taken) for r in got)
 
 
+def test_budget_that_ends_late(spark):
+    rows = [(i, "a " * 10) for i in range(10)] + [(10, "b " * 260), (11, "c " * 130)]
+    source = lambda i: {10: "b", 11: "c"}.get(i, "a")
+    assert sum(r.taken for r in mixing.taken_words(docs(spark, rows, source)).collect()) == 300  # b and c finish at 2.05
+
+
 def test_slices_do_not_matter(spark, monkeypatch):
     rows = [(i, "w " * (1 + i % 7)) for i in range(300)]
     want = Counter((r.doc_id, r.taken) for r in mixing.taken_words(docs(spark, rows)).collect())

@@ -81,7 +81,9 @@ def fair_queue(rows: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] =
     queued = tagged.withColumn("_within", within).join(offsets, ["source_rank", "_slice"])
     queued = queued.withColumn("_sum", F.col("_before") + F.col("_within")).drop("_before", "_within", "_slice")
 
-    cut = _cut(queued.select("source_size", "source_rank", "target", "size", "_sum", "_key", "_tie"), bound.budget, slices, max_repeats)
+    cut = _cut(queued.select("source_size", "source_rank", "target", "size", "_sum", "_key", "_tie"), bound.budget, slices, max_repeats, 2.0)
+    if cut is None:  # the budget ends later, or nowhere
+        cut = _cut(queued.select("source_size", "source_rank", "target", "size", "_sum", "_key", "_tie"), bound.budget, slices, max_repeats)
     if cut is None:
         return queued, lambda p: F.lit(True)
     last = F.struct(F.lit(cut.f).alias("f"), F.lit(cut.s).alias("s"), F.lit(cut.k).alias("k"), F.lit(cut.t).alias("t"))
@@ -93,13 +95,15 @@ def finish_time(p: Column) -> Column:
     return F.coalesce((p * F.col("source_size") + F.col("_sum")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0))
 
 
-def _cut(queued: DataFrame, budget: int, slices: int, max_repeats: int):
-    """The first entry that would pass the budget, as a row (f, s, k, t); None if all entries fit.
+def _cut(queued: DataFrame, budget: int, slices: int, max_repeats: int, until: float | None = None):
+    """The first entry that would pass the budget, as a row (f, s, k, t); None if all entries (of finish time ``until`` at most) fit.
 
     Words per unit of virtual time are even while all sources have entries, so slices of time of equal
     width hold about equal numbers of words; only the slice where the budget ends is sorted.
     """
-    entries = queued.where("size > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).withColumn("f", finish_time(F.col("_pass"))).where("f <= 2.0")
+    entries = queued.where("size > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).withColumn("f", finish_time(F.col("_pass")))
+    if until is not None:
+        entries = entries.where(F.col("f") <= until)
     entries = materialize(entries.select("f", F.col("source_rank").alias("s"), F.col("_key").alias("k"), F.col("_tie").alias("t"), "size", F.floor(F.col("f") * (slices * 16)).alias("_at")), "mix-entries")
     by_time = entries.groupBy("_at").agg(F.sum("size").alias("_size"))
     upto = by_time.withColumn("_upto", F.sum("_size").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))

@@ -9,7 +9,8 @@ from tidewater.operators import (
     sessions_per_hour, step_length_histogram, visit_length_histogram,
 )
 from tidewater.plans import run_task
-from tidewater.sources import actions_in_range, read_task, read_task_jdbc, task_params, write_jdbc, write_task_output
+from tidewater.plans.job import main
+from tidewater.sources import actions_in_range, adapt_actions, read_task, read_task_jdbc, replace_task_jdbc, task_params, write_jdbc, write_task_output
 
 ACTION = "date string, user_id long, session_id string, page_id long, action_time string, search_keyword string, click_category_id long, click_product_id long, order_category_ids string, order_product_ids string, pay_category_ids string, pay_product_ids string"
 USER = "user_id long, username string, name string, age int, professional string, city string, sex string"
@@ -103,6 +104,15 @@ def test_more_days_than_total(spark):
     assert sample_sessions(s, 100).count() == 0
 
 
+def test_a_busy_hour_is_cut_before_the_shuffle(spark):
+    rows = [(f"s{i}", at(3600)) for i in range(400)]
+    s = session_user_join(session_rollup(actions(spark, rows)), users(spark))
+    got = sample_sessions(s, 30)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    every = sorted((r.h, r.session_id) for r in s.select("session_id", F.md5(F.concat(F.lit("0:"), F.col("session_id"))).alias("h")).collect())
+    assert {r.session_id for r in got.collect()} == {x for _, x in every[:30]}
+
+
 def test_partitions_do_not_matter(spark):
     a = actions(spark, [(f"s{i % 40}", at(i * 7 % 4000), f"k{i % 3}", i % 5) for i in range(400)])
     stat = lambda df: session_aggr_stat(session_rollup(df), 1).first()
@@ -152,6 +162,32 @@ def test_run_task_and_write_twice(spark, tmp_path):
     assert read("session_detail").groupBy("task_id").count().count() == 2
 
 
+def test_main(spark, tmp_path):
+    path = lambda n: f"file://{tmp_path}/{n}"
+    actions(spark, [(f"s{i % 30}", at(i), "k1", 5) for i in range(90)]).write.parquet(path("a"))
+    users(spark).write.parquet(path("u"))
+    task(spark, '{"sex":["male"]}', 5).write.parquet(path("t"))
+    main(["5", "--actions", path("a"), "--users", path("u"), "--tasks", path("t"), "--out", path("out"), "--total", "10"])
+    assert spark.read.parquet(path("out/session_aggr_stat")).first().session_count == 30
+    with pytest.raises(LookupError):
+        main(["6", "--actions", path("a"), "--users", path("u"), "--tasks", path("t"), "--out", path("out")])
+
+
+def test_dates_of_a_task_reach_the_scan(spark):
+    plan = adapt_actions(spark, "/root/testdata/sf0.001", "2024-01-03", "2024-01-20")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+
+
+def test_jdbc_results_are_replaced(spark):
+    url, driver = "jdbc:derby:memory:results;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "task_id int, session_id string")
+    write_jdbc(df, url, "session_detail", mode="overwrite", **driver)
+    write_jdbc(df.selectExpr("2 AS task_id", "session_id"), url, "session_detail", **driver)
+    for _ in range(2):
+        replace_task_jdbc(df, url, "session_detail", 1, **driver)
+    assert read_task_jdbc(spark, url, "session_detail", **driver).groupBy("task_id").count().orderBy("task_id").collect() == [(1, 2), (2, 2)]
+
+
 def test_jdbc_round_trip(spark):
     url = "jdbc:derby:memory:tasks;create=true"
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}

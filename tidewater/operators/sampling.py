@@ -36,19 +36,16 @@ def sample_quota(sessions: DataFrame, total: int = 100) -> DataFrame:
 def sample_sessions(sessions: DataFrame, total: int = 100, seed: str = "0") -> DataFrame:
     """The sampled sessions: the ``quota`` sessions of each hour with the smallest seeded hash.
 
-    A uniform draw without replacement that repeats for the same seed. A session is ranked only if its
-    hash lies under three times its hour's share (plus room for small hours), so a busy hour
-    sends a few times its quota, not its traffic, to the window. Hours where that threshold
-    would pass too few are ranked whole: the margin is over ten standard deviations, and hours of
-    under 10000 sessions are never cut.
+    A uniform draw without replacement that repeats for the same seed. No quota passes ``total``, so
+    every task keeps its own first ``total`` of an hour before the shuffle (Spark's window group limit, up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``): a busy hour sends a few rows a task, not its traffic. The
+    quota is joined to what is left.
     """
-    quota = sample_quota(sessions, total).where("quota > 0")
-    key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("session_id")))
-    lead = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    near = (F.col("n") < 10000) | (lead <= (F.col("quota") * 3 + 400) / F.col("n"))
-    s = _with_hour(sessions).withColumn("h", key).join(F.broadcast(quota), ["date", "hour"]).where(near)
+    quota = sample_quota(sessions, total).where("quota > 0").select("date", "hour", "quota")
     w = Window.partitionBy("date", "hour").orderBy("h", "session_id")
-    return s.withColumn("rn", F.row_number().over(w)).where("rn <= quota").drop("h", "rn", "n", "quota", "date", "hour")
+    ranked = _with_hour(sessions).withColumn("h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("session_id"))))
+    ranked = ranked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= total)
+    return ranked.join(quota, ["date", "hour"]).where("rn <= quota").drop("h", "rn", "quota", "date", "hour")
 
 
 def session_random_extract(sampled: DataFrame, task_id: int) -> DataFrame:

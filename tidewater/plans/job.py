@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import argparse
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators import SessionFilter, sample_sessions, session_aggr_stat, session_detail, session_random_extract, session_rollup, session_user_join
 from tidewater.sources import actions_in_range, read_task, write_task_output
@@ -28,10 +30,31 @@ class TaskResult(NamedTuple):
             self.sessions.unpersist()
 
 
-def run_task(actions: DataFrame, users: DataFrame, tasks: DataFrame, task_id: int, total: int = 100, seed: str = "0") -> TaskResult:
-    """Run one task. A missing task raises; the task row is the only thing the driver reads."""
+def run_task(actions: DataFrame | Callable[[str | None, str | None], DataFrame], users: DataFrame, tasks: DataFrame, task_id: int, total: int = 100, seed: str = "0") -> TaskResult:
+    """Run one task. A missing task raises; the task row is the only thing the driver reads.
+
+    ``actions`` is the action log, or a function from the task's dates to that part of it, for logs whose ``date`` is not a stored column.
+    """
     p = read_task(tasks, task_id)
-    actions = actions_in_range(actions, p.start_date, p.end_date)
+    actions = actions(p.start_date, p.end_date) if callable(actions) else actions_in_range(actions, p.start_date, p.end_date)
     sessions = SessionFilter.of(p).apply(session_user_join(session_rollup(actions), users))
     sampled = sample_sessions(sessions, total, seed)
     return TaskResult(sessions, session_aggr_stat(sessions, task_id), session_random_extract(sampled, task_id), session_detail(actions, sampled, task_id))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``spark-submit tidewater/plans/job.py TASK_ID --actions ... --users ... --tasks ... --out ...``"""
+    a = argparse.ArgumentParser(description="Run one task and write its three tables.")
+    a.add_argument("task_id", type=int)
+    for name in ("actions", "users", "tasks", "out"):
+        a.add_argument(f"--{name}", required=True, help="parquet path" if name != "out" else "folder of the results")
+    a.add_argument("--total", type=int, default=100)
+    a.add_argument("--seed", default="0")
+    x = a.parse_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    read = spark.read.parquet
+    run_task(read(x.actions), read(x.users), read(x.tasks), x.task_id, x.total, x.seed).write(x.out)
+
+
+if __name__ == "__main__":
+    main()

@@ -1,11 +1,12 @@
 """Registered session queries over the test tables, with the same query in SQL.
 
 The tables have no session id: a session is one user's day in ``events`` (see
-``tidewater.sources.actions``). The date range and the task are fixed parameters.
+``tidewater.sources.actions``). Only ``action_date_range`` and the tasks have a date range; all other queries read every action.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -20,14 +21,15 @@ from tidewater.plans.job import run_task
 from tidewater.sources import adapt_actions, adapt_users, task_params, user_dim, write_task_output
 from tidewater.sources.scratch import scratch_path
 
-START, END, TOTAL, TASK_ID, SEED = "2024-01-03", "2024-01-20", 1000, 1, "0"
+START, END, TOTAL, TASK_ID, SEED = "2024-01-03", "2024-01-20", 1000, 2, "0"
 PROFESSIONALS, CITIES, KEYWORDS, CATEGORIES = ("BUILDING", "FURNITURE", "MACHINERY"), ("NATION_1", "NATION_2"), ("kw1", "kw2"), (5, 7)
 ALL_CITIES, ALL_KEYWORDS, ALL_CATEGORIES = tuple(f"NATION_{i}" for i in range(15)), tuple(f"kw{i}" for i in range(8)), tuple(range(80))
-TASK_PARAM = '{"startDate":["2024-01-03"],"endDate":["2024-01-20"],"startAge":["20"],"endAge":["60"],"professionals":["BUILDING,FURNITURE,MACHINERY"],"keywords":["kw1,kw2"]}'
+#: Parameters of the task of region k: each task has others. Those of the second are START, END, ages 20 to 60, PROFESSIONALS, KEYWORDS.
+TASK_PARAM = '{"startDate":["2024-01-0<2+k>"],"endDate":["2024-01-<21-k>"],"startAge":["<19+k>"],"endAge":["<61-k>"],"professionals":["BUILDING,FURNITURE,MACHINERY"],"keywords":["kw<k>,kw<1+k>"]}'
 
 
 def _actions(spark: SparkSession, d: str) -> DataFrame:
-    return adapt_actions(spark, d, START, END)
+    return adapt_actions(spark, d)
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +52,10 @@ def _filtered(**kw) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
-    """The task table: a record per region, all with the same parameters."""
-    r = spark.read.parquet(f"{d}/region.parquet")
-    return r.select((F.col("r_regionkey") + 1).cast("int").alias("task_id"), F.col("r_name").alias("task_name"), F.lit(TASK_PARAM).alias("task_param"))
+    """The task table: a record per region, each with parameters of its own."""
+    r = spark.read.parquet(f"{d}/region.parquet").withColumn("k", F.col("r_regionkey"))
+    param = F.concat(*(F.expr(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(re.split("[<>]", TASK_PARAM))))
+    return r.select((F.col("k") + 1).cast("int").alias("task_id"), F.col("r_name").alias("task_name"), param.alias("task_param"))
 
 
 def _sampled(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +63,7 @@ def _sampled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _job(spark: SparkSession, d: str, which: str) -> DataFrame:
-    r = run_task(adapt_actions(spark, d), adapt_users(spark, d), _tasks(spark, d), TASK_ID, TOTAL, SEED)
+    r = run_task(lambda start, end: adapt_actions(spark, d, start, end), adapt_users(spark, d), _tasks(spark, d), TASK_ID, TOTAL, SEED)
     return getattr(r, which)
 
 
@@ -74,7 +77,7 @@ def _sink(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "action_date_range": _actions,
+        "action_date_range": lambda s, d: adapt_actions(s, d, START, END),
         "user_dim": lambda s, d: user_dim(adapt_users(s, d)),
         "task_params": lambda s, d: task_params(_tasks(s, d), TASK_ID),
         "session_rollup": lambda s, d: _flat(session_rollup(_actions(s, d))),
@@ -103,8 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-_ALL_ACTIONS = """
-all_actions AS (
+_ACTIONS = """
+actions AS (
   SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, user_id, CAST(user_id AS VARCHAR) || '_' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id,
     k % 10 AS page_id, CAST(date_trunc('second', ts) AS VARCHAR) AS action_time,
     CASE WHEN event_type = 'view' THEN 'kw' || CAST(k % 10 AS VARCHAR) END AS search_keyword,
@@ -112,8 +115,7 @@ all_actions AS (
     CASE WHEN event_type = 'signup' THEN CAST(k AS VARCHAR) END AS order_category_ids, CASE WHEN event_type = 'signup' THEN CAST(event_id % 100 AS VARCHAR) END AS order_product_ids,
     CASE WHEN event_type = 'purchase' THEN CAST(k AS VARCHAR) END AS pay_category_ids, CASE WHEN event_type = 'purchase' THEN CAST(event_id % 100 AS VARCHAR) END AS pay_product_ids
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
-_ACTIONS = _ALL_ACTIONS + f""",
-actions AS (SELECT * FROM all_actions WHERE date BETWEEN '{START}' AND '{END}')"""
+_RANGE = _ACTIONS.replace("FROM events)", f"FROM events WHERE CAST(ts AS DATE) BETWEEN '{START}' AND '{END}')")
 _USERS = """,
 users AS (
   SELECT c_custkey AS user_id, c_name AS username, c_name AS name, CAST(18 + c_custkey % 60 AS INTEGER) AS age, c_mktsegment AS professional,
@@ -167,13 +169,15 @@ def oracle_sql() -> dict[str, str]:
     }
     extract = f"SELECT CAST({TASK_ID} AS INTEGER) AS task_id, session_id, start_time, nullif(click_category_ids, '') AS click_category_ids, nullif(search_keywords, '') AS search_keywords FROM sampled"
     detail = f"SELECT CAST({TASK_ID} AS INTEGER) AS task_id, user_id, session_id, page_id, action_time, search_keyword, click_category_id, click_product_id, order_category_ids, order_product_ids, pay_category_ids, pay_product_ids FROM actions WHERE session_id IN (SELECT session_id FROM sampled)"
-    job = f"WITH {_ACTIONS}{_USERS}{_ROLLUP},\nkept AS (SELECT * FROM sessions WHERE {where['filter_age']} AND {where['filter_professional']} AND {where['filter_keywords']})"
-    first = lambda k: f"nullif(json_extract_string('{TASK_PARAM}', '$.{k}[0]'), '') AS {k}"
+    job = f"WITH {_RANGE}{_USERS}{_ROLLUP},\nkept AS (SELECT * FROM sessions WHERE {where['filter_age']} AND {where['filter_professional']} AND {where['filter_keywords']})"
+    param = " || ".join(f"CAST({p} AS VARCHAR)" if i % 2 else f"'{p}'" for i, p in enumerate(re.split("[<>]", TASK_PARAM)))
+    tasks = f"(SELECT CAST(k + 1 AS INTEGER) AS task_id, {param} AS p FROM (SELECT r_regionkey AS k FROM region))"
+    first = lambda k: f"nullif(json_extract_string(p, '$.{k}[0]'), '') AS {k}"
     stat = f"{base} {_stat('kept')}"
     return {
-        "action_date_range": f"WITH {_ACTIONS} SELECT * FROM actions",
+        "action_date_range": f"WITH {_RANGE} SELECT * FROM actions",
         "user_dim": f"WITH {_USERS.lstrip(', ')} SELECT * FROM users",
-        "task_params": f"SELECT CAST(r_regionkey + 1 AS INTEGER) AS task_id, {', '.join(map(first, ('startDate', 'endDate', 'startAge', 'endAge', 'professionals', 'cities', 'sex', 'keywords', 'categoryIds')))} FROM region WHERE r_regionkey + 1 = {TASK_ID}",
+        "task_params": f"SELECT task_id, {', '.join(map(first, ('startDate', 'endDate', 'startAge', 'endAge', 'professionals', 'cities', 'sex', 'keywords', 'categoryIds')))} FROM {tasks} WHERE task_id = {TASK_ID}",
         "session_rollup": f"{base} SELECT * EXCLUDE (kws, cats) FROM flat",
         "session_user_join": f"{base} {_OUT}",
         "session_count": f"{base} SELECT count(*) AS session_count FROM sessions",

@@ -10,6 +10,20 @@ def write_task_output(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id").parquet(path)
 
 
+def replace_task_jdbc(df: DataFrame, url: str, table: str, task_id: int, batch_size: int = 1000, **options: str) -> None:
+    """Write a task's rows over JDBC in place of those it had: a re-run leaves no duplicates. The table must exist; if the write fails, run it again."""
+    jvm = df.sparkSession._jvm
+    column = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier("task_id")  # as Spark names it when it writes
+    connection = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        old = connection.prepareStatement(f"DELETE FROM {table} WHERE {column} = ?")
+        old.setInt(1, task_id)
+        old.executeUpdate()
+    finally:
+        connection.close()
+    write_jdbc(df, url, table, batch_size, **options)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 1000, mode: str = "append", **options: str) -> None:
     """Write over JDBC in batches of ``batch_size`` rows a statement; errors propagate."""
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch_size), **options).mode(mode).save()

@@ -4,12 +4,14 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from brute_katz import brute, lower
 from pyspark.sql import functions as F
 
 from tidewater.llm import jaccard_join, katz, mixing, sharding, toxicity
 from tidewater.llm.components import components
+from tidewater.llm.sql import OP9
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, component string"
 EDGES = [(None, None), (None, ""), (1, ""), (1, ""), (2, "word"), (2, "word"), (3, " \n\t "), (4, "a " * 30000), (6, None), (None, "same words here"), (None, "same words here")]
@@ -204,6 +206,33 @@ def test_budget_that_ends_late(spark):
     assert sum(r.taken for r in mixing.taken_words(docs(spark, rows, source)).collect()) == 300  # b and c finish at 2.05
 
 
+def by_sql(rows, source):
+    """Words taken by id, from the query's SQL."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, t, source(i)) for i, t in rows])
+    return {r[0]: r[4] for r in con.sql(OP9).project("doc_id, size, source_size, target, taken").fetchall()}
+
+
+def test_a_document_over_twice_its_target(spark):
+    rows = [(i, "w") for i in range(14)] + [(14, "w " * 40)]
+    source = lambda i: "a" if i < 10 else "b" if i < 14 else "c"
+    got = {r.doc_id: r.taken for r in mixing.taken_words(docs(spark, rows, source)).collect()}
+    assert got == by_sql(rows, source) and sum(got.values()) <= 54
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_large_documents_equal_sql(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "BINS", 3)
+    monkeypatch.setattr(mixing, "SORTED", 2 + seed)
+    rng = random.Random(seed)
+    rows = [(i, "w " * rng.choice((0, 1, 3, 200, 900))) for i in range(rng.randint(5, 60))]
+    source = lambda i: f"s{i * i % rng_sources}"
+    rng_sources = rng.randint(2, 9)
+    got = {r.doc_id: r.taken for r in mixing.taken_words(docs(spark, rows, source)).collect()}
+    assert got == by_sql(rows, source) and sum(got.values()) <= sum(len(t.split()) for _, t in rows)
+
+
 def test_slices_do_not_matter(spark, monkeypatch):
     rows = [(i, "w " * (1 + i % 7)) for i in range(300)]
     want = Counter((r.doc_id, r.taken) for r in mixing.taken_words(docs(spark, rows)).collect())

@@ -1,7 +1,9 @@
 """Operators on single texts: personal data, HTML, URLs, tiling, fingerprints, toxicity."""
 
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -132,11 +134,81 @@ def test_shared_part_of_terms(spark):
     assert all(r.s == pytest.approx(2 * len({*r.a} & {*r.b}) / (len(r.a) + len(r.b))) for r in got)
 
 
-def test_terms_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(pii, "BLOCK_TERMS", 1)
+@pytest.mark.parametrize("sent", [0, 100])
+def test_terms_meet_their_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "SENT_TERMS", sent)
     terms = spark.createDataFrame([("bbb", 1.0), ("aaa", 1.0), ("ccc", 1.0)], "term string, degree double")
-    got = pii.find(docs(spark, [(1, "ccc aaa x bbb aaa")]), terms).first()
-    assert got.spans == "term:0:3,term:4:7,term:10:13,term:14:17" and got.n_term == 4
+    df = docs(spark, [(11, "ccc aaa x bbb aaa"), (12, "Aaa a@b.co"), *EDGES])
+    got = {r.doc_id: r for r in pii.find(df, terms).collect()}
+    assert got[11].spans == "term:0:3,term:4:7,term:10:13,term:14:17" and got[11].n_term == 4
+    assert got[12].spans == "email:4:10,term:0:3" and got[12].base_spans == "email:4:10" and got[6].spans == ""
+    assert pii.find(df, terms).count() == 2 + len(EDGES) and pii.find(df, terms).columns[: len(df.columns)] == df.columns
+
+
+def brute_disclosing(texts, disclosure=0.9, support=3, mistakes=0.05):
+    """Degrees of terms by counting over all pairs of a term and an entity."""
+    n, held, named, seen = max(len(texts), 2), {}, {}, {}
+    for i, t in enumerate(texts):
+        spans = pii.base_spans(t)
+        for w in {w.lower() for w in pii.TERM.findall(t)}:
+            held.setdefault(w, set()).add(i)
+        outside = [m[0].lower() for m in pii.TERM.finditer(t) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        if spans and outside:
+            seen[i] = (pii._key(*outside), set(outside) | set(zip(outside, outside[1:])), set(outside))
+            for e in pii.entities_of(t, spans):
+                named.setdefault(e, set()).add(i)
+    named = {e: rows for e, rows in named.items() if len({seen[i][0] for i in rows}) >= support}
+    out = {}
+    for rows in named.values():
+        p = min(len(rows), n - 0.5) / n
+        for w in set().union(*(seen[i][2] for i in rows)):
+            both, m = [i for i in rows if w in seen[i][2]], len(held[w])
+            q = len(both) / m
+            degree = 1 + math.log(q) / -math.log(p)
+            chance = math.exp(-m * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0))) if q > p else 1
+            places = sorted({seen[i][0]: seen[i][1] for i in both}.items())
+            groups = 0
+            while places:  # the first place and all like it are one
+                groups += 1
+                lead = places[0][1]
+                places = [x for x in places if 2 * len(x[1] & lead) / (len(x[1]) + len(lead)) <= 0.5]
+            if len(both) >= support and degree >= disclosure and chance * len(held) * len(named) <= mistakes and groups >= support:
+                out[w] = max(out.get(w, 0), degree)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_degrees_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice((3, 5))))
+    parties = [("acme", lambda: f"{word()}@acme.example"), ("orb", lambda: f"+44 20 7{rng.randint(100, 999)} {rng.randint(1000, 9999)}"), ("netz", lambda: f"10.7.{rng.randint(0, 255)}.{rng.randint(0, 255)}"), ("pat", lambda: "pat@x.org")]
+    texts = []
+    for _ in range(250):
+        ws = [word() for _ in range(rng.randint(4, 12))]
+        if rng.random() < 0.3:
+            name, value = rng.choice(parties)
+            ws += [value(), name] if rng.random() < 0.9 else [value()]
+        elif rng.random() < 0.02:
+            ws.append(rng.choice(parties)[0])
+        rng.shuffle(ws)
+        texts += [" ".join(ws)] * rng.choice((1, 1, 1, 3))
+    want = brute_disclosing(texts)
+    got = {r.term: r.degree for r in pii.disclosing_terms(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == pytest.approx(want) and len(want) >= 2  # of one party each, though values differ
+    marked = sum(r.n_term for r in pii.find(docs(spark, list(enumerate(texts)))).collect())
+    assert marked >= sum(any(w in want for w in t.split()) for t in texts) > 0
+
+
+def test_time_grows_with_the_text():
+    def took(n):
+        text = " ".join(f"a{i}@b.co word" for i in range(n))
+        began = time.perf_counter()
+        assert pii._marked(text, {"word"})[-1] == n
+        assert len(pii._outside(text, pii.base_spans(text))) == n
+        return time.perf_counter() - began
+
+    took(2000)
+    assert took(32000) < 8 * took(8000) + 0.05
 
 
 # op2

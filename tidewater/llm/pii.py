@@ -1,10 +1,13 @@
 """Personal data: fixed patterns, and terms that give protected values away.
 
-Protected entities are the values that the patterns find (an address, a number). Over the whole corpus, the terms of the
+Protected entities are the values that the patterns find (an address, a number) and what several values share and one party
+holds: an email domain, the start of a phone number, a network, a card's issuer. Over the whole corpus, the terms of the
 documents that name an entity are counted with it, wherever they stand. A term discloses an entity when knowing the term
 removes most of what was unknown: PMI(term, entity) / IC(entity) >= ``DISCLOSURE``, where IC(entity) = -log p(entity) and
 PMI = log p(entity | term) - log p(entity), in documents. Copies say nothing new, so at least ``SUPPORT`` documents
-that are not near copies of each other must hold the pair. Such terms are marked everywhere, and generalised or removed.
+that are not near copies of each other must hold the pair; and a rare term may meet a common entity by chance, so a
+pair counts only where under ``MISTAKES`` such pairs are to be expected among all terms and entities. Disclosing terms are marked
+everywhere, and generalised or removed.
 
 Edge cases: null text is empty; spans are in code points, end exclusive; a term that touches a pattern's span
 is not marked again; an empty corpus discloses nothing; null or repeated ids only repeat rows (documents
@@ -20,13 +23,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewater.llm.session import bounded_batches
-from tidewater.sources.scratch import materialize
+from tidewater.sources.scratch import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A digit run is tried from its start only: what fails there fails further in too.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -38,7 +40,9 @@ DISCLOSURE = 0.9
 SUPPORT = 3
 ALIKE = 0.5  # documents that share more than this part of their terms and pairs of neighbouring terms are near copies
 MARKS = 64  # hashes kept of a document to compare it
-BLOCK_TERMS = 200_000  # terms sent to the executors at a time; more are handled in further blocks
+MISTAKES = 0.05  # pairs of a term and an entity expected by chance, at most
+SENT_TERMS = 200_000  # up to so many disclosing terms are sent to every task; more meet their texts by a shuffle
+SALTS = 16  # parts of the rows of one entity, or of one text
 
 Span = tuple[str, int, int]
 
@@ -104,6 +108,20 @@ def _outside(text: str, spans: list[Span]) -> list[str]:
     return out
 
 
+def entities_of(text: str, spans: list[Span]) -> set[tuple[str, str]]:
+    """(kind, value) of the values in a text, and of what values of one party share."""
+    out = set()
+    for kind, a, b in spans:
+        if kind == "email":
+            value = text[a:b].lower()
+            shared = value.rpartition("@")[2]
+        else:
+            value = re.sub(r"[^0-9.+]", "", text[a:b])
+            shared = ".".join(value.split(".")[:2]) if kind == "ip" else value[: 6 if kind == "card" else 5]
+        out |= {(kind, value), (f"{kind} of", shared)}
+    return out
+
+
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents that name entities: equal terms in order have equal places; marks are the smallest hashes of terms and pairs of neighbours."""
     for b in batches:
@@ -112,9 +130,8 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spans = base_spans(text) if text else []
             terms = _outside(text, spans) if spans else []
             if terms:
-                entities = {_key(k, text[i:j].lower() if k == "email" else re.sub(r"[^0-9.+]", "", text[i:j])) for k, i, j in spans}
                 marks = heapq.nsmallest(MARKS, {*map(_key, terms), *map(_key, terms, terms[1:])})
-                rows.append((row, sorted(entities), _key(*terms), marks, sorted({*terms})))
+                rows.append((row, sorted(_key(*e) for e in entities_of(text, spans)), _key(*terms), marks, sorted({*terms})))
         yield pd.DataFrame(rows, columns=["row", "entities", "place", "marks", "terms"])
 
 
@@ -127,15 +144,6 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": pd.Series(list(n), dtype=object), "docs": pd.Series(list(n.values()), dtype="int64")})
 
 
-def _blocks(terms: DataFrame) -> Iterator[frozenset]:
-    """Distinct terms, ``BLOCK_TERMS`` at most at a time."""
-    n = terms.count()
-    blocks = -(-n // BLOCK_TERMS)
-    for i in range(blocks):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i) if blocks > 1 else terms
-        yield frozenset(r.term for r in part.toLocalIterator())
-
-
 def _shared(a: str, b: str) -> Column:
     """The part that two sets share, 2|a and b| / (|a| + |b|), from their smallest hashes; exact under ``MARKS`` of them."""
     both, full = F.array_sort(F.array_union(a, b)), (F.size(a) >= MARKS) | (F.size(b) >= MARKS)
@@ -155,65 +163,106 @@ def _varied(each: DataFrame, support: int) -> DataFrame:
     return each.select("entity", "term").distinct()
 
 
-def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(term, degree): terms whose strongest disclosure of any entity reaches the threshold, from the whole corpus."""
+def _chance(both: Column, term_docs: Column, share: Column) -> Column:
+    """Log of an upper bound (Chernoff's) of the chance that so many of a term's documents name an entity that this share of all name."""
+    p = both / term_docs
+    rest = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    return F.when(p > share, -term_docs * (p * F.log(p / share) + rest)).otherwise(0.0)
+
+
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, mistakes: float = MISTAKES) -> DataFrame:
+    """(term, degree): terms whose strongest disclosure of any entity reaches the threshold, from the whole corpus.
+
+    ``docs`` is read twice: it should be a stored table.
+    """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     named = texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_contexts, "row long, entities array<long>, place long, marks array<long>, terms array<string>")
     named = materialize(named, "pii-named")
     each = named.select("row", "place", F.explode("entities").alias("entity"))
     entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"), F.count_distinct("place").alias("places")).where(F.col("places") >= support)
-    each = materialize(each.join(entities.select("entity", "entity_docs"), "entity").select("row", "entity", "entity_docs"), "pii-entities")
+    # an entity may be in a third of all rows: they are dealt to SALTS tasks
+    entities = materialize(entities.select("entity", "entity_docs"), "pii-counts")
+    salted = entities.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, ["entity", "salt"])
+    each = materialize(each.select("row", "entity", "entity_docs"), "pii-entities")
     pairs = each.join(named.select("row", "terms"), "row").select("entity", "entity_docs", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "entity_docs", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    counts = texts.mapInPandas(_counted, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs"))
+    counts = materialize(texts.mapInPandas(_counted, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs")), "pii-terms")
     n = F.lit(float(max(docs.count(), 2)))
-    information = F.log(n / F.least(F.col("entity_docs").cast("double"), n - 0.5))
-    degree = 1 + F.log(F.col("both") / F.col("term_docs")) / information
-    pairs = materialize(pairs.join(counts, "term").withColumn("degree", degree).where(F.col("degree") >= disclosure).select("entity", "term", "degree"), "pii-pairs")
+    tried = float(max(counts.count(), 1) * max(entities.count(), 1))
+    share = F.least(F.col("entity_docs").cast("double"), n - 0.5) / n
+    degree = 1 + F.log(F.col("both") / F.col("term_docs")) / -F.log(share)
+    pairs = pairs.join(counts, "term").withColumn("degree", degree).where(F.col("degree") >= disclosure)
+    pairs = pairs.where(_chance(F.col("both"), F.col("term_docs"), share) + F.log(F.lit(tried)) <= F.log(F.lit(mistakes)))
+    pairs = materialize(pairs.select("entity", "term", "degree"), "pii-pairs")
     held = each.join(named, "row").select("entity", "place", "marks", F.explode("terms").alias("term")).join(pairs, ["entity", "term"], "left_semi")
     held = materialize(held.dropDuplicates(["entity", "term", "place"]), "pii-held")
-    return materialize(pairs.join(_varied(held, support), ["entity", "term"], "left_semi").groupBy("term").agg(F.max("degree").alias("degree")), "pii-terms")
+    out = materialize(pairs.join(_varied(held, support), ["entity", "term"], "left_semi").groupBy("term").agg(F.max("degree").alias("degree")), "pii-disclosing")
+    discard(named, entities, each, counts, pairs, held)
+    return out
+
 
+def _marked(text: str | None, terms: frozenset | set) -> tuple:
+    """Numbers by kind, base spans and terms' spans of one text, in one walk over both."""
+    text = text or ""
+    base = base_spans(text)
+    more: list[Span] = []
+    if terms and text:
+        busy, i = sorted((a, b) for _, a, b in base), 0
+        for m in TERM.finditer(text):
+            while i < len(busy) and busy[i][1] <= m.start():
+                i += 1
+            if m[0].lower() in terms and (i == len(busy) or busy[i][0] >= m.end()):
+                more.append(("term", *m.span()))
+    return *(sum(k == kind for k, _, _ in base) for kind in KINDS), joined(base), joined(base + more), len(more)
 
-def _marker(terms: frozenset):
-    def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                t = t or ""
-                base = base_spans(t)
-                more: list[Span] = []
-                if terms and t:
-                    busy = sorted((a, b) for _, a, b in base)
-                    for m in TERM.finditer(t):
-                        if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in busy):
-                            more.append(("term", *m.span()))
-                rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), joined(base), joined(more)))
-            yield pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base", "more"])
 
-    return F.pandas_udf(mark, "n_email long, n_ip long, n_card long, n_phone long, base string, more string")
+MADE = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "n_term")
+MARKED = T.StructType([T.StructField(c, T.StringType() if "spans" in c else T.LongType()) for c in MADE])
 
 
 def find(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """``docs`` with n_email, n_ip, n_card, n_phone, base_spans, spans (those and the terms'), n_term."""
     bounded_batches(docs.sparkSession)
-    terms = disclosing_terms(docs) if terms is None else terms
-    made = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "n_term")
-    out = docs.drop(*made)
+    terms = (disclosing_terms(docs) if terms is None else terms).select("term").distinct()
+    out = docs.drop(*MADE)
     given = out.columns
-    blocks = list(_blocks(terms.select("term"))) or [frozenset()]
-    out = out.withColumns({f"_pii{i}": _marker(b)(F.col("text")) for i, b in enumerate(blocks)})
-    lists = [F.nullif(F.col(f"_pii{i}.more"), F.lit("")) for i in range(len(blocks))]
-    more = F.array_compact(F.array(*lists))
-    if len(blocks) > 1:  # back into order of start
-        parts = F.filter(F.split(F.array_join(more, ","), ","), lambda s: s != "")
-        more = F.transform(F.array_sort(F.transform(parts, lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("a"), s.alias("s")))), lambda x: x["s"])
-    found = F.array_join(more, ",")
-    return out.select(
-        *given, *(F.col(f"_pii0.n_{k}").alias(f"n_{k}") for k in KINDS), F.col("_pii0.base").alias("base_spans"),
-        F.concat_ws(",", F.nullif(F.col("_pii0.base"), F.lit("")), F.nullif(found, F.lit(""))).alias("spans"),
-        F.when(found == "", 0).otherwise(F.size(F.split(found, ","))).cast("bigint").alias("n_term"),
-    )
+    first = terms.limit(SENT_TERMS + 1).collect()
+    if len(first) <= SENT_TERMS:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in first))
+
+        @F.pandas_udf(MARKED)
+        def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                yield pd.DataFrame([_marked(t, known.value) for t in texts], columns=list(MADE))
+
+        out = out.withColumn("_pii", mark(F.col("text")))
+    else:
+        out = _with_own_terms(out, terms).withColumn("_pii", _mark_own("text", "_pii_terms")).drop("_pii_terms")
+    return out.select(*given, *(F.col(f"_pii.{c}").alias(c) for c in MADE))
+
+
+@F.pandas_udf(MARKED)
+def _mark_own(texts: pd.Series, terms: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_marked(t, set(() if own is None else own)) for t, own in zip(texts, terms, strict=True)], columns=list(MADE))
+
+
+def _with_own_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``docs`` with ``_pii_terms``, the disclosing terms that the text holds, brought to it by a shuffle. Copies of one text are dealt to SALTS tasks."""
+    key = F.sha2("text", 256)
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, w) for k, t in zip(b["key"], b["text"], strict=True) for w in ({x.lower() for x in TERM.findall(t)} if t else ())]
+            yield pd.DataFrame(rows, columns=["key", "term"])
+
+    hits = docs.select(key.alias("key"), "text").mapInPandas(explode, "key string, term string").join(terms, "term", "left_semi")
+    hits = hits.groupBy("key").agg(F.collect_set("term").alias("_pii_terms"))
+    hits = hits.withColumn("_pii_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))).withColumnRenamed("key", "_pii_key")
+    other = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    docs = docs.withColumns({"_pii_key": key, "_pii_salt": F.pmod(F.xxhash64(*other), F.lit(SALTS))})
+    return docs.join(hits, ["_pii_key", "_pii_salt"], "left").drop("_pii_key", "_pii_salt")
 
 
 def _replace(text: str, spans: str, generalise: bool) -> str:

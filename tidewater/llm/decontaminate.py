@@ -1,13 +1,16 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are word sequences (case and punctuation aside). Runs of ``SEED`` words
-found on both sides by Karp-Rabin hashes are the seeds; seeds on one diagonal join to matches. The longest match
-whose words are free on both sides is marked, again and again, what is left of a match that overlaps
-going back in line. The share of the item's words that end up marked is its coverage; since
-tiles may lie in any order, reordered passages are caught too.
+found on both sides by Karp-Rabin hashes are the seeds; only pairs of a document and an item whose seeds can cover enough of the item go
+on. Of such a pair the longest match of free words is marked, again and again, down to ``SEED`` words: the longest length is found by halving, with
+running Karp-Rabin hashes of all free stretches of a length, and all matches of that length are marked in one walk, the first in the document first. The
+share of the item's words that end up marked is its coverage; since tiles may lie in any order, reordered passages are caught too.
 
-The benchmark goes to the executors as a sorted index of ``BLOCK_WORDS`` words at most; a larger one goes in blocks, each a pass
-over the documents. Documents are not shuffled, so no source or passage can make a hot spot.
+A seed counts once for a document and once for an item, however often it stands there, and no pairs of places are listed, so
+texts of a few words over and over take time and memory by their length.
+
+The benchmark goes to the executors as a sorted index of about ``BLOCK_WORDS`` words at most; a larger one goes in blocks, each a pass
+over the documents whose result is stored before the next. Documents are not shuffled, so no source or passage can make a hot spot.
 
 Edge cases: null or empty texts match nothing; items of fewer than ``SEED`` words have no seeds and are
 never reported; repeated documents and items are reported each; empty tables give no rows.
@@ -15,7 +18,6 @@ never reported; repeated documents and items are reported each; empty tables giv
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,45 +26,82 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewater.llm import words
 from tidewater.llm.session import bounded_batches
+from tidewater.sources.scratch import materialize
 
 SEED = 5
 COVERAGE = 0.5
 BLOCK_WORDS = 2_000_000
 FILTER_BITS = 20
+HITS = 1_000_000  # hits of seeds looked at together, about
 
 
 class Index:
-    """Seeds of one block of the benchmark, sorted by hash."""
+    """One block of the benchmark: its words, and its seeds sorted by hash, each once for an item with the times it stands there."""
 
     def __init__(self, ids: list, texts: list[str], seed: int) -> None:
         self.ids, self.seed = ids, seed
-        hashes, items, places, lengths = [], [], [], []
-        for lo, hi, h, first in words.pieces(pa.array(texts, pa.large_string()), plain=True):
-            n = np.diff(first)
-            lengths.append(n)
+        all_words, lengths, hashes, items = [], [np.zeros(0, np.int64)], [], []
+        for lo, _, h, first in words.pieces(pa.array(texts, pa.large_string()), plain=True):
             start, row = _starts(first, seed)
+            all_words.append(h)
+            lengths.append(np.diff(first))
             hashes.append(words.window(words.running(h), start, start + seed))
             items.append(row + lo)
-            places.append(start - first[row])
-        self.lengths = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+        self.lengths = np.concatenate(lengths)
+        self.first = np.concatenate(([0], np.cumsum(self.lengths)))
+        self.word = np.concatenate(all_words) if all_words else np.empty(0, np.uint64)
         key = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.item = np.concatenate(items)[order].astype(np.int64) if items else np.empty(0, np.int64)
-        self.place = np.concatenate(places)[order].astype(np.int64) if places else np.empty(0, np.int64)
+        item = np.concatenate(items).astype(np.int64) if items else np.empty(0, np.int64)
+        self.key, self.item, self.times = _counted(key, item)
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[self.key >> np.uint64(64 - FILTER_BITS)] = True
 
-    def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place in row, item, place in item) of every seed that a row shares with an item."""
+    def pairs(self, h: np.ndarray, first: np.ndarray, coverage: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(row, item, starts of shared seeds in the row) where the shared seeds may cover enough of the item."""
         start, row = _starts(first, self.seed)
         key = words.window(words.running(h), start, start + self.seed)
         near = np.flatnonzero(self.maybe[key >> np.uint64(64 - FILTER_BITS)])
-        lo, hi = np.searchsorted(self.key, key[near], "left"), np.searchsorted(self.key, key[near], "right")
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-        near = np.repeat(near, n)
-        return row[near], start[near] - first[row[near]], self.item[at], self.place[at]
+        near = near[np.isin(key[near], self.key)]
+        if not len(near):
+            return
+        near = near[np.lexsort((near, key[near], row[near]))]
+        new = np.ones(len(near), bool)
+        new[1:] = (key[near][1:] != key[near][:-1]) | (row[near][1:] != row[near][:-1])
+        one = np.flatnonzero(new)  # each seed of a row once
+        end = np.append(one[1:], len(near))
+        lo, hi = (np.searchsorted(self.key, key[near[one]], side) for side in ("left", "right"))
+        n, of_row = hi - lo, row[near[one]]
+        upto = np.cumsum(n)
+        at = 0
+        while at < len(one):
+            # whole rows, of about HITS hits together
+            to = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + HITS)), at + 1)
+            to = int(np.searchsorted(of_row, of_row[to - 1], "right"))
+            m = n[at:to]
+            seed = np.repeat(np.arange(at, to), m)
+            posting = np.arange(m.sum()) + np.repeat(lo[at:to] - (np.cumsum(m) - m), m)
+            item = self.item[posting]
+            order = np.lexsort((item, of_row[seed]))
+            seed, item, times = seed[order], item[order], self.times[posting[order]]
+            cut = np.flatnonzero((np.diff(of_row[seed]) != 0) | (np.diff(item) != 0)) + 1
+            begin = np.concatenate(([0], cut))
+            most = np.add.reduceat(times, begin) * self.seed  # no tiling covers more
+            for i in np.flatnonzero(most >= coverage * self.lengths[item[begin]]).tolist():
+                own = seed[begin[i] : begin[i + 1] if i + 1 < len(begin) else len(seed)]
+                size = end[own] - one[own]
+                places = near[np.arange(size.sum()) + np.repeat(one[own] - (np.cumsum(size) - size), size)]
+                yield int(of_row[own[0]]), int(item[begin[i]]), np.sort(start[places])
+            at = to
+
+
+def _counted(key: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order of key, then item, and how often each stands."""
+    order = np.lexsort((item, key))
+    key, item = key[order], item[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1])
+    one = np.flatnonzero(new)
+    return key[one], item[one], np.diff(np.append(one, len(key)))
 
 
 def _starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,62 +111,89 @@ def _starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], count), np.repeat(np.arange(len(count)), count)
 
 
-def tiles(doc_at: np.ndarray, item_at: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (length, place in document, place in item) from shared seeds."""
-    order = np.lexsort((doc_at, doc_at - item_at))
-    d, i = doc_at[order], item_at[order]
-    breaks = np.flatnonzero((np.diff(d - i) != 0) | (np.diff(d) != 1)) + 1
-    begin = np.concatenate(([0], breaks))
-    length = np.diff(np.concatenate((begin, [len(d)]))) + seed - 1
-    line = [(-int(n), int(d[b]), int(i[b])) for n, b in zip(length, begin, strict=True)]
-    heapq.heapify(line)
-    in_doc: set[int] = set()
-    in_item: set[int] = set()
+class _Side:
+    """A word sequence with free and marked words."""
+
+    def __init__(self, word: np.ndarray, free: np.ndarray) -> None:
+        self.sums, self.free = words.running(word), free
+        self.refresh()
+
+    def refresh(self) -> None:
+        self.busy = np.concatenate(([0], np.cumsum(~self.free)))
+        edge = np.flatnonzero(~self.free)
+        self.longest = int(np.diff(np.concatenate(([-1], edge, [len(self.free)]))).max()) - 1
+
+    def stretches(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all stretches of n free words."""
+        start = np.flatnonzero(self.busy[n:] == self.busy[:-n])
+        return start, words.window(self.sums, start, start + n)
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, seed: int, free: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiles (length, place in document, place in item) of two word sequences; ``free``: the document's words that may match."""
+    d, t = _Side(doc, np.ones(len(doc), bool) if free is None else free.copy()), _Side(item, np.ones(len(item), bool))
     out = []
-    while line:
-        n, a, b = heapq.heappop(line)
-        free = [a + j not in in_doc and b + j not in in_item for j in range(-n)]
-        if all(free):
-            out.append((-n, a, b))
-            in_doc.update(range(a, a - n))
-            in_item.update(range(b, b - n))
-            continue
-        j = 0
-        while j < -n:
-            e = j
-            while e < -n and free[e]:
-                e += 1
-            if e - j >= seed:
-                heapq.heappush(line, (j - e, a + j, b + j))
-            j = e + 1
+    top = min(d.longest, t.longest)
+    while top >= seed:
+        low, high, best = seed, top, 0
+        while low <= high:  # a common stretch of n words holds one of n - 1
+            n = (low + high) // 2
+            if np.isin(d.stretches(n)[1], t.stretches(n)[1]).any():
+                low, best = n + 1, n
+            else:
+                high = n - 1
+        if not best:
+            break
+        (a, ha), (b, hb) = d.stretches(best), t.stretches(best)
+        keep = np.isin(ha, hb)
+        a, ha = a[keep], ha[keep]
+        order = np.argsort(hb, kind="stable")
+        b, hb = b[order], hb[order]
+        lo, hi = np.searchsorted(hb, ha, "left").tolist(), np.searchsorted(hb, ha, "right").tolist()
+        ahead: dict[int, int] = {}  # places in the item that are taken stay so
+        done = 0
+        for x, i, end in zip(a.tolist(), lo, hi, strict=True):
+            if x < done:
+                continue
+            j = ahead.get(i, i)
+            while j < end and not (t.free[b[j]] and t.free[b[j] + best - 1]):
+                j += 1
+            ahead[i] = j
+            if j < end:
+                out.append((best, x, int(b[j])))
+                done = x + best
+                d.free[x:done] = False
+                t.free[b[j] : b[j] + best] = False
+        d.refresh()
+        t.refresh()
+        top = min(best - 1, d.longest, t.longest)
     return out
 
 
 def contaminated(texts: pa.Array, index: Index, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, coverage, words matched, tiles) of the pairs that reach ``coverage``."""
     for lo, _, h, first in words.pieces(texts, plain=True):
-        row, at, item, place = index.hits(h, first)
-        if not len(row):
-            continue
-        order = np.lexsort((item, row))
-        row, at, item, place = row[order], at[order], item[order], place[order]
-        cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
-        for b, e in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(row)])), strict=True):
-            size = int(index.lengths[item[b]])
-            seen = np.unique(place[b:e])  # words under any seed: no tiling covers more
-            if len(seen) - 1 + index.seed < coverage * size and np.minimum(np.diff(seen, append=seen[-1] + index.seed), index.seed).sum() < coverage * size:
-                continue
-            found = tiles(at[b:e], place[b:e], index.seed)
+        for row, item, start in index.pairs(h, first, coverage):
+            # only words under a shared seed can match
+            under = np.zeros(int(start[-1] - start[0]) + index.seed + 1, np.int64)
+            np.add.at(under, start - start[0], 1)
+            np.add.at(under, start - start[0] + index.seed, -1)
+            free = np.cumsum(under[:-1]) > 0
+            size = int(index.lengths[item])
+            found = tiles(h[start[0] : start[-1] + index.seed], index.word[index.first[item] : index.first[item + 1]], index.seed, free)
             n = sum(t[0] for t in found)
             if n >= coverage * size:
-                yield lo + int(row[b]), int(item[b]), n / size, n, len(found)
+                yield lo + row, item, n / size, n, len(found)
+
+
+def _blocks(benchmark: DataFrame, text_col: str) -> int:
+    total = benchmark.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first().n
+    return -(-total // (6 * BLOCK_WORDS))
 
 
-def _indexes(benchmark: DataFrame, id_col: str, text_col: str, seed: int) -> Iterator[Index]:
-    """Blocks of the benchmark, of about ``BLOCK_WORDS`` words at most."""
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str, seed: int, blocks: int) -> Iterator[Index]:
+    """Blocks of the benchmark, of about ``BLOCK_WORDS`` words."""
     rows = benchmark.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    blocks = -(-total // (6 * BLOCK_WORDS))
     for i in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i).collect()
         yield Index([r.id for r in part], [r.text for r in part], seed)
@@ -140,7 +206,8 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed
     own = dict(docs.dtypes)[id_col]
     schema = T._parse_datatype_string(f"doc_id {own}, item_id {kind}, coverage double, matched_words long, tiles int")
     out = None
-    for index in _indexes(benchmark, item_col, "text", seed):
+    blocks = _blocks(benchmark, "text")
+    for index in _indexes(benchmark, item_col, "text", seed, blocks):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -152,6 +219,9 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), item, pa.array(c, pa.float64()), pa.array(n, pa.int64()), pa.array(t, pa.int32())], ["doc_id", "item_id", "coverage", "matched_words", "tiles"])
 
         part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+        if blocks > 1:
+            part = materialize(part, "tiling")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -159,7 +229,12 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``docs`` without the documents that cover an item."""
     bounded_batches(docs.sparkSession)
-    for index in _indexes(benchmark, item_col, "text", seed):
+    blocks = _blocks(benchmark, "text")
+    if blocks > 1:  # by text, as equal texts are judged alike
+        found = find(docs.withColumn("_text_sha2", F.sha2(text_col, 256)), benchmark, coverage, seed, "_text_sha2", text_col, item_col)
+        found = materialize(found.select(F.col("doc_id").alias("_text_sha2")).distinct(), "tiling")
+        return docs.withColumn("_text_sha2", F.sha2(text_col, 256)).join(found, "_text_sha2", "left_anti").select(*docs.columns)
+    for index in _indexes(benchmark, item_col, "text", seed, blocks):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|(?=<)|\Z)", re.S)
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -39,16 +41,18 @@ DROP_WORDS = frozenset(
 )
 DROP_STEMS = re.compile("advert|breadcrumb|comments?(?!ar)|cookie|disclaimer|disqus|footer|navbar|navigation|newsletter|popup|sidebar|sponsor|subscri")
 LAYOUT_WORDS = frozenset("has layout no with without".split())  # "with-sidebar" is said of what stands beside one
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote".split())  # pass their points on whole
 GOOD_WORDS = frozenset("article body content entry main page post story text".split())
 
 
 class Node:
-    __slots__ = ("children", "hints", "link", "links", "parent", "role", "score", "size", "tag", "whole")
+    __slots__ = ("children", "hints", "kept", "link", "links", "parent", "role", "score", "size", "tag", "whole")
 
     def __init__(self, tag: str, parent: Node | None, hints: frozenset = frozenset(), role: str = "") -> None:
         self.tag, self.parent, self.hints, self.role = tag, parent, hints, role
         self.children: list[Node | str] = []
         self.score, self.size, self.link, self.links = 0.0, 0, 0, 0
+        self.kept = False
         self.whole = False  # holds an article, main or top heading
 
 
@@ -73,25 +77,19 @@ def _attributes(text: str) -> tuple[frozenset, str]:
 def parse(page: str) -> Node:
     root = Node("#root", None)
     at, pos = root, 0
-    open_tags: dict[str, int] = {}
+    open_nodes = [root]
+    open_tags: defaultdict[str, list[int]] = defaultdict(list)  # where each tag's open elements stand among all open ones
 
-    def close(to: Node) -> None:
+    def close(to: int) -> None:
         nonlocal at
-        while at is not to.parent:
-            open_tags[at.tag] -= 1
-            at = at.parent
-
-    def nearest(tags: tuple[str, ...], stop: tuple[str, ...]) -> Node | None:
-        if not any(open_tags.get(t) for t in tags):
-            return None
-        n, found = at, None
-        while n is not root and n.tag not in stop:
-            if n.tag in tags:
-                found = n
-                if stop == ():
-                    break
-            n = n.parent
-        return found
+        while len(open_nodes) > to:
+            open_tags[open_nodes.pop().tag].pop()
+        at = open_nodes[-1]
+
+    def outermost(tags: tuple[str, ...], stop: tuple[str, ...]) -> int | None:
+        """Where the first open element of these tags stands inside the last open one of ``stop``."""
+        inside = max((open_tags[t][-1] for t in stop if open_tags[t]), default=0)
+        return min((open_tags[t][i] for t in tags if (i := bisect(open_tags[t], inside)) < len(open_tags[t])), default=None)
 
     for m in iter(lambda: TOKEN.search(page, pos), None):
         if m.start() > pos:
@@ -101,16 +99,13 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if open_tags.get(tag):
-                n = at
-                while n.tag != tag:
-                    n = n.parent
-                close(n)
+            if open_tags[tag]:
+                close(open_tags[tag][-1])
             continue
-        if tag in BLOCK and open_tags.get("p") and (p := nearest(("p",), ("table", "button", "td", "th"))):
-            close(p)
-        if tag in CLOSES and (n := nearest(CLOSES[tag], SCOPE[tag])):
-            close(n)
+        if tag in BLOCK and open_tags["p"] and (i := outermost(("p",), ("table", "button", "td", "th"))):
+            close(i)
+        if tag in CLOSES and (i := outermost(CLOSES[tag], SCOPE[tag])):
+            close(i)
         node = Node(tag, at, *_attributes(m[3]))
         at.children.append(node)
         if tag in VOID or m[3].endswith("/") and tag in RAW:
@@ -120,7 +115,8 @@ def parse(page: str) -> Node:
             pos = end.end() if end else len(page)
             continue
         at = node
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        open_tags[tag].append(len(open_nodes))
+        open_nodes.append(node)
     if pos < len(page):
         at.children.append(page[pos:])
     return root
@@ -212,17 +208,17 @@ def main_text(page: str | None) -> str:
         return ""
     for owner, text, linked in blocks:
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-        share, n = 1.0, owner if owner.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote") else owner.parent or owner
-        while n is not None and n.tag != "#root":
-            n.score += points * share
-            share /= 2
-            n = n.parent
-        n = owner
-        while n is not None:
-            n.size += len(text)
-            n.link += linked
-            n.links += linked > 0
-            n = n.parent
+        (owner if owner.tag not in PARAGRAPH else owner.parent or owner).score += points
+        owner.size += len(text)
+        owner.link += linked
+        owner.links += linked > 0
+    for n in reversed(nodes):  # children before parents
+        if n.parent is not None:
+            n.parent.score += n.score / 2
+            n.parent.size += n.size
+            n.parent.link += n.link
+            n.parent.links += n.links
+    root.score = 0.0
     best, top = root, -1.0
     for n in nodes:
         if n.size and n.tag in BLOCK and n.tag not in ("html", "head", "p") or n is root:
@@ -238,15 +234,9 @@ def main_text(page: str | None) -> str:
             if running or s.tag == best.tag and s.score >= max(10.0, top / 5) and density < 0.25:
                 keep.add(id(s))
     menus = {id(n) for n in nodes if n.tag in ("ul", "ol", "div", "table", "section", "dl") and n.links >= 3 and n.link > 0.5 * n.size and n is not best}
-    out = []
-    for owner, text, _ in blocks:
-        n, kept = owner, False
-        while n is not None and id(n) not in menus and not kept:
-            kept = id(n) in keep
-            n = n.parent
-        if kept:
-            out.append(text)
-    return "\n".join(out)
+    for n in nodes:  # parents before children
+        n.kept = id(n) not in menus and (id(n) in keep or n.parent is not None and n.parent.kept)
+    return "\n".join(text for owner, text, _ in blocks if owner.kept)
 
 
 @F.pandas_udf(T.StringType())

@@ -72,7 +72,8 @@ d0 AS (SELECT c.*, p.n AS pn, p.g AS pg, p.prior AS up FROM domains c JOIN s1 p
 d1 AS (SELECT domain, n, g, (g + w * up) / (n + w) AS prior FROM d0, (WEIGHT d0)),
 h0 AS (SELECT c.*, p.n AS pn, p.g AS pg, p.prior AS up FROM hosts c JOIN d1 p USING (domain)),
 h1 AS (SELECT host, (g + w * up) / (n + w) AS m, n + w AS ab FROM h0, (WEIGHT h0))
-SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN m + 1.645 * sqrt(m * (1 - m) / (ab + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN m + 1.645 * sqrt(m * (1 - m) / (ab + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(m, 9) AS good_rate, round(m + 1.645 * sqrt(m * (1 - m) / (ab + 1)), 9) AS good_upper
 FROM ruled LEFT JOIN h1 USING (host)"""
 _WEIGHT = """SELECT CASE WHEN coalesce(free, 0) = 0 THEN 2.0 WHEN dev <= expected THEN 1e6 ELSE least(1e6, greatest(2.0, noise * free / (dev - expected) - 1)) END AS w
   FROM (SELECT sum(n * (g / n - pg / pn) ** 2) AS dev, sum(pg / pn * (1 - pg / pn) * (1 - n / pn)) AS expected, sum(n - n * n / pn) AS free, sum(pg / pn * (1 - pg / pn) * n) / sum(n) AS noise

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewater.sources.scratch import discard, materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The production rules: (host and path, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -45,23 +47,26 @@ def reputation(outcomes: DataFrame, min_good: float = MIN_GOOD, z: float = Z) ->
     """(host, good: 1, 0 or null for an unlabelled page) to (host, mean, upper, blocked), one row a host.
 
     Everything is sums by host, domain and suffix with partial aggregation, so a host with a third of the pages is no
-    hot spot. The domain and suffix tables are sums of the host table.
+    hot spot. The host table is stored once; the domain and suffix tables are sums of it, and all else is read from it.
     """
     counts = lambda: (F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
     hosts = outcomes.groupBy("host").agg(*counts())
     bare = F.regexp_replace("host", r":[0-9]*$", "")
-    hosts = hosts.withColumn("domain", _domain(bare)).withColumn("suffix", F.regexp_extract("domain", r"[^.]*$", 0))
+    hosts = materialize(hosts.withColumn("domain", _domain(bare)).withColumn("suffix", F.regexp_extract("domain", r"[^.]*$", 0)), "hosts")
     sums = lambda: (F.sum("n").alias("n"), F.sum("g").alias("g"))
-    domains = hosts.groupBy("domain", "suffix").agg(*sums())
-    suffixes = domains.groupBy("suffix").agg(*sums())
-    every = suffixes.agg(*sums()).withColumn("all", F.lit(0))
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(*sums()), "domains")
+    suffixes = materialize(domains.groupBy("suffix").agg(*sums()).withColumn("all", F.lit(0)), "suffixes")
+    every = suffixes.groupBy("all").agg(*sums()).withColumn("prior", (F.col("g") + 1) / (F.col("n") + 2))
 
-    s = _shrunk(suffixes.withColumn("all", F.lit(0)), every.withColumn("prior", (F.col("g") + 1) / (F.col("n") + 2)), "all")
+    s = _shrunk(suffixes, every, "all")
     d = _shrunk(domains, s, "suffix")
     h = _shrunk(hosts, d, "domain", last=True)
     mean = F.col("a") / (F.col("a") + F.col("b"))
     sd = F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    return h.withColumn("mean", mean).withColumn("upper", mean + F.lit(z) * sd).select("host", "mean", "upper", (F.col("upper") < min_good).alias("blocked"))
+    h = h.withColumn("mean", mean).withColumn("upper", mean + F.lit(z) * sd).select("host", "mean", "upper", (F.col("upper") < min_good).alias("blocked"))
+    h = materialize(h, "reputation")
+    discard(hosts, domains, suffixes)
+    return h
 
 
 def _shrunk(children: DataFrame, parents: DataFrame, key: str, last: bool = False) -> DataFrame:

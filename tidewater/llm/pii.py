@@ -152,15 +152,26 @@ def _shared(a: str, b: str) -> Column:
     return 2 * j / (1 + j)
 
 
-def _varied(each: DataFrame, support: int) -> DataFrame:
-    """(entity, term) of ``each`` (entity, term, place, marks) with at least ``support`` places that are not near copies.
+def _varied(held: DataFrame, marks: DataFrame, support: int) -> DataFrame:
+    """(entity, term) of ``held`` (entity, term, place) with at least ``support`` places that are not near copies. ``marks``: (place, marks).
 
-    A pair's leader is its first place; places like it are dropped, and the first of the rest is the next leader.
+    A pair's leader is its first place; places like it are dropped, and the first of the rest is the next leader. The rows are
+    narrow: each place is compared once with each of its leaders, however many terms they share.
     """
+    marks = materialize(marks.join(held.select("place").distinct(), "place", "left_semi").dropDuplicates(["place"]), "pii-marks")
+    rounds = [held]
     for _ in range(support - 1):
-        leader = each.groupBy("entity", "term").agg(F.min_by("marks", "place").alias("leader"))
-        each = each.join(leader, ["entity", "term"]).where(_shared("marks", "leader") <= ALIKE).drop("leader")
-    return each.select("entity", "term").distinct()
+        each = rounds[-1]
+        leader = each.groupBy("entity", "term").agg(F.min("place").alias("leader"))
+        each = materialize(each.join(leader, ["entity", "term"]), "pii-led")
+        met = each.select("place", "leader").distinct().join(marks, "place")
+        met = met.join(marks.select(F.col("place").alias("leader"), F.col("marks").alias("lead_marks")), "leader")
+        alike = materialize(met.where(_shared("marks", "lead_marks") > ALIKE).select("place", "leader"), "pii-alike")
+        rounds.append(materialize(each.join(alike, ["place", "leader"], "left_anti").drop("leader"), "pii-varied"))
+        discard(each, alike)
+    out = materialize(rounds[-1].select("entity", "term").distinct(), "pii-varied")
+    discard(marks, *rounds[1:])
+    return out
 
 
 def _chance(both: Column, term_docs: Column, share: Column) -> Column:
@@ -196,10 +207,11 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     pairs = pairs.join(counts, "term").withColumn("degree", degree).where(F.col("degree") >= disclosure)
     pairs = pairs.where(_chance(F.col("both"), F.col("term_docs"), share) + F.log(F.lit(tried)) <= F.log(F.lit(mistakes)))
     pairs = materialize(pairs.select("entity", "term", "degree"), "pii-pairs")
-    held = each.join(named, "row").select("entity", "place", "marks", F.explode("terms").alias("term")).join(pairs, ["entity", "term"], "left_semi")
-    held = materialize(held.dropDuplicates(["entity", "term", "place"]), "pii-held")
-    out = materialize(pairs.join(_varied(held, support), ["entity", "term"], "left_semi").groupBy("term").agg(F.max("degree").alias("degree")), "pii-disclosing")
-    discard(named, entities, each, counts, pairs, held)
+    held = each.join(named.select("row", "place", "terms"), "row").select("entity", "place", F.explode("terms").alias("term"))
+    held = materialize(held.join(pairs, ["entity", "term"], "left_semi").distinct(), "pii-held")
+    varied = _varied(held, named.select("place", "marks"), support)
+    out = materialize(pairs.join(varied, ["entity", "term"], "left_semi").groupBy("term").agg(F.max("degree").alias("degree")), "pii-disclosing")
+    discard(named, entities, each, counts, pairs, held, varied)
     return out
 
 

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from brute_toxicity import Brute, words_of
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, html_text, pii, spotsigs, toxicity, url_filter, words
@@ -561,14 +562,46 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.allclose(again.curve, model.curve)
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    texts = ["ab abc abd b ba bab " * 3, "ab xyz xy b " * 2]
-    parts = list(toxicity.counted(pa.array(texts), np.array([1, 0])))
-    key, t, o = toxicity._grouped(np.concatenate([p[0] for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2)))
-    run, ratio, ctx, unseen = toxicity.ratios(key, t, o)
-    assert np.isfinite(ratio).all() and np.isfinite(unseen).all()
-    word = lambda w: toxicity.Model(run, ratio, ctx, unseen, np.zeros(3)).by_word(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]
-    assert word("abd") > 0 > word("xyz")
+def small_corpus(seed):
+    rng = random.Random(seed)
+    vocab = ["ab", "abc", "abd", "b", "ba", "bab", "xyz", "xy", "é", "aé", "grox", "groxer", "a1"]
+    texts = [" ".join(rng.choice(vocab[: 11 if i % 3 else 13]) for _ in range(rng.randint(0, 12))) + ("!! The end" if i % 5 == 0 else "") for i in range(60)]
+    return texts, [int(i % 3 == 0) for i in range(60)]
+
+
+def test_kneser_ney_probabilities_sum_to_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 1.5)
+    b = Brute(*small_corpus(1))
+    for c in (0, 1):
+        for ctx in (b"", b"a", b"ab", b"grox", b"groxe", b"groxgroxer", b"q", b"\xc3", b"never"):
+            assert sum(b.byte(c, ctx, bytes([x])) for x in range(256)) == pytest.approx(1)
+        vocab = set(b.word[0]) | set(b.word[1])
+        unseen = 1 - sum(b.spelling(c, w) for w in vocab)  # of all other spellings
+        passed = lambda counts, d: sum(min(d, n) for n in counts.values()) / sum(counts.values()) if counts else 1.0
+        for h in (None, b"ab", b"grox", b"never"):
+            of_h = {w: n for (x, w), n in b.pair[c].items() if x == h}
+            rest = passed(of_h, toxicity.PAIR_DISCOUNT) * passed(b.word[c], toxicity.WORD_DISCOUNT) * unseen
+            assert sum(b.after(c, h, w) for w in vocab) + rest == pytest.approx(1)
+
+
+@pytest.mark.parametrize("discount", [6.0, 1.0])
+def test_ratios_equal_brute_force(spark, monkeypatch, discount):
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", discount)
+    monkeypatch.setattr(toxicity, "LENGTH", 1e12)  # all bytes weigh alike
+    texts, labels = small_corpus(2)
+    kept = [i % 4 == 1 for i in range(60)]
+    rows = spark.createDataFrame(list(zip(texts, labels, kept)), "text string, toxic int, kept boolean").repartition(3)
+    new = ["never seen groxish abé", "abq ab ab grox grox b", "the END x"]
+    for counts, some in zip(toxicity.counted(rows), ([i for i in range(60) if not kept[i]], range(60))):
+        model = toxicity.ratios(counts)
+        b = Brute([texts[i] for i in some], [labels[i] for i in some])
+        assert bool(len(model.pair.key)) == (discount == 1.0) and len(model.word.key)
+        for t in [*new, *texts[:20]]:
+            want = [math.log(b.after(1, h, w)) - math.log(b.after(0, h, w)) for h, w in zip([None, *words_of(t)], words_of(t))]
+            got = [model.by_word(data, st, en, h, first).tolist() for _, _, data, st, en, h, first in words.spelled(pa.array([t]), plain=True)]
+            assert sum(got, []) == pytest.approx(want)
+            e = model.evidence(pa.array([None, t, ""]))
+            assert e[1].tolist() == pytest.approx([np.mean(want), max(want)] if want else [0, 0]) and not e[[0, 2]].any()
 
 
 def test_without_labels(spark):

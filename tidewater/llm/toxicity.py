@@ -1,14 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A model gives the probability of a word's spelling: of each byte (and the word's end) after up to
-``ORDER - 1`` bytes before it in the word. Toxic and ordinary texts have counts of their own at the highest order; below,
-both back off to the same continuation counts, so a rare expression says no more than its
-parts are known to say. A text's evidence is the log-likelihood ratio of the two models by word,
-length-normalised: the mean over the text, and the highest mean over ``STRETCH`` words in a row. A logistic curve
-over these two, fitted on texts that the models have not seen, turns evidence into a score from 0 to 1.
+Each class, toxic and ordinary, has a model of words after words. It takes, in turn:
 
-Fitting uses labelled rows only: at most about ``SAMPLE`` of them, drawn by hash, a quarter of them for
-the curve. The models hold at most ``TYPES`` different byte runs, the most frequent first. Scoring covers every row and whole texts.
+* what follows the word before: counts of word pairs by class;
+* the word alone: counts by class;
+* its spelling: each byte, and the word's end, after up to ``ORDER - 1`` bytes before it in the word, counts by class;
+* shorter runs of bytes, down to none: counts of both classes together.
+
+Each level keeps what is left of its counts after a discount and passes on to the next level what was taken. As Kneser-Ney asks, what is counted for a pair or a
+word are the different words before it, so copies of a text count once; byte runs are counted by word, and below the highest order by the different bytes
+before. The levels by class take whole counts off (``RUN_DISCOUNT``, ``WORD_DISCOUNT``, ``PAIR_DISCOUNT``): a rare expression keeps nothing there, so it says
+no more than its parts are known to say.
+
+A text's evidence is the log-likelihood ratio of the two models by word, length-normalised: the mean over the text, and the highest of a word.
+A logistic curve over these two, fitted on texts that its models have not seen, turns evidence into a score from 0 to 1. Toxic texts weigh
+``WEIGHT`` times as much there (or as often as they are rarer, if that is less), as they are few.
+
+Fitting uses labelled rows only: at most about ``SAMPLE`` of them, drawn by hash. A quarter of them is kept from the models of the curve;
+the final models have all. Of words and pairs only those above the discount and the histories that hold such are sent to the executors, of spelling the byte
+runs of the sample. Scoring covers every row and whole texts.
 
 Edge cases: null, empty and word-free texts have no evidence and get the curve's value there; without
 labels of both classes every score is the share of toxic labels (0.5 without labels).
@@ -26,16 +36,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewater.llm import words
 from tidewater.llm.session import bounded_batches
+from tidewater.sources.scratch import discard, materialize
 
-ORDER = 6
-DISCOUNT = 0.75
-STRETCH = 4
-SAMPLE = 24_000
-TYPES = 2_000_000
+ORDER = 7
+DISCOUNT = 0.75  # of counts of both classes
+RUN_DISCOUNT, WORD_DISCOUNT, PAIR_DISCOUNT = 3.0, 2.0, 6.0  # of counts by class
+SAMPLE = 16_000
+WEIGHT = 2.0
 THRESHOLD = 0.7
+START = np.uint64(0x3C79AC492BA7B653)  # stands for the word before the first
 END = 32  # stands for the end of a word; no word holds this byte
 BYTE = np.uint64(8)
-LONG = 64  # a word of more bytes weighs as much as one of so many: its ratio is normalised to this length
+LENGTH = 64  # bytes at which the weight of a word's spelling has fallen to a half
 
 
 def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,61 +65,80 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return key, at
 
 
-def counted(texts: pa.Array, toxic: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(byte run, times in toxic texts, times in ordinary texts) by stretch of rows."""
-    for lo, hi, data, starts, ends, h, first in words.spelled(texts, plain=True):
-        label = np.repeat(toxic[lo:hi], np.diff(first))
-        _, one, back = np.unique(h, return_index=True, return_inverse=True)
-        t, n = np.bincount(back[label == 1], minlength=len(one)), np.bincount(back, minlength=len(one))
-        key, at = runs(data, starts[one], ends[one])
-        size = np.diff(at)
-        key, back = np.unique(key, return_inverse=True)
-        t, n = (np.bincount(back, np.repeat(x, size), len(key)).astype(np.int64) for x in (t, n))
-        yield key, t, n - t
+def before(h: np.ndarray, first: np.ndarray, start: np.ndarray | np.uint64 = START) -> np.ndarray:
+    """The word before each word within its row."""
+    out = np.empty_like(h)
+    out[1:] = h[:-1]
+    out[first[:-1][np.diff(first) > 0]] = start
+    return out
 
 
-class Model(NamedTuple):
-    """Log-likelihood ratios by byte run, then by context where a run was not seen; and the curve's weights."""
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x are among the sorted keys, and their places there (anything where not)."""
+    if not len(keys):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return keys[i] == x, i
 
-    run: np.ndarray
+
+class Table(NamedTuple):
+    """Log-likelihood ratios by sorted key."""
+
+    key: np.ndarray
     ratio: np.ndarray
-    context: np.ndarray
-    context_ratio: np.ndarray
-    curve: np.ndarray
 
-    def by_word(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x have a ratio, and the ratio (0 where not)."""
+        known, i = _find(self.key, x)
+        out = np.zeros(len(x))
+        out[known] = self.ratio[i[known]]
+        return known, out
+
+
+NONE = Table(np.empty(0, np.uint64), np.empty(0))
+
+
+class Model(NamedTuple):
+    """Ratios of byte runs, of unseen bytes by context, of words and pairs above the discount, of other words by history; what is passed on below words; the curve's weights."""
+
+    run: Table = NONE
+    context: Table = NONE
+    word: Table = NONE
+    pair: Table = NONE
+    history: Table = NONE
+    rest: float = 0.0
+    curve: np.ndarray = np.zeros(3)
+
+    def spelling(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ratios of words by their bytes alone; the longer a word, the less a byte weighs."""
         if not len(starts):
             return np.empty(0)
         key, at = runs(data, starts, ends)
-        out = np.zeros(len(key))
-        if len(self.run):
-            i = np.minimum(np.searchsorted(self.run, key), len(self.run) - 1)
-            seen = self.run[i] == key
-            out[seen] = self.ratio[i[seen]]
-            rest = np.flatnonzero(~seen)
-            context = key[rest] >> BYTE
-            i = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
-            known = self.context[i] == context
-            out[rest[known]] = self.context_ratio[i[known]]
-        return np.add.reduceat(out, at[:-1]) * np.minimum(1, LONG / (ends - starts))
+        seen, out = self.run.of(key)
+        out[~seen] = self.context.of(key[~seen] >> BYTE)[1]  # what an unseen byte is passed on to is the same for both classes
+        return np.add.reduceat(out, at[:-1]) * LENGTH / (LENGTH + ends - starts)
+
+    def by_word(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Ratio of every word of some rows."""
+        one, back = np.unique(h, return_index=True, return_inverse=True)[1:]
+        known, alone = self.word.of(h[one])
+        new = one[~known]
+        alone[~known] = self.rest + self.spelling(data, starts[new], ends[new])
+        history = before(h, first)
+        paired, ratio = self.pair.of(words.paired(history, h))
+        return np.where(paired, ratio, self.history.of(history)[1] + alone[back])
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Per text: mean ratio over its words, and the highest mean over a stretch of words."""
+        """Per text: mean ratio over its words, and the highest of a word."""
         out = np.zeros((len(texts), 2))
         for lo, hi, data, starts, ends, h, first in words.spelled(texts, plain=True):
-            _, one, back = np.unique(h, return_index=True, return_inverse=True)
-            ratio = self.by_word(data, starts[one], ends[one])[back]
-            total = np.concatenate(([0.0], np.cumsum(ratio)))
+            if not len(h):
+                continue
+            ratio = self.by_word(data, starts, ends, h, first)
             n = np.diff(first)
             some = np.flatnonzero(n)
-            out[lo + some, 0] = (total[first[1:]] - total[first[:-1]])[some] / n[some]
-            width = np.minimum(n, STRETCH)
-            count = np.where(n > 0, n - width + 1, 0)
-            at = np.concatenate(([0], np.cumsum(count)))
-            begin = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], count)
-            means = (total[begin + np.repeat(width, count)] - total[begin]) / STRETCH
-            if len(some):
-                out[lo + some, 1] = np.maximum.reduceat(means, at[:-1][some])
+            out[lo + some, 0] = np.add.reduceat(ratio, first[some]) / n[some]
+            out[lo + some, 1] = np.maximum.reduceat(ratio, first[some])
         return out
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
@@ -128,56 +159,110 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return values[np.searchsorted(keys, wanted)]
 
 
-def ratios(run: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Log-likelihood ratio of each byte run and of unseen bytes after each context, from counts by class.
+def _logs(c: np.ndarray, discount: float, n: np.ndarray, left: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log of (what the discount leaves of count c + what n's counts pass on, left, * lower) / n; log lower where nothing was counted."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n > 0, np.log((np.maximum(c - discount, 0) + left * lower) / n), np.log(lower))
+
+
+def _passed(left: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log of the share passed on; 0 where nothing was counted."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n > 0, np.log(left / n), 0.0)
+
+
+class Spelling(NamedTuple):
+    """Sorted byte runs with their log-probabilities by class, and contexts with the log of what they pass on by class."""
 
-    Interpolated Kneser-Ney. ``lower`` is the probability of a run's last byte after the shorter contexts, built from one
+    run: np.ndarray
+    toxic: np.ndarray
+    ordinary: np.ndarray
+    context: np.ndarray
+    toxic_rest: np.ndarray
+    ordinary_rest: np.ndarray
+
+
+def spelling(run: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Spelling:
+    """From counts of byte runs by class.
+
+    ``lower`` is the probability of a run's last byte after the shorter contexts, built from one
     byte up; a run that begins at the word's start has no byte before it to count, so its plain count is used.
     """
     both = toxic + ordinary
-    lower = np.full(len(run), 1 / 257)
+    lower = np.full(len(run), 1 / 256)
     for order in range(1, ORDER):
         mask = np.uint64((1 << (8 * order)) - 1)
         longer = np.uint64((1 << (8 * (order + 1))) - 1)
         short, long = run & mask, run & longer
         at_start = (short >> np.uint64(8 * (order - 1))) == 0
-        types, first = np.unique(long, return_index=True)
-        k1, by_type = np.unique(short[first]), None
-        by_type = np.bincount(np.searchsorted(k1, short[first]), minlength=len(k1)).astype(float)
-        k2, plain = _grouped(short, both)
-        c = np.where(at_start, _at(k2, plain, short), _at(k1, by_type, short))
+        _, first = np.unique(long, return_index=True)
+        by_type, kinds = np.unique(short[first], return_counts=True)
+        by_run, plain = _grouped(short, both)
+        c = np.where(at_start, _at(by_run, plain, short), _at(by_type, kinds, short)).astype(float)
         grams, one = np.unique(short, return_index=True)
-        ctx, total, kinds = _grouped(grams >> BYTE, c[one], np.ones(len(grams)))
-        t, k = _at(ctx, total, short >> BYTE), _at(ctx, kinds, short >> BYTE)
-        d = np.minimum(DISCOUNT, c)
-        lower = np.maximum(c - d, 0) / t + DISCOUNT * k / t * lower
-    ctx, ct, co, kt, ko = _grouped(run >> BYTE, toxic, ordinary, toxic > 0, ordinary > 0)
-    where = np.searchsorted(ctx, run >> BYTE)
-
-    def class_probability(c: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        n = total[where]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds[where] * lower) / n
-        return np.where(n > 0, p, lower)
-
-    ratio = np.log(class_probability(toxic, ct, kt)) - np.log(class_probability(ordinary, co, ko))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = lambda kinds, total: np.where(total > 0, DISCOUNT * kinds / total, 1.0)
-        unseen = np.log(left(kt, ct)) - np.log(left(ko, co))
-    return run, ratio, ctx, unseen
+        ctx, total, left = _grouped(grams >> BYTE, c[one], np.minimum(c[one], DISCOUNT))
+        i = np.searchsorted(ctx, short >> BYTE)
+        lower = (np.maximum(c - DISCOUNT, 0) + left[i] * lower) / total[i]
+    ctx, nt, no, lt, lo = _grouped(run >> BYTE, toxic, ordinary, np.minimum(toxic, RUN_DISCOUNT), np.minimum(ordinary, RUN_DISCOUNT))
+    i = np.searchsorted(ctx, run >> BYTE)
+    return Spelling(run, _logs(toxic, RUN_DISCOUNT, nt[i], lt[i], lower), _logs(ordinary, RUN_DISCOUNT, no[i], lo[i], lower), ctx, _passed(lt, nt), _passed(lo, no))
+
 
+class Counts(NamedTuple):
+    """What one fit is made of: by class (toxic, ordinary), counts of byte runs; of words, with their bytes; of pairs above the discount; by history, of all pairs and of what they pass on."""
 
-def curve(evidence: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Weights of a logistic regression with a small ridge, by Newton steps."""
+    run: np.ndarray
+    runs: np.ndarray  # two columns, as all below
+    word: np.ndarray
+    words: np.ndarray
+    total: np.ndarray  # of all words
+    left: np.ndarray  # what all words pass on
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    pair: np.ndarray
+    pair_history: np.ndarray
+    pair_word: np.ndarray
+    pairs: np.ndarray
+    history: np.ndarray
+    histories: np.ndarray
+    histories_left: np.ndarray
+
+
+def ratios(c: Counts) -> Model:
+    """The models of both classes as ratios, without a curve."""
+    if not c.total.all():
+        return Model()
+    s = spelling(c.run, c.runs[:, 0], c.runs[:, 1])
+    key, at = runs(c.data, c.starts, c.ends)
+    i = np.searchsorted(s.run, key)
+    alone = [np.exp(np.add.reduceat(p[i], at[:-1])) if len(i) else np.empty(0) for p in (s.toxic, s.ordinary)]
+    # words and what is passed on below them
+    by_class = [_logs(c.words[:, k], WORD_DISCOUNT, c.total[k], c.left[k], alone[k]) for k in (0, 1)]
+    rest = float(np.log(c.left[0] / c.total[0]) - np.log(c.left[1] / c.total[1]))
+    above = (c.words > WORD_DISCOUNT).any(axis=1)
+    # pairs and what is passed on below them
+    w, h = np.searchsorted(c.word, c.pair_word), np.searchsorted(c.history, c.pair_history)
+    pair = [_logs(c.pairs[:, k], PAIR_DISCOUNT, c.histories[h, k], c.histories_left[h, k], np.exp(by_class[k][w])) for k in (0, 1)]
+    passed = [_passed(c.histories_left[:, k], c.histories[:, k]) for k in (0, 1)]
+    return Model(
+        Table(s.run, s.toxic - s.ordinary), Table(s.context, s.toxic_rest - s.ordinary_rest), Table(c.word[above], (by_class[0] - by_class[1])[above]),
+        Table(c.pair, pair[0] - pair[1]), Table(c.history, passed[0] - passed[1]), rest,
+    )
+
+
+def curve(evidence: np.ndarray, label: np.ndarray, weight: float = WEIGHT) -> np.ndarray:
+    """Weights of a logistic regression with a small ridge, by Newton steps; toxic rows count ``weight`` times, or as often as they are rarer."""
     x, y = design(evidence), label.astype(float)
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return np.array([np.log(share / (1 - share)), 0.0, 0.0])
+    times = np.where(y == 1, max(1.0, min(weight, (y == 0).sum() / y.sum())), 1.0)
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-6, 1e-2, 1e-2])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (times * (y - p)) - ridge @ w)
         w += step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
@@ -193,26 +278,98 @@ def sample_of(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return one.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, types: int = TYPES) -> Model:
+FLAGS = ("t", "o", "kt", "ko")  # seen in toxic, ordinary texts outside the quarter kept back; in such texts within it
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of three words (as hashes) with the flags of the texts that hold them, once for a stretch of rows."""
+    for b in batches:
+        group = np.where(b.column(1).to_numpy() == 1, 0, 1) + 2 * b.column(2).to_numpy(zero_copy_only=False)
+        for lo, hi, h, first in words.pieces(b.column(0), plain=True):
+            history = before(h, first)
+            pair = words.paired(history, h)
+            three = words.paired(before(history, first), pair)
+            own = np.repeat(group[lo:hi], np.diff(first))
+            three, one, back = np.unique(three, return_index=True, return_inverse=True)
+            flags = [pa.array((np.bincount(back, own == g, len(three)) > 0).astype(np.int8)) for g in range(4)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (three, pair[one], history[one], h[one])), *flags], ["three", "pair", "h", "w", *FLAGS])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, bytes) of the words of a stretch of rows."""
+    for b in batches:
+        for _, _, data, starts, ends, h, _ in words.spelled(b.column(0), plain=True):
+            names, one = np.unique(h, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array([data[starts[i] : ends[i]].tobytes() for i in one], pa.binary())], ["w", "bytes"])
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Byte runs of words with their counts."""
+    for b in batches:
+        if b.num_rows:
+            data, starts, ends = _joined(b.column(0).to_pylist())
+            key, at = runs(data, starts, ends)
+            key, *n = _grouped(key, *(np.repeat(b.column(1 + i).to_numpy(), np.diff(at)) for i in range(4)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], ["run", *FLAGS])
+
+
+def _joined(each: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ends = np.cumsum([len(x) for x in each], dtype=np.int64)
+    return np.frombuffer(b"".join(each), np.uint8), np.concatenate(([0], ends[:-1])).astype(np.int64), ends
+
+
+def counted(rows: DataFrame) -> tuple[Counts, Counts]:
+    """Counts from labelled texts (text, toxic, kept): of those not kept back, and of all.
+
+    Distinct runs of three words give the words before a pair, distinct pairs those before a word; everything is summed before it reaches the driver,
+    as are byte runs. Pairs that the discount takes whole stay behind.
+    """
+    each = lambda f, cols=FLAGS: [f(c).alias(c) for c in cols]
+    three = rows.mapInArrow(_grams, "three long, pair long, h long, w long, t byte, o byte, kt byte, ko byte").groupBy("three", "pair", "h", "w").agg(*each(F.max))
+    three = three.withColumns({"at": F.greatest("t", "kt"), "ao": F.greatest("o", "ko")})
+    found = materialize(three.groupBy("pair", "h", "w").agg(*each(F.sum, ("t", "o", "at", "ao"))), "toxicity-pairs")
+    spelled = rows.mapInArrow(_spelled, "w long, bytes binary").groupBy("w").agg(F.min("bytes").alias("bytes"))
+    by_word = found.groupBy("w").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in ("t", "o", "at", "ao")])
+    by_word = materialize(by_word.join(spelled, "w"), "toxicity-words")
+    by_run = by_word.select("bytes", "t", "o", "at", "ao").mapInArrow(_runs_of, "run long, t long, o long, kt long, ko long").groupBy("run").agg(*each(F.sum))
+    by_run = by_run.withColumnsRenamed({"kt": "at", "ko": "ao"})
+    out = []
+    by_run = materialize(by_run, "toxicity-runs")
+    for t, o in (("t", "o"), ("at", "ao")):
+        def columns(table: DataFrame, key: str, t=t, o=o) -> tuple:
+            got = table.toArrow()
+            name = np.ascontiguousarray(got[key].to_numpy()).view(np.uint64)
+            order = np.argsort(name)
+            return got, order, name[order], np.column_stack([got[c].to_numpy()[order] for c in (t, o)]).astype(float)
+
+        some = (F.col(t) > 0) | (F.col(o) > 0)
+        above = lambda d, t=t, o=o: (F.col(t) > d) | (F.col(o) > d)
+        pairs = found.where(above(PAIR_DISCOUNT)).select("pair", "h", "w", t, o)
+        left = lambda c, d: F.sum(F.least(F.col(c).cast("double"), F.lit(d)))
+        histories = found.where(some).groupBy("h").agg(F.sum(t).alias(t), F.sum(o).alias(o), left(t, PAIR_DISCOUNT).alias("lt"), left(o, PAIR_DISCOUNT).alias("lo")).where((F.col("lt") < F.col(t)) | (F.col("lo") < F.col(o)))
+        total = by_word.agg(*(F.coalesce(f, F.lit(0)).cast("double") for f in (F.sum(t), F.sum(o), left(t, WORD_DISCOUNT), left(o, WORD_DISCOUNT)))).first()
+        ws, order, word, nw = columns(by_word.where(above(WORD_DISCOUNT)).unionByName(by_word.where(~above(WORD_DISCOUNT)).join(pairs.select("w").distinct(), "w", "left_semi")).select("w", "bytes", t, o), "w")
+        data, starts, ends = _joined(ws["bytes"].take(pa.array(order)).to_pylist())
+        _, _, run, nr = columns(by_run.where(some), "run")
+        ps, porder, pair, np_ = columns(pairs, "pair")
+        hs, horder, history, nh = columns(histories, "h")
+        hash_of = lambda got, order, c: np.ascontiguousarray(got[c].to_numpy()[order]).view(np.uint64)
+        out.append(Counts(
+            run, nr, word, nw, np.array(total[:2]), np.array(total[2:]), data, starts, ends, pair, hash_of(ps, porder, "h"), hash_of(ps, porder, "w"), np_,
+            history, nh, np.column_stack([hs[c].to_numpy()[horder] for c in ("lt", "lo")]),
+        ))
+    discard(found, by_word, by_run)
+    return out[0], out[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Models and curve from labelled rows (doc_id, toxic). The sample bounds the broadcast of ids and all that reaches the driver."""
     bounded_batches(docs.sparkSession)
     ids = sample_of(labels, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("kept"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, t, o in counted(b.column(0), b.column(1).to_numpy()):
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(t), pa.array(o)], ["run", "t", "o"])
-
-    found = rows.where("not kept").select("text", "toxic").mapInArrow(count, "run long, t long, o long").groupBy("run").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    table = found.orderBy(F.desc(F.col("t") + F.col("o")), "run").limit(types).toArrow()
-    run = table["run"].to_numpy().astype(np.uint64)
-    order = np.argsort(run)
-    t, o = (table[c].to_numpy()[order].astype(float) for c in "to")
-    made = ratios(run[order], t, o) if t.sum() and o.sum() else (np.empty(0, np.uint64), np.empty(0), np.empty(0, np.uint64), np.empty(0))
-    model = Model(*made, np.zeros(3))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = materialize(rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("kept")), "toxicity-sample")
+    first, every = counted(rows)
+    sent = docs.sparkSession.sparkContext.broadcast(ratios(first))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,7 +377,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, types: int = T
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), b.column(1)], ["mean", "top", "toxic"])
 
     seen = rows.where("kept").select("text", "toxic").mapInArrow(weigh, "mean double, top double, toxic int").toArrow()
-    return model._replace(curve=curve(np.column_stack([seen["mean"].to_numpy(), seen["top"].to_numpy()]), seen["toxic"].to_numpy()))
+    fitted = curve(np.column_stack([seen["mean"].to_numpy(), seen["top"].to_numpy()]), seen["toxic"].to_numpy())
+    sent.destroy()
+    discard(rows)
+    return ratios(every)._replace(curve=fitted)
 
 
 def score(text: Column, model: Model) -> Column:

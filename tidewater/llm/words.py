@@ -134,6 +134,11 @@ def _spans(data: np.ndarray, at: np.ndarray, plain: bool) -> tuple[np.ndarray, n
     return mixed(window(running(_byte_values()[data]), starts, ends)), starts, ends
 
 
+def paired(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash of a run of words and the word after it."""
+    return mixed(h * np.uint64(0x9FB21C651E98DF25) + w)
+
+
 def hashed(words: list[str], plain: bool = False) -> np.ndarray:
     """Hashes of single words, as ``pieces`` gives them."""
     out = [h for _, _, h, _ in pieces(pa.array([" ".join(words)], pa.string()), plain)]

@@ -5,11 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from brute_katz import brute, lower
 from pyspark.sql import functions as F
 
-from tidewater.llm import jaccard_join, katz, mixing, sharding, toxicity
+from tidewater.llm import jaccard_join, katz, mixing, sharding, toxicity, words
 from tidewater.llm.components import components
 from tidewater.llm.sql import OP9
 
@@ -78,6 +79,36 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, block):
     assert sorted(got, key=key) == sorted(brute_classes(rows), key=key)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_classes_by_several_elements(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "COMMON_IN_TASK", 10**9)  # no element is known to be common
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    phrase, rows = [word() for _ in range(9)], families(20 + seed, 6)
+    for i in range(40):  # different texts around one phrase, some with a near copy
+        ws = [*(word() for _ in range(rng.randint(1, 14))), *phrase[: rng.randint(5, 9)], *(word() for _ in range(rng.randint(1, 14)))]
+        rows += [(2000 + 2 * i, " ".join(ws))] + ([(2001 + 2 * i, " ".join([*ws, word()]))] if rng.random() < 0.4 else [])
+    assert sorted(tuple(r) for r in jaccard_join.classes(docs(spark, rows)).collect()) == sorted(brute_classes(rows))
+
+
+def test_one_phrase_gives_linear_units(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMMON_IN_TASK", 10**9)
+
+    def units(n):
+        rng = random.Random(n)
+        own = lambda k: " ".join(f"{rng.getrandbits(40):x}" for _ in range(k))
+        # a phrase whose element comes early in the order of elements
+        phrase = min((f"one phrase of five words{i}" for i in range(50)), key=lambda t: words.shingles(words.hashed(t.split()), np.array([0, 5]), 5)[0][0])
+        df = docs(spark, [(i, f"{own(10)} {phrase} {own(10)}") for i in range(n)])
+        every = jaccard_join.signed(df, jaccard_join.Order(jaccard_join._common(df, 5)), 5, 80).cache()
+        shared = jaccard_join.postings(every, jaccard_join.Order(jaccard_join._common(df, 5)), 80).cache()
+        assert shared.count() > n / 10  # the phrase is among the first elements of many
+        return jaccard_join._units(shared, spark.createDataFrame([], "v long, component long"), every, 80).count()
+
+    assert units(5000) <= 5000
+
+
 def test_classes_when_sets_meet_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SENT", 0)
     monkeypatch.setattr(jaccard_join, "PER_TASK", 2)
@@ -86,8 +117,6 @@ def test_classes_when_sets_meet_by_a_shuffle(spark, monkeypatch):
 
 
 def test_tree_walk_loses_no_link():
-    import numpy as np
-
     rng = np.random.default_rng(5)
     for _ in range(20):
         base = [rng.integers(1, 1 << 63, int(rng.integers(5, 300)), dtype=np.uint64) for _ in range(6)]

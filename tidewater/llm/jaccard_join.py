@@ -12,8 +12,11 @@ in two rounds:
    is dropped when sizes or the largest overlap that the bitmaps allow rule out a link, or when
    both are of one component. What is left is compared in full.
 
-Element groups too large for one task are cut into blocks, and pairs of blocks are the units of work: sets of
-the leader's component (all linked already) meet only those outside it.
+Sets that link share not one but as many elements as one likes to ask for (and the sets have), if as many more of the first are looked at. So where
+more than ``BLOCK`` sets under an element are outside its largest component, they are grouped anew by that element and a second one, then a third, up to ``DEPTH``:
+sets that have but one phrase in common part there. Groups are cut into blocks, and pairs of blocks are the units of work: sets of
+the largest component (all linked already) meet only those outside it. Only sets that share ``DEPTH`` of their first elements without being linked remain pairs
+of blocks in unbounded number.
 
 A set is named by 64 bits of its digest and elements by 64-bit hashes; a wrong answer needs a collision of either.
 Edge cases: null or empty texts have the empty set and link with nothing; ids may be null or repeated;
@@ -41,7 +44,8 @@ COMMON_IN_TASK, COUNTED = 3, 4_000_000  # listed if so many of about 10,000 docu
 BLOCK = 256  # sets in a block
 LEAF = 16
 SENT = 1_000_000  # roles of sets in comparisons that are sent to every task; more meet their sets by a shuffle
-PER_TASK = 500  # comparisons with one leading set in a task
+PER_TASK = 200  # comparisons with one leading set in a task
+DEPTH = 4  # elements that large groups are split by, at most
 
 NARROW = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,21 +107,32 @@ class Order:
         self.maybe[self.key >> np.uint64(44)] = True
 
     def heads(self, s: Sets, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first ``need`` elements of each set in this order, and where each set's begin."""
+        """The first ``need`` elements of each set (or all), in this order, and where each set's begin."""
         e, at = s.element, s.at
         late = self.maybe[e >> np.uint64(44)]
         near = np.flatnonzero(late)
         late[near] = np.isin(e[near], self.key)
         early = np.concatenate(([0], np.cumsum(~late)))
         nth = early[:-1] - np.repeat(early[at[:-1]], np.diff(at))
-        take = ~late & (nth < np.repeat(need, np.diff(at)))
-        short = np.flatnonzero(early[at[1:]] - early[at[:-1]] < need)
-        for i in short:
+        take = np.flatnonzero(~late & (nth < np.repeat(need, np.diff(at))))
+        have = early[at[1:]] - early[at[:-1]]
+        count = np.minimum(have, need)
+        short = np.flatnonzero((have < need) & (have < np.diff(at)))
+        if not len(short):
+            return e[take], np.concatenate(([0], np.cumsum(count)))
+        parts, done, cut = [], 0, np.concatenate(([0], np.cumsum(count)))
+        for i in short:  # common ones follow, rarest first
             own = np.arange(at[i], at[i + 1])[late[at[i] : at[i + 1]]]
-            ranks = self.rank[np.searchsorted(self.key, e[own])]
-            take[own[np.argsort(ranks, kind="stable")][: need[i] - (early[at[i + 1]] - early[at[i]])]] = True
-        count = np.concatenate(([0], np.cumsum(take)))
-        return e[take], count[at]
+            own = own[np.argsort(self.rank[np.searchsorted(self.key, e[own])], kind="stable")][: need[i] - have[i]]
+            parts += [take[done : cut[i + 1]], own]
+            done = cut[i + 1]
+            count[i] += len(own)
+        return e[np.concatenate([*parts, take[done:]])], np.concatenate(([0], np.cumsum(count)))
+
+
+def prefix(n, percent: int):
+    """How many first elements of a set of n must hold one of any set that links with it."""
+    return n - (percent * n + 99) // 100 + 1
 
 
 def bitmap(e: np.ndarray) -> bytes:
@@ -129,14 +144,14 @@ def bitmap(e: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, v, head, bits) of every document: its set's size, name, first elements and bitmap."""
+    """(doc_id, n, v, head, bits) of every document: its set's size, name, first elements in order (``DEPTH`` - 1 more than a link needs) and bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, s in sets_of(b.column(1), k):
                 n = np.diff(s.at)
-                need = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+                need = np.where(n > 0, prefix(n, percent) + DEPTH - 1, 0)
                 head, cut = sent.value.heads(s, need)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -151,8 +166,8 @@ def signed(docs: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, v long, head binary, bits binary")
 
 
-def postings(every: DataFrame, order: Order) -> DataFrame:
-    """(element, v, n) of the first elements that more than one set has.
+def postings(every: DataFrame, order: Order, percent: int) -> DataFrame:
+    """(element, v, n, place) of the first elements that more than one set has; place: where it stands in the set's order.
 
     One shuffle by element. Listed common elements need no test, so their sets are spread over tasks.
     """
@@ -162,16 +177,18 @@ def postings(every: DataFrame, order: Order) -> DataFrame:
         for b in batches:
             v, one = np.unique(b.column(0).to_numpy(), return_index=True)
             heads = b.column(2).take(pa.array(one)).to_pylist()
-            count = np.array([len(x) // 8 for x in heads], np.int64)
-            element = np.frombuffer(b"".join(heads), np.uint64)
-            v, n = np.repeat(v, count), np.repeat(b.column(1).to_numpy()[one], count)
+            n = b.column(1).to_numpy()[one]
+            count = prefix(n, percent)
+            element = np.frombuffer(b"".join(x[: 8 * c] for x, c in zip(heads, count.tolist(), strict=True)), np.uint64)
+            place = np.arange(len(element)) - np.repeat(np.cumsum(count) - count, count)
+            v, n = np.repeat(v, count), np.repeat(n, count)
             spread = np.where(np.isin(element, sent.value), (v.view(np.uint64) >> np.uint64(54)).astype(np.int32) + 1, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(v), pa.array(n), pa.array(spread.astype(np.int32))], ["element", "v", "n", "spread"])
+            yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(v), pa.array(n), pa.array(place.astype(np.int32)), pa.array(spread.astype(np.int32))], ["element", "v", "n", "place", "spread"])
 
-    rows = every.where("n > 0").select("v", "n", "head").mapInArrow(run, "element long, v long, n long, spread int")
+    rows = every.where("n > 0").select("v", "n", "head").mapInArrow(run, "element long, v long, n long, place int, spread int")
     w = Window.partitionBy("element", "spread")
     rows = rows.withColumns({"lo": F.min("v").over(w), "hi": F.max("v").over(w)}).where((F.col("spread") > 0) | (F.col("lo") < F.col("hi")))
-    return rows.select("element", "v", "n").distinct()
+    return rows.select("element", "v", "n", "place").distinct()
 
 
 def linked(na, nb, both, percent: int):
@@ -341,25 +358,69 @@ def tree_pairs(units: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
-def _units(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of blocks, for every different group of sets under one element that spans components."""
-    tagged = shared.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+def deeper(rows: DataFrame, every: DataFrame, percent: int, level: int) -> DataFrame:
+    """Rows (element, v, n, component, place) under keys of ``level`` elements to rows under those and each later one among the set's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, v, n, component, place = (b.column(i).to_numpy() for i in range(5))
+            heads = [x[8 * (p + 1) : 8 * c] for x, p, c in zip(b.column(5).to_pylist(), place.tolist(), (prefix(n, percent) + level).tolist(), strict=True)]
+            count = np.array([len(x) // 8 for x in heads], np.int64)
+            key, v, n, component, place = (np.repeat(x, count) for x in (key, v, n, component, place))
+            nth = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+            key = words.paired(key.view(np.uint64), np.frombuffer(b"".join(heads), np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(v), pa.array(n), pa.array(component), pa.array((place + 1 + nth).astype(np.int32))], ["element", "v", "n", "component", "place"])
+
+    heads = every.select("v", "head").join(rows.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"])
+    met = rows.join(heads, "v").select("element", "v", "n", "component", "place", "head")
+    return met.mapInArrow(run, "element long, v long, n long, component long, place int")
+
+
+def spanning(rows: DataFrame) -> DataFrame:
+    """Rows of elements whose sets are of several components, with ``lead``, the component of most of them, and ``minors``, the number of the others."""
+    by = rows.groupBy("element", "component").agg(F.count(F.lit(1)).alias("c"))
+    by = by.groupBy("element").agg(F.count(F.lit(1)).alias("components"), F.sum("c").alias("c"), F.max(F.struct("c", "component")).alias("top")).where("components > 1")
+    return rows.join(by.select("element", "c", F.col("top.component").alias("lead"), (F.col("c") - F.col("top.c")).alias("minors")), "element")
+
+
+def _units(shared: DataFrame, labels: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks, for every group of sets under one element that spans components; large groups are split by further elements first."""
+    rows = shared.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    stored, units = [], []
+    for level in range(1, DEPTH + 1):
+        rows = materialize(spanning(rows), "jaccard-groups")
+        stored.append(rows)
+        large = rows.where(F.col("minors") > BLOCK)
+        split = level < DEPTH and large.limit(1).count() > 0
+        units.append(_blocks(rows.where(F.col("minors") <= BLOCK) if split else rows, percent))
+        if not split:
+            break
+        rows = deeper(large, every, percent, level)
+    out = units[0]
+    for u in units[1:]:
+        out = out.unionByName(u)
+    out = materialize(out, "jaccard-units")
+    discard(*stored)
+    return out
+
+
+def _blocks(tagged: DataFrame, percent: int) -> DataFrame:
     # sizes alone leave no partner to a set whose neighbours in size, under the element, are too far; the sets
     # of large groups all have near ones, so only groups of one block are looked at
-    few = tagged.groupBy("element").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    tagged = tagged.join(few.select("element", "c"), "element")
     w = Window.partitionBy("element", F.when(F.col("c") > BLOCK, F.col("v")).otherwise(0)).orderBy("n")
     near = lambda m: _same_size(F.col("n"), m(F.col("n")).over(w), percent)
     tagged = tagged.withColumn("near", (F.col("c") > BLOCK) | near(F.lag) | near(F.lead)).where("near").drop("near", "c")
-    groups = tagged.groupBy("element").agg(
-        F.min("component").alias("c1"), F.max("component").alias("c2"), F.min_by("component", "v").alias("lead"), F.count(F.lit(1)).alias("size"),
+    # of elements with the same sets, one will do
+    groups = tagged.groupBy("element", "lead").agg(
+        F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("v")).alias("x1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("x2"),
     )
-    groups = groups.where("c1 < c2").groupBy("size", "x1", "x2").agg(F.min(F.struct("element", "lead")).alias("g")).select("g.element", "g.lead")
-    rows = tagged.join(groups, "element").withColumn("minor", F.col("component") != F.col("lead"))
-    sizes = rows.groupBy("element").agg(F.ceil(F.count_if("minor") / BLOCK).alias("minors"), F.ceil(F.count_if(~F.col("minor")) / BLOCK).alias("majors"))
-    rows = rows.join(sizes, "element").withColumn("block", F.pmod(F.xxhash64("v", F.lit(7)), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))))
-    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    groups = groups.where("c1 < c2").groupBy("size", "x1", "x2").agg(F.min("element").alias("element"))
+    rows = tagged.join(groups.select("element"), "element").withColumn("minor", F.col("component") != F.col("lead"))
+    sizes = rows.groupBy("element").agg(F.ceil(F.count_if("minor") / BLOCK).alias("some"), F.ceil(F.count_if(~F.col("minor")) / BLOCK).alias("majors"))
+    rows = rows.drop("minors").join(sizes.withColumnRenamed("some", "minors"), "element")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("v", F.lit(7)), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))))
+    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("bigint"), F.col(n)), lambda i: i < F.col(n))
     one = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     block = F.col("block")
     # minor blocks with themselves (0), each other (1), and blocks of the leader's component (2)
@@ -381,7 +442,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
     order = Order(_common(docs, k))
     every = materialize(signed(docs, order, k, percent), "jaccard-signed")
     names = materialize(every.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("least")), "jaccard-names")
-    shared = materialize(postings(every, order), "jaccard-shared")
+    shared = materialize(postings(every, order, percent), "jaccard-shared")
     # the leading set of an element is the one that meets most others over all its elements
     size = shared.groupBy("element").agg(F.count(F.lit(1)).alias("c"))
     weight = shared.join(size, "element").groupBy("v").agg(F.sum("c").alias("weight"))
@@ -390,7 +451,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
     best = close.groupBy("v", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.max(F.struct("c", "lead")).alias("x"))
     first = materialize(verify(docs, names, best.select(F.col("x.lead").alias("a"), F.col("v").alias("b")), k, percent), "jaccard-links")
     labels = materialize(components(first), "jaccard-labels")
-    units = materialize(_units(shared, labels, percent), "jaccard-units")
+    units = _units(shared, labels, every, percent)
     more = materialize(verify(docs, names, tree_pairs(units, every, percent), k, percent), "jaccard-links")
     narrow = materialize(every.select("doc_id", "n", "v"), "jaccard-documents")
     found = components(first.union(more))

@@ -41,7 +41,7 @@ from tidewater.sources.scratch import discard, materialize
 ORDER = 7
 DISCOUNT = 0.75  # of counts of both classes
 RUN_DISCOUNT, WORD_DISCOUNT, PAIR_DISCOUNT = 3.0, 2.0, 6.0  # of counts by class
-SAMPLE = 16_000
+SAMPLE = 8_000
 WEIGHT = 2.0
 THRESHOLD = 0.7
 START = np.uint64(0x3C79AC492BA7B653)  # stands for the word before the first

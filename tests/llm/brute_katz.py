@@ -55,3 +55,41 @@ def brute(docs):
         score = sum(log10(p2(h, w)) for h, w in zip(["<s>", *ws[:-1]], ws))
         out.append((i, held(i), len(ws), sum(c[w] > 0 for w in ws), total, base, score))
     return out, p2, c
+
+
+def brute_order(texts, order):
+    """P(w | history) of a model of any order, by recursion over dictionaries; history: a tuple of words, None at the start."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        ws = ["<s>"] * (order - 1) + WORD.findall(lower(t or "")) + [None]
+        for i in range(order - 1, len(ws)):
+            for n in range(1, order + 1):
+                counts[n][tuple(ws[i - n + 1 : i + 1])] += 1
+    tally = lambda x: np.bincount(np.minimum(np.array(list(x.values()), int), TOP + 2), minlength=TOP + 3) if x else np.zeros(TOP + 3, int)
+    discount = [None] + [good_turing(tally(c)) for c in counts[1:]]
+    kept = lambda n, r: (discount[n][r - 1] if r <= TOP else BIG) * r
+    total = sum(counts[1].values())
+    unknown = sum(r - kept(1, r) for r in counts[1].values()) / total if total else 1.0
+    follow = defaultdict(list)
+    for n in range(2, order + 1):
+        for g in counts[n]:
+            follow[g[:-1]].append(g[-1])
+
+    def p(h, w):
+        n = len(h) + 1
+        r = counts[n].get((*h, w), 0)
+        if n == 1:
+            return kept(1, r) / total if r else unknown
+        seen = follow.get(h, ())
+        c = sum(counts[n][(*h, x)] for x in seen)
+        if not c:
+            return p(h[1:], w)
+        if r:
+            return kept(n, r) / c
+        return (1 - sum(kept(n, counts[n][(*h, x)]) for x in seen) / c) / (1 - sum(p(h[1:], x) for x in seen)) * p(h[1:], w)
+
+    def score(text):
+        ws = ["<s>"] * (order - 1) + WORD.findall(lower(text or "")) + [None]
+        return len(ws) - order + 1, sum(log10(p(tuple(ws[i - order + 1 : i]), ws[i])) for i in range(order - 1, len(ws)))
+
+    return p, score, [w for (w,) in counts[1]]

@@ -1,4 +1,4 @@
-"""Katz backoff bigram model of a corpus, trained and evaluated in one pass over its pairs.
+"""Katz backoff bigram model of a corpus, trained and evaluated in one pass over its pairs (``katz_tables`` has any order, in stored tables).
 
 P(w | h) = d_r * r / c(h) for a pair seen r times in training, else alpha(h) * P(w); P(w) likewise backs off from counts to one
 unknown word. d_r are Good-Turing discounts for r up to ``TOP`` and ``BIG`` above, and alpha(h) makes the probabilities after h
@@ -11,9 +11,9 @@ score. Buckets pass on, by history, what alpha(h) needs, and which documents nee
 a few constants found from counts of counts over all buckets; everything is arranged so that they are applied last. The n-gram tables are
 these buckets: they are partitioned by word, then by history, and never whole in one place.
 
-A word or pair that fills a good part of a bucket would make it hot. Such words and pairs are guessed from a small sample and counted exactly in a
-pass of their own; pairs among them are scored where they are read, and other pairs of such words are dealt by pair. The guess
-shifts work only, never a result.
+A word or pair that fills a good part of a bucket (an eighth, so the share falls as buckets get more) would make it hot. Such words and pairs are guessed from a
+sample (a thousandth of the documents, ``SAMPLE`` at least) and counted exactly in a pass of their own; pairs among them are scored where they are read, and other pairs of
+such words are dealt by pair. The guess shifts work only, never a result. There are at most 8 such words and 8 such pairs for each bucket.
 
 Words and pairs are named by 64-bit hashes. Edge cases: null or empty texts are one end token; null ids are not held out; no training
 documents give a model of the unknown word alone; repeated rows count each time.
@@ -39,18 +39,14 @@ START, END = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5A)
 FLUSH = 1_000_000  # tokens in a batch
 BUCKET = 3_000_000  # tokens in a bucket, about
 LEAST_BUCKETS = 12
-SAMPLE = 20_000  # documents from which hot words and pairs are guessed
-HOT_WORD, HOT_PAIR, HOT_LEAST = 1e-3, 2e-4, 200  # share of the sample's tokens; at least so many there
+SAMPLE, SAMPLED = 20_000, 1e-3  # documents from which hot words and pairs are guessed: so many, or this share if that is more
+HOT_WORD, HOT_PAIR, HOT_LEAST = 1e-3, 2e-4, 200  # share of the sample's tokens (or that of an eighth of a bucket, if less); at least so many there
 
 PAIR, DEALT, LOCAL, HISTORY, REQUEST, STATS, ROWS, ANSWER = range(8)
 SCHEMA = "kind int, key long, part int, block binary"
 CLASSES = TOP + 2  # 0, 1..TOP, above
 
 
-def pair_of(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return words.mixed(h * np.uint64(0x9FB21C651E98DF25) + w)
-
-
 def home_of(batch: int, buckets: int) -> int:
     """The part that gathers a batch of documents."""
     return ((batch ^ (batch >> 29)) * 2654435761 >> 7) % buckets
@@ -161,7 +157,7 @@ def deal(docs: DataFrame, held_out: Column, hot: Hot, buckets: int) -> DataFrame
         home = home_of(batch, buckets)
         null = np.array([i is None for i in ids])
         yield ROWS, batch, home, pack(np.array([0 if i is None else i for i in ids], np.int64), null, held, np.bincount(d, minlength=n))
-        pair = pair_of(before, w)
+        pair = words.paired(before, w)
         is_hot, at = find(hot.pair, pair)
         if is_hot.any():
             own = Shares(n)
@@ -225,7 +221,7 @@ def score_bucket(blocks: list[tuple[int, list[np.ndarray]]], hot: Hot, buckets:
     is_hot, at = find(hot.word, names)
     c_of[is_hot] = hot.word_count[at[is_hot]]
     own = c_of[~is_hot]
-    c, end, pair = c_of[which], w == END, pair_of(before, w)
+    c, end, pair = c_of[which], w == END, words.paired(before, w)
     del w, which
     _, one, by_pair = np.unique(pair, return_index=True, return_inverse=True)
     del pair
@@ -350,12 +346,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple[
 def _hot(docs: DataFrame, training: Column) -> tuple[Hot, int, int]:
     """Hot words and pairs with exact counts, guessed from a sample; training documents; tokens of all."""
     n = docs.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
+    share = min(1.0, max(SAMPLE / max(n, 1), SAMPLED))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * share)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, w, before, _ in tokens(b.column(0)):
-                pair = pair_of(before, w)
+                pair = words.paired(before, w)
                 keys, one, count = np.unique(pair, return_index=True, return_counts=True)
                 few = count >= 2  # a hot pair stands several times in most stretches of this size
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys[few], w[one[few]], before[one[few]])] + [pa.array(count[few]), pa.array([len(w)] * int(few.sum()), pa.int64())], ["pair", "w", "h", "n", "tokens"])
@@ -366,11 +363,13 @@ def _hot(docs: DataFrame, training: Column) -> tuple[Hot, int, int]:
 
     sample = docs.where(part).select("text")
     size = sample.mapInArrow(count_tokens, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    seen = sample.mapInArrow(guess, "pair long, w long, h long, n long, tokens long").groupBy("pair", "w", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, HOT_PAIR * size))
-    found = seen.orderBy(F.desc("n"), "pair").limit(int(1 / HOT_PAIR)).toArrow()
+    of_bucket = BUCKET / 8 / max(size / share, 1)
+    hot_word, hot_pair = min(HOT_WORD, of_bucket), min(HOT_PAIR, of_bucket)
+    seen = sample.mapInArrow(guess, "pair long, w long, h long, n long, tokens long").groupBy("pair", "w", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, hot_pair * size))
+    found = seen.orderBy(F.desc("n"), "pair").limit(int(1 / hot_pair)).toArrow()
     pair, w, h = (found[c].to_numpy().view(np.uint64) for c in ("pair", "w", "h"))
-    by_word = sample.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, HOT_WORD * size))
-    hot_words = np.union1d(by_word.orderBy(F.desc("n"), "w").limit(int(1 / HOT_WORD)).toArrow()["w"].to_numpy().view(np.uint64), w)
+    by_word = sample.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, hot_word * size))
+    hot_words = np.union1d(by_word.orderBy(F.desc("n"), "w").limit(int(1 / hot_word)).toArrow()["w"].to_numpy().view(np.uint64), w)
     order = np.argsort(pair)
     pair, w, h = pair[order], w[order], h[order]
 
@@ -386,7 +385,7 @@ def _hot(docs: DataFrame, training: Column) -> tuple[Hot, int, int]:
                 yes, i = find(hot_words, x)
                 nw += np.bincount(i[yes], minlength=len(hot_words))
                 if len(pair):
-                    yes, i = find(pair, pair_of(before[yes], x[yes]))
+                    yes, i = find(pair, words.paired(before[yes], x[yes]))
                     np_ += np.bincount(i[yes], minlength=len(pair))
             n = np.concatenate((nw, np_, [flags.sum(), tokens_]))
             keep = np.flatnonzero(n)

@@ -464,8 +464,8 @@ def test_fingerprints(spark):
     df = docs(spark, [(1, text), (2, text), (3, text + " and then the cat left for good"), (4, "quite different words of an other sort in this"), *EDGES])
     prints = spotsigs.fingerprints(df)
     assert prints.count() == 4 + len(EDGES)
-    pairs = {(r.a, r.b) for r in spotsigs.near_pairs(prints.where("doc_id in (1, 2, 3, 4)"), 0.5).collect()}
-    assert pairs == {(1, 3)}
+    found = {r.doc_id: r.near_class for r in spotsigs.near_classes(df.where("doc_id in (1, 2, 3, 4) and n_chars is null and length(text) > 10"), 50).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
 def test_texts_without_anchors_are_signed_whole(spark):
@@ -480,41 +480,69 @@ def test_texts_without_anchors_are_signed_whole(spark):
     assert got[1][0] < 0.5 and got[1][1] < 0.1
 
 
-def test_near_pairs_equal_brute_force(spark):
+def test_near_classes_equal_brute_force(spark):
     rng = random.Random(4)
     words_ = [a + b for a in ("ka", "lo", "mi", "ter", "su", "ven") for b in ("ren", "sto", "na", "li", "dor")] + ["the", "of", "and", "a"] * 6
-    texts = []
+    texts = ["", "!?", None]
     for _ in range(12):
         t = [rng.choice(words_) for _ in range(rng.randint(20, 90))]
         for _ in range(rng.randint(1, 4)):
             texts.append(" ".join(t))
             t = list(t)
             t[rng.randrange(len(t))] = rng.choice(words_)
-    sigs = spotsigs.signatures(pa.array(texts))
-    for least in (0.5, 0.8):
-        want = {}
+    rows = [(i // 2 if i > 20 else i, t) for i, t in enumerate(texts)]  # ids that stand twice
+    sigs = spotsigs.signatures(pa.array(texts, pa.string()))
+    for percent in (50, 80):
+        root = list(range(len(texts)))
+        find = lambda i: i if root[i] == i else find(root[i])
         for i, a in enumerate(sigs):
             for j in range(i):
-                if spotsigs.text_of(a) != spotsigs.text_of(sigs[j]) and (x := spotsigs.likeness(sigs[j], a)) >= least:
-                    want[tuple(sorted(min(k for k, s in enumerate(sigs) if spotsigs.text_of(s) == spotsigs.text_of(sigs[m])) for m in (i, j)))] = x
-        got = {(r.a, r.b): r.likeness for r in spotsigs.near_pairs(spotsigs.fingerprints(docs(spark, list(enumerate(texts)))), least).collect()}
-        assert got == pytest.approx(want)
+                if len(a) and len(sigs[j]) and spotsigs.likeness(sigs[j], a) >= percent / 100 - 1e-12:
+                    root[find(i)] = find(j)
+        least = {}
+        for i, (d, _) in enumerate(rows):
+            least[find(i)] = min(d, least.get(find(i), d))
+        want = sorted((d, len(sigs[i]), least[find(i)] if len(sigs[i]) else d) for i, (d, _) in enumerate(rows))
+        assert sorted(map(tuple, spotsigs.near_classes(docs(spark, rows), percent).collect())) == want
+
+
+def brute_signatures(text):
+    """Signatures as tuples of words."""
+    ws = words_of(text)
+    anchors = {w.encode() for w in spotsigs.ANCHORS.split()}
+    content = [i for i, w in enumerate(ws) if w not in anchors]
+    after = lambda i: tuple(ws[c] for c in content if c > i)[: spotsigs.CHAIN]
+    found = {(ws[i], after(i)) for i in range(len(ws)) if i not in content and len(after(i)) == spotsigs.CHAIN}
+    if len(content) >= spotsigs.CHAIN:
+        found |= {(None, after(-1))} if found else {(None, after(i - 1)) for i in content if len(after(i - 1)) == spotsigs.CHAIN}
+    return found or ({("all", *ws)} if ws else {("characters", text)} if text else set())
+
+
+def test_edited_and_next_equal_brute_force(spark):
+    import hashlib
+
+    rng = random.Random(13)
+    say = lambda n: " ".join(rng.choice(("the", "of", "und", "für", "die", "cat", "Dog", "red", "große", "old", "door", "run")) for _ in range(n))
+    rows = [(i * 7 % 101, rng.choice(("", "! ", "x")) + say(rng.choice((0, 1, 2, 3, 9, 40)))) for i in range(60)] + [(500, None), (501, "?"), (502, "é" * 50), (503, say(2000))]
+    got = {r.doc_id: r for r in spotsigs.edit_likeness(docs(spark, rows)).collect()}
+    ids, text = sorted(dict(rows)), {i: t or "" for i, t in rows}
+    alike = lambda a, b: float(len(a) == len(b)) if not a or not b else len(a & b) / len(a | b)
+    prints = {}
+    for k, i in enumerate(ids):
+        t, following = text[i], text[ids[(k + 1) % len(ids)]]
+        half = len(t) // 2
+        e = t[: len(t) - half] + following[:half]
+        r, own = got[i], brute_signatures(t)
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert len(r.fingerprint) == 8 * len(own) and len(r.edited_fingerprint) == 8 * len(brute_signatures(e))
+        assert r.near_edited == pytest.approx(alike(own, brute_signatures(e))) and r.near_next == pytest.approx(alike(own, brute_signatures(following)))
+        assert prints.setdefault(frozenset(own), r.fingerprint) == r.fingerprint
+    assert len(set(prints.values())) == len(prints)
 
 
 def test_edited_and_next(spark):
     rows = [(10, "abcdefg"), (20, "xy"), (5, ""), (7, "the quick brown fox jumps over the lazy dog"), *EDGES]
-    got = spotsigs.edit_likeness(docs(spark, rows)).collect()
-    assert len(got) == len(rows)
-    import hashlib
-
-    sha = {r.doc_id: r.edited_sha256 for r in got}
-    assert sha[10] == hashlib.sha256(b"abcdxy").hexdigest()
-    assert sha[20] == hashlib.sha256(b"x").hexdigest()  # after the last comes the first, which is empty
-    by_text = {}
-    for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    for (_, t), in zip(rows):
-        by_text.setdefault(t or "", None)
+    assert spotsigs.edit_likeness(docs(spark, rows)).count() == len(rows)
     assert spotsigs.edit_likeness(docs(spark, [])).count() == 0
     one = spotsigs.edit_likeness(docs(spark, [(1, "only this text")])).first()
     assert one.near_next == 1.0

@@ -25,7 +25,7 @@ a text of fewer than k words is one element.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -58,21 +58,32 @@ class Sets(NamedTuple):
     name: np.ndarray
 
 
-def sets_of(texts: pa.Array, k: int) -> Iterator[tuple[int, int, Sets]]:
+Maker = Callable[[pa.Array], Iterator[tuple[int, int, Sets]]]  # (first row, end row, sets) of stretches of texts
+
+
+def as_sets(e: np.ndarray, at: np.ndarray) -> Sets:
+    """Sets from each row's elements, which may repeat and are sorted in place."""
+    for i in range(len(at) - 1):
+        e[at[i] : at[i + 1]].sort()
+    new = np.ones(len(e), bool)
+    new[1:] = e[1:] != e[:-1]
+    new[at[:-1][at[:-1] < len(e)]] = True
+    count = np.concatenate(([0], np.cumsum(new)))
+    e, at = e[new], count[at]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.mixed(e ^ NARROW))))
+    return Sets(e, at, words.mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
+
+
+def sets_of(texts: pa.Array, k: int | Maker) -> Iterator[tuple[int, int, Sets]]:
+    """Sets of runs of ``k`` words; or what another maker of sets gives."""
+    if callable(k):
+        yield from k(texts)
+        return
     for lo, hi, h, first in words.pieces(texts):
-        e, at = words.shingles(h, first, k)
-        for i in range(hi - lo):
-            e[at[i] : at[i + 1]].sort()
-        new = np.ones(len(e), bool)
-        new[1:] = e[1:] != e[:-1]
-        new[at[:-1][at[:-1] < len(e)]] = True
-        count = np.concatenate(([0], np.cumsum(new)))
-        e, at = e[new], count[at]
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.mixed(e ^ NARROW))))
-        yield lo, hi, Sets(e, at, words.mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
-
-
-def _common(docs: DataFrame, k: int) -> np.ndarray:
+        yield lo, hi, as_sets(*words.shingles(h, first, k))
+
+
+def _common(docs: DataFrame, k: int | Maker) -> np.ndarray:
     """Elements that many documents share, rarest first: a list of bounded length, to order elements by."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +154,7 @@ def bitmap(e: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def signed(docs: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
+def signed(docs: DataFrame, order: Order, k: int | Maker, percent: int) -> DataFrame:
     """(doc_id, n, v, head, bits) of every document: its set's size, name, first elements in order (``DEPTH`` - 1 more than a link needs) and bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -200,7 +211,7 @@ def _same_size(a: Column, b: Column, percent: int) -> Column:
     return F.coalesce(F.least(a, b) * 100 >= F.greatest(a, b) * percent, F.lit(False)) & a.isNotNull() & b.isNotNull()
 
 
-def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, k: int | Maker, percent: int) -> DataFrame:
     """The pairs (a, b) of set names whose full sets link. ``names``: (v, least), each set's smallest document.
 
     Sets of the names that occur are taken from the texts again and go straight to where they are compared. All pairs of one ``a`` meet its
@@ -433,7 +444,7 @@ def _blocks(tagged: DataFrame, percent: int) -> DataFrame:
     return units.select("element", "u.*", "v", "n", "component")
 
 
-def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, v) of every document, and (v, component) of the sets that link with another.
 
     ``docs`` (doc_id, text) is read four times: it should be a stored table.
@@ -459,7 +470,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
     return narrow, found
 
 
-def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links lead to, itself included."""
     every, labels = link(docs, k, percent)
     # a set's smallest id first: all copies of a text are one row from here on
@@ -471,7 +482,7 @@ def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+def deduplicated(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component (smallest id, then set name; null ids last); empty texts all stay.
 
     The decisions are narrow rows; the texts are shuffled once, to meet them.

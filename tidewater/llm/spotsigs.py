@@ -16,17 +16,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm import words
+from tidewater.llm.jaccard_join import Sets, as_sets, classes
 from tidewater.llm.session import bounded_batches
 
 CHAIN = 3
+PART_BYTES, MOST_PARTS = 1 << 27, 10_000  # bytes of text in a range of documents; beyond so many ranges they get larger (a task sorts on disk)
 START = 0x5851F42D4C957F2D  # stands for the start of a text among the anchors
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -116,32 +119,23 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN, text_col: str = "text") ->
     return out.withColumn("signatures", F.call_function("div", F.length("fingerprint"), F.lit(8)))
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
-    """(a, b, likeness) of fingerprints with Jaccard of at least ``least``, one per pair of different fingerprints.
+def signature_sets(texts: pa.Array, chain: int = CHAIN) -> Iterator[tuple[int, int, Sets]]:
+    """Fingerprints as sets for the join."""
+    found = signatures(texts, chain)
+    at = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64)))
+    every = np.concatenate(found) if found else np.empty(0, np.uint32)
+    yield 0, len(found), as_sets(words.mixed(every.astype(np.uint64)), at)
 
-    Each different fingerprint stands once, under its smallest id. Fingerprints are partitioned by set length, ranges growing by
-    1/least, so partners are in the same or the next range; within a range they meet over the signatures of their
-    prefix (the first n - ceil(least * n) + 1, rarest in the corpus first, so common ones seldom count), and are compared in
-    full. The result has every pair, so a family of different near copies gives all of its pairs.
+
+def near_classes(docs: DataFrame, percent: int = 80, chain: int = CHAIN) -> DataFrame:
+    """(doc_id, signatures, near_class) of every document: near_class is the smallest doc_id that near copies lead to.
+
+    Two fingerprints are near where their Jaccard similarity is at least ``percent`` in a hundred. Equal fingerprints are one from the start, whatever
+    their ids; the others meet over their first signatures, common ones last, only where their lengths allow a link (by ranges of
+    length in the nodes of a tree), and are compared in full. No list of all pairs is made.
     """
-    rep = prints.where("signatures > 0").groupBy("fingerprint", "signatures").agg(F.min(id_col).alias("id"))
-    part = F.floor(F.log(F.col("signatures").cast("double")) / F.log(F.lit(1 / least))).cast("int")
-    sig = F.filter(F.split(F.regexp_replace("fingerprint", "(.{8})", "$1,"), ","), lambda x: x != "")
-    rep = rep.select("id", "signatures", part.alias("part"), sig.alias("sig"))
-    each = rep.select("id", "part", "signatures", F.explode("sig").alias("seed"))
-    often = each.groupBy("seed").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "seed"))
-    seeds = each.join(often, "seed").where("often > 1").withColumn("place", place)  # what one text alone has meets no other
-    alone = rep.select("id", "signatures").join(each.join(often.where("often = 1"), "seed").groupBy("id").agg(F.count(F.lit(1)).alias("alone")), "id", "left")
-    room = F.col("signatures") - F.ceil(F.col("signatures") * least - 1e-9) + 1 - F.coalesce("alone", F.lit(0))
-    seeds = seeds.join(alone.select("id", room.alias("room")), "id").where("place <= room").select("id", "part", "signatures", "seed")
-    left = seeds.withColumn("at", F.explode(F.array(F.col("part"), F.col("part") + 1, F.col("part") - 1)))
-    r = seeds.select(F.col("id").alias("b"), F.col("part").alias("at"), "seed", F.col("signatures").alias("nb"))
-    close = F.least("signatures", "nb") >= F.greatest("signatures", "nb") * F.lit(least) - 1e-9
-    pairs = left.join(r, ["at", "seed"]).where((F.col("id") < F.col("b")) & close).select(F.col("id").alias("a"), "b").distinct()
-    pairs = pairs.join(rep.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(rep.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.withColumn("likeness", both / (F.size("sa") + F.size("sb") - both)).where(F.col("likeness") >= least - 1e-12).select("a", "b", "likeness")
+    out = classes(docs, partial(signature_sets, chain=chain), percent)
+    return out.withColumnsRenamed({"n_shingles": "signatures", "component_id": "near_class"})
 
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -161,9 +155,13 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     steps = [i / parts for i in range(1, parts)]
-    cuts = sorted({*(rows.agg(F.percentile_approx("doc_id", steps, 10000).alias("c")).first().c or ())}) if steps else []
-    part = F.coalesce(F.size(F.filter(F.array(*(F.lit(c).cast("bigint") for c in cuts)), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    rows = rows.withColumn("_part", part)
+    cuts = sorted({float(c) for c in rows.agg(F.percentile_approx("doc_id", steps, 100_000).alias("c")).first().c or ()}) if steps else []
+    rows = rows.withColumn("_at", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double"))
+    if cuts:
+        rows = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_part").transform(rows)
+    else:
+        rows = rows.withColumn("_part", F.lit(0))
+    rows = rows.withColumn("_part", F.col("_part").cast("int")).drop("_at")
     firsts = {r["_part"]: r["id"] for r in rows.groupBy("_part").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id")).collect()}  # one row a part
     order = sorted(firsts)
     before = {firsts[p]: order[i - 1] for i, p in enumerate(order)}
@@ -173,7 +171,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
         to = F.create_map(*(F.lit(x) for k, v in before.items() for x in (k, v)))
         out = out.unionByName(rows.where(id_.isin(*before)).withColumns({"_part": F.try_element_at(to, id_), "_tail": F.lit(1)}))
     out = out.withColumn("_tie", F.xxhash64("text"))
-    return out.repartition(max(parts, 1), "_part").sortWithinPartitions("_part", "_tail", F.col("doc_id").asc_nulls_first(), "_tie").drop("_tie")
+    return out.repartitionById(max(parts, 1), "_part").sortWithinPartitions("_part", "_tail", F.col("doc_id").asc_nulls_first(), "_tie").drop("_tie")
 
 
 def edit_likeness(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
@@ -208,5 +206,6 @@ def edit_likeness(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
                 [c.split()[0] for c in ROW.split(", ")],
             )
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)))
     return with_next(docs, parts).mapInArrow(run, ROW)

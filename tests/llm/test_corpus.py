@@ -401,3 +401,12 @@ def test_pipeline(spark, tmp_path):
     assert max(Counter(i for i in seen["mixing"] if i is not None and i > 6).values()) <= 3
     assert Counter(seen["sharding"]) == Counter(seen["mixing"])
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(seen["sharding"])
+
+
+def test_pipeline_without_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -11,7 +11,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Edges (a long, b long) to (v, component), the smallest vertex of each component; one row a vertex with an edge.
 
     Each step is a minimum per vertex with partial aggregation and a join, so a hub of any degree is never gathered; each
-    round is written to the shared folder. Rounds end when the edges, then stars, no longer change.
+    round is written to the shared folder, as is the result. Rounds end when the edges, then stars, no longer change.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("m")).distinct()
     e = materialize(e, name)
@@ -28,4 +28,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if now == seen:
             break
         seen = now
-    return e.select(F.col("u").alias("v"), F.col("m").alias("component")).union(e.select("m", "m").distinct())
+    out = materialize(e.select(F.col("u").alias("v"), F.col("m").alias("component")).union(e.select("m", "m").distinct()), name)
+    discard(e)
+    return out

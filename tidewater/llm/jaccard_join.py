@@ -212,7 +212,7 @@ def _same_size(a: Column, b: Column, percent: int) -> Column:
 
 
 def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, k: int | Maker, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names whose full sets link. ``names``: (v, least), each set's smallest document.
+    """The pairs (a, b) of set names whose full sets link, stored. ``names``: (v, least), each set's smallest document.
 
     Sets of the names that occur are taken from the texts again and go straight to where they are compared. All pairs of one ``a`` meet its
     set in as many tasks as it has ``PER_TASK`` pairs, so no set gathers an unbounded number of others.
@@ -267,7 +267,9 @@ def verify(docs: DataFrame, names: DataFrame, pairs: DataFrame, k: int | Maker,
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").select("a", "other", "b", "elements")
-    return rows.mapInArrow(compare, "a long, b long")
+    found = materialize(rows.mapInArrow(compare, "a long, b long"), "jaccard-links")
+    discard(roles)
+    return found
 
 
 class Node:
@@ -445,7 +447,7 @@ def _blocks(tagged: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, v) of every document, and (v, component) of the sets that link with another.
+    """(doc_id, n, v) of every document, and (v, component) of the sets that link with another, both stored.
 
     ``docs`` (doc_id, text) is read four times: it should be a stored table.
     """
@@ -460,10 +462,10 @@ def link(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> tuple[D
     lead = shared.join(weight, "v").groupBy("element").agg(F.max(F.struct("weight", "v", "n")).alias("lead")).select("element", F.col("lead.v").alias("lead"), F.col("lead.n").alias("lead_n"))
     close = shared.join(lead, "element").where((F.col("v") != F.col("lead")) & _same_size(F.col("n"), F.col("lead_n"), percent))
     best = close.groupBy("v", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.max(F.struct("c", "lead")).alias("x"))
-    first = materialize(verify(docs, names, best.select(F.col("x.lead").alias("a"), F.col("v").alias("b")), k, percent), "jaccard-links")
-    labels = materialize(components(first), "jaccard-labels")
+    first = verify(docs, names, best.select(F.col("x.lead").alias("a"), F.col("v").alias("b")), k, percent)
+    labels = components(first)
     units = _units(shared, labels, every, percent)
-    more = materialize(verify(docs, names, tree_pairs(units, every, percent), k, percent), "jaccard-links")
+    more = verify(docs, names, tree_pairs(units, every, percent), k, percent)
     narrow = materialize(every.select("doc_id", "n", "v"), "jaccard-documents")
     found = components(first.union(more))
     discard(every, shared, units, names, labels, first, more)
@@ -479,7 +481,10 @@ def classes(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> Data
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "component").select("v", "component_id")
     out = every.join(named, "v", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = materialize(out, "jaccard-classes")
+    discard(every, labels)
+    return out
 
 
 def deduplicated(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> DataFrame:
@@ -491,7 +496,8 @@ def deduplicated(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) ->
     text_id = lambda: F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = every.where("n > 0").join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
     keep = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "v")).alias("k")).select("k.doc_id", "k.v")
-    keep = keep.select(text_id().alias("_keep_id"), F.col("v").alias("_keep_v"))
+    keep = materialize(keep.select(text_id().alias("_keep_id"), F.col("v").alias("_keep_v")), "jaccard-kept")
+    discard(every, labels)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

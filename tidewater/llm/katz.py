@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.llm import words
 from tidewater.llm.session import bounded_batches
-from tidewater.sources.scratch import materialize
+from tidewater.sources.scratch import discard, materialize
 
 TOP = 5  # counts up to this are discounted by Good-Turing
 BIG = 0.995  # the discount above, so that every history keeps something for unseen words
@@ -464,7 +464,9 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
         for rows in _grouped(batches, 1):
             yield _final(rows, k)
 
-    return home.repartitionById(buckets, "part").sortWithinPartitions("part", "key").mapInArrow(finish, OUT)
+    out = materialize(home.repartitionById(buckets, "part").sortWithinPartitions("part", "key").mapInArrow(finish, OUT), "katz-scores")
+    discard(met)
+    return out
 
 
 def _train_tokens(met: DataFrame) -> int:

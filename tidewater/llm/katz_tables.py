@@ -141,4 +141,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             value = F.coalesce(F.col(f"p{n}"), F.coalesce(F.col(f"a{n}"), F.lit(0.0)) + value)
     scored = each.select("key", "times", f"g{order}").join(top.select(f"g{order}", value.alias("value")), f"g{order}")
     sums = scored.groupBy("key").agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.col("value")).alias("score"))
-    return keyed.join(sums.withColumnRenamed("key", "_katz_key"), "_katz_key").drop("_katz_key")
+    sums = materialize(sums.withColumnRenamed("key", "_katz_key"), "katz-sums")
+    discard(each)
+    return keyed.join(sums, "_katz_key").drop("_katz_key")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
-from tidewater.sources.scratch import materialize
+from tidewater.sources.scratch import discard, materialize
 
 SHARDS = 40
 
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again, then deleted when the next one's is there."""
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*stored)
+        stored = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,11 +12,11 @@ in two rounds:
    is dropped when sizes or the largest overlap that the bitmaps allow rule out a link, or when
    both are of one component. What is left is compared in full.
 
-Sets that link share not one but as many elements as one likes to ask for (and the sets have), if as many more of the first are looked at. So where
-more than ``BLOCK`` sets under an element are outside its largest component, they are grouped anew by that element and a second one, then a third, up to ``DEPTH``:
-sets that have but one phrase in common part there. Groups are cut into blocks, and pairs of blocks are the units of work: sets of
-the largest component (all linked already) meet only those outside it. Only sets that share ``DEPTH`` of their first elements without being linked remain pairs
-of blocks in unbounded number.
+Groups are cut into blocks, and pairs of blocks are the units of work: sets of
+the largest component (all linked already) meet only those outside it. A set so stands in as many units as there are blocks outside that component. Where these are more than
+the set has first elements, its group is split instead: sets that link share not one but as many elements as one likes to ask for (and the sets have), if as many more of the
+first are looked at, so they are grouped anew by that element and a second one, then a third, up to ``DEPTH``. Sets that have but one phrase in common part there. Only
+sets that share ``DEPTH`` of their first elements without being linked remain pairs of blocks in unbounded number.
 
 A set is named by 64 bits of its digest and elements by 64-bit hashes; a wrong answer needs a collision of either.
 Edge cases: null or empty texts have the empty set and link with nothing; ids may be null or repeated;
@@ -389,11 +389,14 @@ def deeper(rows: DataFrame, every: DataFrame, percent: int, level: int) -> DataF
     return met.mapInArrow(run, "element long, v long, n long, component long, place int")
 
 
-def spanning(rows: DataFrame) -> DataFrame:
-    """Rows of elements whose sets are of several components, with ``lead``, the component of most of them, and ``minors``, the number of the others."""
-    by = rows.groupBy("element", "component").agg(F.count(F.lit(1)).alias("c"))
-    by = by.groupBy("element").agg(F.count(F.lit(1)).alias("components"), F.sum("c").alias("c"), F.max(F.struct("c", "component")).alias("top")).where("components > 1")
-    return rows.join(by.select("element", "c", F.col("top.component").alias("lead"), (F.col("c") - F.col("top.c")).alias("minors")), "element")
+def spanning(rows: DataFrame, percent: int, level: int) -> DataFrame:
+    """Rows of elements whose sets are of several components, with ``lead``, the component of most of them, and ``large``, whether the others make more
+    blocks than the sets have further elements to be split by."""
+    by = rows.groupBy("element", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    by = by.groupBy("element").agg(F.count(F.lit(1)).alias("components"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "component")).alias("top"))
+    further = F.col("n") / F.col("c") * (1 - percent / 100) + level
+    large = F.col("c") - F.col("top.c") > BLOCK * further
+    return rows.join(by.where("components > 1").select("element", "c", F.col("top.component").alias("lead"), large.alias("large")), "element")
 
 
 def _units(shared: DataFrame, labels: DataFrame, every: DataFrame, percent: int) -> DataFrame:
@@ -401,11 +404,11 @@ def _units(shared: DataFrame, labels: DataFrame, every: DataFrame, percent: int)
     rows = shared.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
     stored, units = [], []
     for level in range(1, DEPTH + 1):
-        rows = materialize(spanning(rows), "jaccard-groups")
+        rows = materialize(spanning(rows, percent, level), "jaccard-groups")
         stored.append(rows)
-        large = rows.where(F.col("minors") > BLOCK)
+        large = rows.where("large")
         split = level < DEPTH and large.limit(1).count() > 0
-        units.append(_blocks(rows.where(F.col("minors") <= BLOCK) if split else rows, percent))
+        units.append(_blocks(rows.where("not large") if split else rows, percent))
         if not split:
             break
         rows = deeper(large, every, percent, level)
@@ -430,8 +433,8 @@ def _blocks(tagged: DataFrame, percent: int) -> DataFrame:
     )
     groups = groups.where("c1 < c2").groupBy("size", "x1", "x2").agg(F.min("element").alias("element"))
     rows = tagged.join(groups.select("element"), "element").withColumn("minor", F.col("component") != F.col("lead"))
-    sizes = rows.groupBy("element").agg(F.ceil(F.count_if("minor") / BLOCK).alias("some"), F.ceil(F.count_if(~F.col("minor")) / BLOCK).alias("majors"))
-    rows = rows.drop("minors").join(sizes.withColumnRenamed("some", "minors"), "element")
+    sizes = rows.groupBy("element").agg(F.ceil(F.count_if("minor") / BLOCK).alias("minors"), F.ceil(F.count_if(~F.col("minor")) / BLOCK).alias("majors"))
+    rows = rows.join(sizes, "element")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("v", F.lit(7)), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))))
     upto = lambda n: F.filter(F.sequence(F.lit(0).cast("bigint"), F.col(n)), lambda i: i < F.col(n))
     one = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))

@@ -480,6 +480,20 @@ def test_texts_without_anchors_are_signed_whole(spark):
     assert got[1][0] < 0.5 and got[1][1] < 0.1
 
 
+def brute_near(rows, sets, percent):
+    """The class of each row by comparing all pairs of fingerprints."""
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return [least[find(i)] if sets[i] else d for i, (d, _) in enumerate(rows)]
+
+
 def test_near_classes_equal_brute_force(spark):
     rng = random.Random(4)
     words_ = [a + b for a in ("ka", "lo", "mi", "ter", "su", "ven") for b in ("ren", "sto", "na", "li", "dor")] + ["the", "of", "and", "a"] * 6
@@ -491,19 +505,13 @@ def test_near_classes_equal_brute_force(spark):
             t = list(t)
             t[rng.randrange(len(t))] = rng.choice(words_)
     rows = [(i // 2 if i > 20 else i, t) for i, t in enumerate(texts)]  # ids that stand twice
-    sigs = spotsigs.signatures(pa.array(texts, pa.string()))
+    sets = [set(x.tolist()) for x in spotsigs.signatures(pa.array(texts, pa.string()))]
     for percent in (50, 80):
-        root = list(range(len(texts)))
-        find = lambda i: i if root[i] == i else find(root[i])
-        for i, a in enumerate(sigs):
-            for j in range(i):
-                if len(a) and len(sigs[j]) and spotsigs.likeness(sigs[j], a) >= percent / 100 - 1e-12:
-                    root[find(i)] = find(j)
-        least = {}
-        for i, (d, _) in enumerate(rows):
-            least[find(i)] = min(d, least.get(find(i), d))
-        want = sorted((d, len(sigs[i]), least[find(i)] if len(sigs[i]) else d) for i, (d, _) in enumerate(rows))
-        assert sorted(map(tuple, spotsigs.near_classes(docs(spark, rows), percent).collect())) == want
+        want = sorted((d, len(s), c) for (d, _), s, c in zip(rows, sets, brute_near(rows, sets, percent), strict=True))
+        got = spotsigs.near_classes(docs(spark, rows), percent).select("doc_id", "signatures", "near_class")
+        assert sorted(map(tuple, got.collect())) == want
+        found = spotsigs.edit_likeness(docs(spark, rows), percent=percent)
+        assert sorted((r.doc_id, len(r.fingerprint) // 8, r.near_class) for r in found.collect()) == want
 
 
 def brute_signatures(text):
@@ -537,6 +545,8 @@ def test_edited_and_next_equal_brute_force(spark):
         assert len(r.fingerprint) == 8 * len(own) and len(r.edited_fingerprint) == 8 * len(brute_signatures(e))
         assert r.near_edited == pytest.approx(alike(own, brute_signatures(e))) and r.near_next == pytest.approx(alike(own, brute_signatures(following)))
         assert prints.setdefault(frozenset(own), r.fingerprint) == r.fingerprint
+    near = brute_near([(i, None) for i in ids], [brute_signatures(text[i]) for i in ids], 80)
+    assert [got[i].near_class for i in ids] == near
     assert len(set(prints.values())) == len(prints)
 
 

@@ -475,8 +475,8 @@ def link(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> tuple[D
     return narrow, found
 
 
-def classes(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id that links lead to, itself included."""
+def named_classes(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, v, component_id) of every document, stored: its set's size and name, and the smallest doc_id that links lead to, itself included."""
     every, labels = link(docs, k, percent)
     # a set's smallest id first: all copies of a text are one row from here on
     nodes = every.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("least"))
@@ -484,12 +484,17 @@ def classes(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> Data
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "component").select("v", "component_id")
     out = every.join(named, "v", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n", "v", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = materialize(out, "jaccard-classes")
     discard(every, labels)
     return out
 
 
+def classes(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id)."""
+    return named_classes(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def deduplicated(docs: DataFrame, k: int | Maker = K, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component (smallest id, then set name; null ids last); empty texts all stay.
 

@@ -21,11 +21,12 @@ from functools import cache, partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm import words
-from tidewater.llm.jaccard_join import Sets, as_sets, classes
+from tidewater.llm.jaccard_join import Sets, as_sets, named_classes
 from tidewater.llm.session import bounded_batches
 
 CHAIN = 3
@@ -122,23 +123,27 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN, text_col: str = "text") ->
 def signature_sets(texts: pa.Array, chain: int = CHAIN) -> Iterator[tuple[int, int, Sets]]:
     """Fingerprints as sets for the join."""
     found = signatures(texts, chain)
+    yield 0, len(found), _as_sets(found)
+
+
+def _as_sets(found: list[np.ndarray]) -> Sets:
     at = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64)))
     every = np.concatenate(found) if found else np.empty(0, np.uint32)
-    yield 0, len(found), as_sets(words.mixed(every.astype(np.uint64)), at)
+    return as_sets(words.mixed(every.astype(np.uint64)), at)
 
 
 def near_classes(docs: DataFrame, percent: int = 80, chain: int = CHAIN) -> DataFrame:
-    """(doc_id, signatures, near_class) of every document: near_class is the smallest doc_id that near copies lead to.
+    """(doc_id, signatures, v, near_class) of every document, stored: v names the fingerprint's set; near_class is the smallest doc_id that near copies lead to.
 
     Two fingerprints are near where their Jaccard similarity is at least ``percent`` in a hundred. Equal fingerprints are one from the start, whatever
     their ids; the others meet over their first signatures, common ones last, only where their lengths allow a link (by ranges of
     length in the nodes of a tree), and are compared in full. No list of all pairs is made.
     """
-    out = classes(docs, partial(signature_sets, chain=chain), percent)
-    return out.withColumnsRenamed({"n_shingles": "signatures", "component_id": "near_class"})
+    out = named_classes(docs, partial(signature_sets, chain=chain), percent)
+    return out.withColumnsRenamed({"n": "signatures", "component_id": "near_class"})
 
 
-ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_class long"
 
 
 def edited(text: str, following: str) -> str:
@@ -147,65 +152,93 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (_part, _tail, doc_id, text) such that within a part, in order, each row with _tail 0 is followed by the next document's.
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are about to move."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "_tie", "packed"])
+
+
+def with_next(docs: DataFrame, near: DataFrame, parts: int) -> DataFrame:
+    """Rows (_part, _tail, _kind, doc_id, packed, v, near_class) such that within a part, in order, each row of kind 1 with _tail 0 is followed by the next document's.
 
     Parts are ranges of doc_id (cut at its quantiles, fixed by this call). The first document of each range is added to the
-    range before it as a tail, and the very first to the last range. The texts are shuffled once.
+    range before it as a tail, and the very first to the last range. The texts are shuffled once, compressed. Rows of kind 0 are
+    those of ``near`` (doc_id, v, near_class) and stand before the documents of their id.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     steps = [i / parts for i in range(1, parts)]
-    cuts = sorted({float(c) for c in rows.agg(F.percentile_approx("doc_id", steps, 100_000).alias("c")).first().c or ()}) if steps else []
-    rows = rows.withColumn("_at", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double"))
-    if cuts:
-        rows = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_part").transform(rows)
-    else:
-        rows = rows.withColumn("_part", F.lit(0))
-    rows = rows.withColumn("_part", F.col("_part").cast("int")).drop("_at")
-    firsts = {r["_part"]: r["id"] for r in rows.groupBy("_part").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id")).collect()}  # one row a part
+    cuts = sorted({float(c) for c in docs.agg(F.percentile_approx("doc_id", steps, 100_000).alias("c")).first().c or ()}) if steps else []
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_at", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double"))
+        if cuts:
+            rows = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_part").transform(rows)
+        else:
+            rows = rows.withColumn("_part", F.lit(0))
+        return rows.withColumn("_part", F.col("_part").cast("int")).drop("_at")
+
+    id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    firsts = {r["_part"]: r["id"] for r in dealt(docs.select("doc_id")).groupBy("_part").agg(F.min(id_).alias("id")).collect()}  # one row a part
     order = sorted(firsts)
     before = {firsts[p]: order[i - 1] for i, p in enumerate(order)}
-    out = rows.withColumn("_tail", F.lit(0))
+    text = F.coalesce("text", F.lit(""))
+    packed = lambda rows: rows.select("doc_id", F.xxhash64(text).alias("_tie"), text.alias("text")).mapInArrow(_packed, "doc_id long, _tie long, packed binary")
+    none = {"v": F.lit(None).cast("long"), "near_class": F.lit(None).cast("long"), "_kind": F.lit(1)}
+    out = dealt(packed(docs)).withColumns({"_tail": F.lit(0), **none})
     if before:
-        id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
         to = F.create_map(*(F.lit(x) for k, v in before.items() for x in (k, v)))
-        out = out.unionByName(rows.where(id_.isin(*before)).withColumns({"_part": F.try_element_at(to, id_), "_tail": F.lit(1)}))
-    out = out.withColumn("_tie", F.xxhash64("text"))
-    return out.repartitionById(max(parts, 1), "_part").sortWithinPartitions("_part", "_tail", F.col("doc_id").asc_nulls_first(), "_tie").drop("_tie")
+        tails = packed(docs.where(id_.isin(*before)))
+        out = out.unionByName(tails.withColumns({"_part": F.try_element_at(to, id_), "_tail": F.lit(1), **none}))
+    names = dealt(near.select("doc_id", "v", "near_class")).withColumns({"_tie": F.lit(0).cast("long"), "packed": F.lit(None).cast("binary"), "_tail": F.lit(0), "_kind": F.lit(0)})
+    out = out.unionByName(names).repartitionById(max(parts, 1), "_part")
+    return out.sortWithinPartitions("_part", "_tail", F.col("doc_id").asc_nulls_first(), "_kind", "_tie").select("_part", "_tail", "_kind", "doc_id", "packed", "v", "near_class")
 
 
-def edit_likeness(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
-    """Each document against its edited text and the next document (after the last: the first), by ascending doc_id (nulls first)."""
+def edit_likeness(docs: DataFrame, chain: int = CHAIN, percent: int = 80) -> DataFrame:
+    """Each document against its edited text and the next document (after the last: the first), by ascending doc_id (nulls first); and its class of near copies."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (part, id, text, signatures) that waits for its next document
+        unpack = zstandard.ZstdDecompressor()
+        held = None  # (part, id, text, signatures, class) that waits for its next document
+        own, classes_of = None, {}  # classes of the documents of one id, by the name of their set
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text"))
-            sigs = signatures(texts, chain)
-            part, tail, ids = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_part", "_tail", "doc_id"))
+            part, tail, kind, ids, data, name, near = (b.column(i).to_pylist() for i in range(7))
+            some = [i for i, k in enumerate(kind) if k]
+            texts = [unpack.decompress(data[i]).decode() for i in some]
+            sigs = signatures(pa.array(texts, pa.large_string()), chain)
+            names = iter(zip(texts, sigs, _as_sets(sigs).name.view(np.int64).tolist(), strict=True))
             todo = []
-            for p, is_tail, i, t, s in zip(part, tail, ids, texts.to_pylist(), sigs, strict=True):
+            for p, is_tail, k, i, v, c in zip(part, tail, kind, ids, name, near, strict=True):
+                if (p, i) != own:
+                    own, classes_of = (p, i), {}
+                if not k:
+                    classes_of[v] = c
+                    continue
+                t, s, v = next(names)
                 if held is not None and held[0] == p:
-                    todo.append((held[1], held[2], held[3], edited(held[2], t), s))
-                held = None if is_tail else (p, i, t, s)
+                    todo.append((*held[1:], edited(held[2], t), s))
+                held = None if is_tail else (p, i, t, s, classes_of.get(v, i))
             if not todo:
                 continue
-            new = signatures(pa.array([x[3] for x in todo], pa.large_string()), chain)
+            new = signatures(pa.array([x[4] for x in todo], pa.large_string()), chain)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[0] for x in todo], pa.int64()),
                     pa.array([len(x[1]) for x in todo], pa.int64()),
-                    pa.array([hashlib.sha256(x[3].encode("utf-8", "surrogatepass")).hexdigest() for x in todo]),
+                    pa.array([hashlib.sha256(x[4].encode("utf-8", "surrogatepass")).hexdigest() for x in todo]),
                     pa.array([text_of(x[2]) for x in todo], pa.string()),
                     pa.array([text_of(n) for n in new], pa.string()),
                     pa.array([likeness(x[2], n) for x, n in zip(todo, new, strict=True)], pa.float64()),
-                    pa.array([likeness(x[2], x[4]) for x in todo], pa.float64()),
+                    pa.array([likeness(x[2], x[5]) for x in todo], pa.float64()),
+                    pa.array([x[3] for x in todo], pa.int64()),
                 ],
                 [c.split()[0] for c in ROW.split(", ")],
             )
 
+    near = near_classes(docs, percent, chain).where(~F.col("doc_id").eqNullSafe(F.col("near_class"))).select("doc_id", "v", "near_class").distinct()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)))
-    return with_next(docs, parts).mapInArrow(run, ROW)
+    return with_next(docs, near, parts).mapInArrow(run, ROW)

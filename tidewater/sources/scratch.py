@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names; where none is set (tests on one machine), a temporary folder, then set."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError(f"set {KEY} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set(KEY, found)
@@ -36,7 +36,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*stored: DataFrame) -> None:
-    """Delete tables made by ``materialize`` that nothing reads any more."""
+    """Delete tables made by ``materialize`` or ``bucketed_scratch`` that nothing reads any more."""
     for df in stored:
+        if table := getattr(df, "_tidewater_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidewater_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

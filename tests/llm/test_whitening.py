@@ -21,7 +21,7 @@ def brute(rows, components=4):
     xs = []
     for i, v in rows:
         if v is not None and all(c is not None and math.isfinite(c) for c in v):
-            xs.append((i, tuple(math.floor(256 * float(c)) for c in v)))
+            xs.append((i, tuple(min(max(math.floor(256 * float(c)), -(1 << 63)), (1 << 63) - 1) for c in v)))
     dim = max((len(x) for _, x in xs), default=0)
     xs = [(i, x) for i, x in xs if len(x) == dim]
     if not dim:
@@ -94,12 +94,7 @@ def test_signs_hold_for_all_rows(spark):
     ids=["empty", "none left", "no entries", "one vector", "zeros", "one dimension", "short and dependent", "beyond long", "large"],
 )
 def test_edges(spark, rows):
-    if any(v and any(c and math.isfinite(c) and abs(c) > 1e100 for c in v) for _, v in rows):  # entries stop at the ends of a long
-        df = vectors(spark, rows)
-        got = whitening.whiten(df, whitening.fit(df)).collect()
-        assert len(got) == 6 and {r.n for r in got} == {3} and {r.deviation for r in got} == {None}
-    else:
-        check(spark, rows, 1)
+    check(spark, rows, 1)
 
 
 def test_packing_is_the_same_for_equal_vectors():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, html_text, jaccard_join, katz, mixing, pii, sharding, spotsigs, toxicity, url_filter, whitening
+from tidewater.llm import decontaminate, html_text, jaccard_join, katz, line_dedup, mixing, pii, sharding, spotsigs, toxicity, url_filter, whitening
 from tidewater.llm.sql import ORACLES
 
 SHARDS = 40
@@ -78,6 +78,11 @@ def op12_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
+def op13_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_disclosure": op1_pii_disclosure,
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fair_queue_mixing": op9_fair_queue_mixing,
         "op10_katz_backoff": op10_katz_backoff,
         "op12_polarisation_whitening": op12_polarisation_whitening,
+        "op13_bloom_line_dedup": op13_bloom_line_dedup,
     }
 
 

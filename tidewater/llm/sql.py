@@ -93,4 +93,15 @@ links AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT s.doc_id, len(s) AS n_shingles, c AS component_id FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON s.doc_id = a"""
 
-ORACLES = {"op5_signature_tree_join": OP5, "op3_host_reputation": OP3, "op8_feistel_sharding": OP8, "op9_fair_queue_mixing": OP9}
+#: Line feeds cut texts; the white space of a key's ends is space, tab, line feed, vertical tab, form feed, carriage return.
+OP13 = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+lines AS (SELECT r, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM texts),
+keyed AS (SELECT r, doc_id, line, i, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+ids AS (SELECT DISTINCT key, doc_id FROM keyed WHERE length(key) >= 40),
+shared AS (SELECT key AS shared_key, max(doc_id) AS last FROM ids GROUP BY key HAVING count(*) >= 5),
+marked AS (SELECT r, doc_id, line, i, last IS NOT NULL AND (doc_id IS NULL OR doc_id <> last) AS gone FROM keyed LEFT JOIN shared ON key = shared_key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id"""
+
+ORACLES = {"op5_signature_tree_join": OP5, "op3_host_reputation": OP3, "op8_feistel_sharding": OP8, "op9_fair_queue_mixing": OP9, "op13_bloom_line_dedup": OP13}

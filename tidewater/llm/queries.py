@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, html_text, jaccard_join, katz, line_dedup, mixing, pii, sharding, spotsigs, toxicity, url_filter, whitening
+from tidewater.llm import alignment, decontaminate, html_text, jaccard_join, katz, line_dedup, mixing, pii, sharding, spotsigs, toxicity, url_filter, whitening
 from tidewater.llm.sql import ORACLES
 
 SHARDS = 40
@@ -73,6 +73,10 @@ def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(_read(spark, sf_dir, "documents"), toxicity.remainder(F.col("doc_id"), 7) == 2)
 
 
+def op11_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scores(_read(spark, sf_dir, "documents"), alignment.tokenizers())
+
+
 def op12_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return whitening.whiten(vectors, whitening.fit(vectors))
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_feistel_sharding": op8_feistel_sharding,
         "op9_fair_queue_mixing": op9_fair_queue_mixing,
         "op10_katz_backoff": op10_katz_backoff,
+        "op11_merge_path_alignment": op11_merge_path_alignment,
         "op12_polarisation_whitening": op12_polarisation_whitening,
         "op13_bloom_line_dedup": op13_bloom_line_dedup,
     }

@@ -25,7 +25,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -42,7 +42,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: How the byte-level BPE cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = 1 << 16  # ends merged in a piece
-BATCH_BYTES = 1 << 22  # of text encoded and merged together, about
+BATCH_BYTES = 1 << 19  # of text encoded and merged together, about
 PAIR_BITS = 32
 HELD_PAIRS = 1 << 21  # distinct pairs that a task adds up before it sends them
 SENT_PAIRS = 4_000_000
@@ -140,12 +140,13 @@ def diagonals(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndar
 
 def merged(a: np.ndarray, b: np.ndarray, a0: int, b0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One piece: (end, A token, B token, whether both end there) of its overlaps; a and b: the piece's ends, a0 and b0: how many lie before."""
-    end = np.union1d(a, b)
-    i, j = np.searchsorted(a, end), np.searchsorted(b, end)
-    both = np.zeros(len(end), bool)
-    if len(a) and len(b):
-        both = (a[np.minimum(i, len(a) - 1)] == end) & (b[np.minimum(j, len(b) - 1)] == end)
-    return end, a0 + i, b0 + j, both
+    end = np.concatenate((a, b))
+    order = np.argsort(end, kind="stable")  # two rising runs: one merge, ends of a first
+    end, of_a = end[order], np.cumsum(order < len(a))
+    last = np.flatnonzero(np.append(end[1:] != end[:-1], len(end) > 0)[: len(end)])
+    before = np.concatenate(([-1], last[:-1]))
+    i = np.concatenate(([0], of_a[last[:-1]])) if len(last) else last  # ends of a before each end
+    return end[last], a0 + i, b0 + before + 1 - i, last - before == 2
 
 
 def overlaps(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,6 +163,13 @@ def overlaps(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarr
     return end[stay], at[stay], bt[stay], both[stay]
 
 
+@cache
+def _digits(n: int) -> np.ndarray:
+    """The digits of the numbers below n, a row each, with room for a sign after them (zeros)."""
+    text = np.array([str(i) for i in range(n)], "S10")
+    return text.view(np.uint8).reshape(n, -1)
+
+
 @dataclass
 class Batch:
     """Encoded texts laid one after another."""
@@ -191,29 +199,21 @@ class Batch:
 
     def digests(self) -> list[str]:
         """Each text's groups, ``a1,a2|b1;a3|b2,b3``, hashed; '' for a text without tokens."""
-        la, lb = self.links()
-        group = np.concatenate((np.searchsorted(la, np.arange(len(self.a))), np.searchsorted(lb, np.arange(len(self.b)))))
-        side = np.repeat([0, 1], [len(self.a), len(self.b)])
-        order = np.lexsort((side, group))
-        ids, group, side = np.concatenate((self.a, self.b))[order], group[order], side[order]
-        if not len(ids):
+        if not len(self.a):
             return [""] * (len(self.a_at) - 1)
+        la, lb = self.links()
+        own = lambda end: np.diff(end, prepend=-1)  # noqa: E731  tokens in each group
+        at_a = np.arange(len(self.a)) + np.repeat(np.concatenate(([0], lb[:-1] + 1)), own(la))  # after B's of earlier groups
+        at_b = np.arange(len(self.b)) + np.repeat(la + 1, own(lb))  # after A's of its own group too
+        ids = np.empty(len(at_a) + len(at_b), np.int64)
+        ids[at_a], ids[at_b] = self.a, self.b
         after = np.full(len(ids), ord(","), np.uint8)  # what follows each id
-        after[:-1][(side[1:] != side[:-1]) & (group[1:] == group[:-1])] = ord("|")
-        after[:-1][group[1:] != group[:-1]] = ord(";")
-        digits = np.ones(len(ids), np.int64)
-        for p in range(1, 10):
-            digits += ids >= 10**p
-        start = np.concatenate(([0], np.cumsum(digits + 1)))
-        text = np.empty(start[-1], np.uint8)
-        text[start[1:] - 1] = after
-        rest, place = ids.copy(), start[1:] - 2
-        live = np.arange(len(ids))
-        while len(live):
-            text[place[live]] = 48 + rest[live] % 10
-            rest[live] //= 10
-            place[live] -= 1
-            live = live[rest[live] > 0]
+        after[at_a[la]], after[at_b[lb]] = ord("|"), ord(";")
+        digits = _digits(1 << int(ids.max()).bit_length())[ids]
+        size = np.count_nonzero(digits, axis=1)
+        digits[np.arange(len(ids)), size] = after
+        text = digits[digits != 0]
+        start = np.concatenate(([0], np.cumsum(size + 1)))
         cut = start[self.a_at + self.b_at]
         data = text.tobytes()
         return [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]

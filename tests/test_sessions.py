@@ -8,9 +8,10 @@ from tidewater.operators import (
     SessionFilter, sample_quota, sample_sessions, session_aggr_stat, session_detail, session_random_extract, session_rollup, session_user_join,
     sessions_per_hour, step_length_histogram, visit_length_histogram,
 )
+from tidewater.operators import sampling
 from tidewater.plans import run_task
 from tidewater.plans.job import main
-from tidewater.sources import actions_in_range, adapt_actions, read_task, read_task_jdbc, replace_task_jdbc, task_params, write_jdbc, write_task_output
+from tidewater.sources import actions_in_range, adapt_actions, read_task, read_task_jdbc, replace_task_jdbc, save_actions, task_params, write_jdbc, write_task_output, write_task_table
 
 ACTION = "date string, user_id long, session_id string, page_id long, action_time string, search_keyword string, click_category_id long, click_product_id long, order_category_ids string, order_product_ids string, pay_category_ids string, pay_product_ids string"
 USER = "user_id long, username string, name string, age int, professional string, city string, sex string"
@@ -104,13 +105,65 @@ def test_more_days_than_total(spark):
     assert sample_sessions(s, 100).count() == 0
 
 
-def test_a_busy_hour_is_cut_before_the_shuffle(spark):
-    rows = [(f"s{i}", at(3600)) for i in range(400)]
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("total", [30, 3000])
+def test_a_busy_hour_is_cut_before_the_shuffle(spark, total):
+    rows = [(f"s{i}", at(3600)) for i in range(6000)]
     s = session_user_join(session_rollup(actions(spark, rows)), users(spark))
-    got = sample_sessions(s, 30)
-    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    got = sample_sessions(s, total)
     every = sorted((r.h, r.session_id) for r in s.select("session_id", F.md5(F.concat(F.lit("0:"), F.col("session_id"))).alias("h")).collect())
-    assert {r.session_id for r in got.collect()} == {x for _, x in every[:30]}
+    assert {r.session_id for r in got.collect()} == {x for _, x in every[:total]}
+    assert "BroadcastHashJoin" in plan_of(got)
+    near = sampling.candidates(s, total, "0").count()  # what is shuffled to be ranked
+    assert total <= near <= 1.3 * total + 20
+
+
+def test_ties_of_the_hash_class_are_all_candidates(spark):
+    rows = [(f"s{i}", at(60 * (i % 3))) for i in range(50)]
+    s = session_user_join(session_rollup(actions(spark, rows)), users(spark))
+    every = sorted((r.h, r.session_id) for r in s.select("session_id", F.md5(F.concat(F.lit("x:"), F.col("session_id"))).alias("h")).collect())
+    for total in range(1, 51, 7):
+        assert {r.session_id for r in sample_sessions(s, total, "x").collect()} == {x for _, x in every[:total]}
+
+
+def test_rollup_has_no_object_or_sort_aggregate_over_actions(spark):
+    plan = plan_of(session_rollup(actions(spark, [("s", at(1), "k", 5)])))
+    below = plan[plan.index("partial_min(at"):]  # the first level
+    assert "ObjectHashAggregate" not in below and "SortAggregate" not in below
+    assert "SortAggregate" not in plan
+
+
+def test_a_hot_session_is_reduced_before_its_merge(spark):
+    rows = [("hot", at(i), f"k{i % 3}", i % 4) for i in range(3000)] + [("s", at(1), "k", 5)]
+    g = {r.session_id: r for r in session_rollup(actions(spark, rows)).collect()}
+    assert (g["hot"].step_length, g["hot"].visit_length, g["hot"].search_keywords, g["hot"].click_category_ids) == (3000, 2999, ["k0", "k1", "k2"], [0, 1, 2, 3])
+
+
+def test_saved_actions_are_read_without_a_shuffle(spark, tmp_path):
+    rows = [(f"s{i % 30}", at(i, f"2024-01-0{1 + i % 3}"), f"k{i % 4}", i % 5) for i in range(300)]
+    plain = actions(spark, rows)
+    saved = save_actions(plain, "saved_actions", 4, f"file://{tmp_path}/saved")
+    try:
+        rollup = session_rollup(saved)
+        assert "Exchange" not in plan_of(rollup)
+        assert sorted(map(str, rollup.collect())) == sorted(map(str, session_rollup(plain).collect()))
+        spark.createDataFrame([("s3",), ("s4",)], "session_id string").write.parquet(f"file://{tmp_path}/sample")
+        sampled = spark.read.parquet(f"file://{tmp_path}/sample")  # of a size that Spark knows
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        for limit in (before, "-1"):  # a small and a large sample
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            detail = session_detail(saved, sampled, 1)
+            assert detail.count() == 20
+            assert plan_of(detail).count("Exchange hashpartitioning") == (limit == "-1")  # of the sample only
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        ranged = actions_in_range(spark.table("saved_actions"), "2024-01-02", "2024-01-02")
+        assert "PartitionFilters: [isnotnull(date" in plan_of(ranged) and "2024-01-02" in plan_of(ranged)
+        assert ranged.count() == 100
+    finally:
+        spark.sql("DROP TABLE saved_actions")
 
 
 def test_partitions_do_not_matter(spark):
@@ -149,28 +202,92 @@ def test_task_parameters(spark):
 
 
 def test_run_task_and_write_twice(spark, tmp_path):
-    a = actions(spark, [(f"s{i % 30}", at(i), "k1", 5) for i in range(90)])
+    a = actions(spark, [(f"s{i % 30}", at(i), "k1", 5) for i in range(90)] + [("x", at(1), "k1", 5, 99)])
     out = run_task(a, users(spark), task(spark, '{"sex":["male"]}'), 1, total=10)
     for _ in range(2):
-        out.write(f"file://{tmp_path}")
+        assert out.write(f"file://{tmp_path}") == (30, 30, 10, 30)
     read = lambda n: spark.read.parquet(f"file://{tmp_path}/{n}")
     assert read("session_aggr_stat").count() == 1
     assert read("session_random_extract").count() == 10
     assert read("session_detail").count() == 30
     other = run_task(a, users(spark), task(spark, "{}", 2), 2, total=10)
-    write_task_output(other.detail, f"file://{tmp_path}/session_detail")
+    write_task_output(other.detail, f"file://{tmp_path}/session_detail", 2)
     assert read("session_detail").groupBy("task_id").count().count() == 2
 
 
-def test_main(spark, tmp_path):
-    path = lambda n: f"file://{tmp_path}/{n}"
-    actions(spark, [(f"s{i % 30}", at(i), "k1", 5) for i in range(90)]).write.parquet(path("a"))
-    users(spark).write.parquet(path("u"))
-    task(spark, '{"sex":["male"]}', 5).write.parquet(path("t"))
-    main(["5", "--actions", path("a"), "--users", path("u"), "--tasks", path("t"), "--out", path("out"), "--total", "10"])
-    assert spark.read.parquet(path("out/session_aggr_stat")).first().session_count == 30
-    with pytest.raises(LookupError):
-        main(["6", "--actions", path("a"), "--users", path("u"), "--tasks", path("t"), "--out", path("out")])
+def test_a_rerun_without_survivors_leaves_no_rows(spark, tmp_path):
+    a = actions(spark, [(f"s{i % 30}", at(i), "k1", 5) for i in range(90)])
+    for t, sex in ((1, "male"), (2, "male"), (1, "none")):
+        report = run_task(a, users(spark), task(spark, f'{{"sex":["{sex}"]}}', t), t, total=10).write(f"file://{tmp_path}")
+    assert report == (30, 0, 0, 0)
+    read = lambda n: spark.read.parquet(f"file://{tmp_path}/{n}")
+    for table in ("session_random_extract", "session_detail"):
+        assert {r.task_id for r in read(table).collect()} == {2}
+    assert {(r.task_id, r.session_count) for r in read("session_aggr_stat").collect()} == {(1, 0), (2, 30)}
+
+
+def test_a_first_run_without_survivors_can_be_read(spark, tmp_path):
+    out = run_task(actions(spark, [("s", at(1))]), users(spark), task(spark, '{"sex":["none"]}'), 1)
+    assert out.write(f"file://{tmp_path}") == (1, 0, 0, 0)
+    assert spark.read.parquet(f"file://{tmp_path}/session_detail").count() == 0
+
+
+def test_rows_of_a_table_of_the_catalog_are_replaced(spark, tmp_path):
+    spark.sql(f"CREATE TABLE extract_rows (session_id string, task_id int) USING parquet PARTITIONED BY (task_id) LOCATION 'file://{tmp_path}/t'")
+    try:
+        df = spark.createDataFrame([(1, "a"), (1, "b")], "task_id int, session_id string")
+        for t, rows in ((1, df), (2, df), (1, df), (2, df.limit(0))):
+            write_task_table(rows, "extract_rows", t)
+        assert sorted((r.task_id, r.session_id) for r in spark.table("extract_rows").collect()) == [(1, "a"), (1, "b")]
+    finally:
+        spark.sql("DROP TABLE extract_rows")
+
+
+def test_sessions_and_sample_are_computed_once(spark, tmp_path):
+    """The rollup reads the actions once, the detail once more."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    a = actions(spark, [(f"s{i % 30}", at(i), "k1", 5) for i in range(90)]).mapInArrow(seen, ACTION)
+    run_task(a, users(spark), task(spark, "{}"), 1, total=10).write(f"file://{tmp_path}")
+    assert calls.value == 180
+
+
+@pytest.mark.parametrize("how", ["paths", "tables", "jdbc"])
+def test_main(spark, tmp_path, how):
+    log, people, record = actions(spark, [(f"s{i % 30}", at(i), "k1", 5) for i in range(90)]), users(spark), task(spark, '{"sex":["male"]}', 5)
+    options = ["--total", "10"]
+    if how == "paths":
+        at_, out = {n: f"file://{tmp_path}/{n}" for n in "aut"}, f"file://{tmp_path}/out"
+        for n, df in zip("aut", (log, people, record), strict=True):
+            df.write.parquet(at_[n])
+    elif how == "tables":
+        at_, out = {n: f"main_{n}" for n in "aut"}, f"file://{tmp_path}/out"
+        save_actions(log, at_["a"], 2, f"file://{tmp_path}/a")
+        people.write.option("path", f"file://{tmp_path}/u").saveAsTable(at_["u"])
+        record.write.option("path", f"file://{tmp_path}/t").saveAsTable(at_["t"])
+    else:
+        at_, out = dict.fromkeys("aut", "jdbc:derby:memory:main;create=true"), "jdbc:derby:memory:main;create=true"
+        options += ["--option", "driver=org.apache.derby.iapi.jdbc.AutoloadedDriver"]
+        for n, df in zip(("user_visit_action", "user_info", "task"), (log, people, record), strict=True):
+            write_jdbc(df, out, n, mode="overwrite", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    args = ["--actions", at_["a"], "--users", at_["u"], "--tasks", at_["t"], "--out", out, *options]
+    try:
+        for _ in range(2):
+            assert main(["5", *args]) == (30, 30, 10, 30)
+        read = (lambda n: read_task_jdbc(spark, out, n, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")) if how == "jdbc" else lambda n: spark.read.parquet(f"{out}/{n}")
+        assert read("session_aggr_stat").first().session_count == 30
+        assert (read("session_random_extract").count(), read("session_detail").count()) == (10, 30)
+        with pytest.raises(LookupError):
+            main(["6", *args])
+    finally:
+        if how == "tables":
+            for n in "aut":
+                spark.sql(f"DROP TABLE IF EXISTS main_{n}")
 
 
 def test_dates_of_a_task_reach_the_scan(spark):
@@ -188,6 +305,21 @@ def test_jdbc_results_are_replaced(spark):
     assert read_task_jdbc(spark, url, "session_detail", **driver).groupBy("task_id").count().orderBy("task_id").collect() == [(1, 2), (2, 2)]
 
 
+def test_a_failed_jdbc_write_leaves_the_old_rows(spark):
+    url, driver = "jdbc:derby:memory:failing;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = lambda: sorted((r.task_id, r.session_id) for r in read_task_jdbc(spark, url, "extract", **driver).collect())
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "task_id int, session_id string")
+    assert replace_task_jdbc(df, url, "extract", 1, **driver) == 2
+    more = spark.range(0, 400, 1, 4).select(F.lit(1).alias("task_id"), F.when(F.col("id") == 399, F.raise_error(F.lit("lost"))).otherwise(F.lit("z")).cast("string").alias("session_id"))
+    with pytest.raises(Exception, match="lost"):
+        replace_task_jdbc(more, url, "extract", 1, **driver)  # one task fails, the others' rows are in the staging table
+    assert rows() == [(1, "a"), (1, "b")]
+    assert replace_task_jdbc(df.limit(0), url, "extract", 1, **driver) == 0
+    assert rows() == []
+    tables = spark.read.format("jdbc").options(url=url, query="SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'", **driver).load()
+    assert [r[0].lower() for r in tables.collect()] == ["extract"]  # no staging table is left
+
+
 def test_jdbc_round_trip(spark):
     url = "jdbc:derby:memory:tasks;create=true"
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}

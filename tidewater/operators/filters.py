@@ -46,5 +46,8 @@ class SessionFilter:
             out.append(F.arrays_overlap("click_category_ids", F.array(*(F.lit(x).cast("bigint") for x in self.category_ids))))
         return out
 
+    def condition(self) -> Column:
+        return reduce(lambda a, b: a & b, self.predicates(), F.lit(True))
+
     def apply(self, sessions: DataFrame) -> DataFrame:
-        return sessions.where(reduce(lambda a, b: a & b, self.predicates(), F.lit(True)))
+        return sessions.where(self.condition())

@@ -19,33 +19,53 @@ def sessions_per_day(sessions: DataFrame) -> DataFrame:
     return _with_hour(sessions).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _quota(hours: DataFrame, total: int) -> DataFrame:
+    """(date, hour, n) with each hour's quota."""
+    day = hours.groupBy("date").agg(F.sum("n").alias("day_n"))
+    day = day.withColumn("days", F.count(F.lit(1)).over(Window.partitionBy()))  # one row a day
+    per_day = F.call_function("div", F.lit(total).cast("bigint"), F.col("days"))
+    share = F.floor(F.col("n").cast("double") / F.col("day_n").cast("double") * per_day)
+    return hours.join(day, "date").select("date", "hour", "n", F.least("n", share.cast("bigint")).alias("quota"))
+
+
 def sample_quota(sessions: DataFrame, total: int = 100) -> DataFrame:
     """Sessions to draw from each hour: total div days, shared by hour in proportion and truncated.
 
     One row an hour of data, so its size does not grow with traffic. The share is taken in
     doubles (29 of 100 at 100 a day gives 28). No sessions give no rows.
     """
-    h = sessions_per_hour(sessions)
-    day = h.groupBy("date").agg(F.sum("n").alias("day_n"))
-    day = day.withColumn("days", F.count(F.lit(1)).over(Window.partitionBy()))  # one row a day
-    per_day = F.call_function("div", F.lit(total).cast("bigint"), F.col("days"))
-    share = F.floor(F.col("n").cast("double") / F.col("day_n").cast("double") * per_day)
-    return h.join(day, "date").select("date", "hour", "n", F.least("n", share.cast("bigint")).alias("quota"))
+    return _quota(sessions_per_hour(sessions), total)
+
+
+def _drawn(sessions: DataFrame, seed: str) -> DataFrame:
+    """Sessions with date, hour, a seeded hash, and the hash's class: a rising function of it, eight classes to each halving of what is left."""
+    h = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("session_id")))
+    number = F.conv(F.substring("h", 1, 15), 16, 10).cast("double")
+    return _with_hour(sessions).withColumn("h", h).withColumn("class", F.floor(F.log2(number + 1) * 8).cast("int"))
+
+
+def candidates(sessions: DataFrame, total: int, seed: str) -> DataFrame:
+    """Sessions of the classes that hold their hour's quota, with ``quota``: about an eighth more than are drawn."""
+    drawn = _drawn(sessions, seed)
+    classes = drawn.groupBy("date", "hour", "class").agg(F.count(F.lit(1)).alias("n"))
+    quota = _quota(classes.groupBy("date", "hour").agg(F.sum("n").alias("n")), total).where("quota > 0").select("date", "hour", "quota")
+    before = F.sum("n").over(Window.partitionBy("date", "hour").orderBy("class")) - F.col("n")
+    ends = classes.join(quota, ["date", "hour"]).withColumn("before", before).where(F.col("before") < F.col("quota"))
+    ends = ends.groupBy("date", "hour").agg(F.max("class").alias("end"), F.max("quota").alias("quota"))
+    return drawn.join(F.broadcast(ends), ["date", "hour"]).where(F.col("class") <= F.col("end"))
 
 
 def sample_sessions(sessions: DataFrame, total: int = 100, seed: str = "0") -> DataFrame:
     """The sampled sessions: the ``quota`` sessions of each hour with the smallest seeded hash.
 
-    A uniform draw without replacement that repeats for the same seed. No quota passes ``total``, so
-    every task keeps its own first ``total`` of an hour before the shuffle (Spark's window group limit, up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold``): a busy hour sends a few rows a task, not its traffic. The
-    quota is joined to what is left.
+    A uniform draw without replacement that repeats for the same seed. Sessions are counted by hour and class of the hash (at most 480 classes, summed
+    before they move); the classes that hold an hour's quota are its candidates, whatever its traffic and
+    whatever ``total``. Only they are shuffled and ranked. The classes' ends are one row an hour that is sampled, ``total`` rows at most, so they are broadcast.
+    ``sessions`` is read twice: a stored table saves computing it again.
     """
-    quota = sample_quota(sessions, total).where("quota > 0").select("date", "hour", "quota")
     w = Window.partitionBy("date", "hour").orderBy("h", "session_id")
-    ranked = _with_hour(sessions).withColumn("h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("session_id"))))
-    ranked = ranked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= total)
-    return ranked.join(quota, ["date", "hour"]).where("rn <= quota").drop("h", "rn", "quota", "date", "hour")
+    ranked = candidates(sessions, total, seed).withColumn("rn", F.row_number().over(w))
+    return ranked.where("rn <= quota").drop("h", "class", "end", "rn", "quota", "date", "hour")
 
 
 def session_random_extract(sampled: DataFrame, task_id: int) -> DataFrame:

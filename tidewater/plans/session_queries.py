@@ -17,11 +17,12 @@ from tidewater.operators import (
     session_rollup, session_user_join, sessions_per_day, sessions_per_hour, step_length_histogram, visit_length_histogram,
     STEP_BUCKETS, VISIT_BUCKETS,
 )
-from tidewater.plans.job import run_task
-from tidewater.sources import adapt_actions, adapt_users, task_params, user_dim, write_task_output
+from tidewater.plans.job import TaskResult, run_task
+from tidewater.sources import actions_in_range, adapt_actions, adapt_users, save_actions, task_params, user_dim, write_task_output
 from tidewater.sources.scratch import scratch_path
 
 START, END, TOTAL, TASK_ID, SEED = "2024-01-03", "2024-01-20", 1000, 2, "0"
+MANY = 100_000  # a sample far beyond what Spark's window group limit cuts
 PROFESSIONALS, CITIES, KEYWORDS, CATEGORIES = ("BUILDING", "FURNITURE", "MACHINERY"), ("NATION_1", "NATION_2"), ("kw1", "kw2"), (5, 7)
 ALL_CITIES, ALL_KEYWORDS, ALL_CATEGORIES = tuple(f"NATION_{i}" for i in range(15)), tuple(f"kw{i}" for i in range(8)), tuple(range(80))
 #: Parameters of the task of region k: each task has others. Those of the second are START, END, ages 20 to 60, PROFESSIONALS, KEYWORDS.
@@ -62,19 +63,55 @@ def _sampled(spark: SparkSession, d: str) -> DataFrame:
     return sample_sessions(_sessions(spark, d), TOTAL, SEED)
 
 
+def _task(spark: SparkSession, d: str) -> TaskResult:
+    return run_task(lambda start, end: adapt_actions(spark, d, start, end), adapt_users(spark, d), _tasks(spark, d), TASK_ID, TOTAL, SEED)
+
+
 def _job(spark: SparkSession, d: str, which: str) -> DataFrame:
-    r = run_task(lambda start, end: adapt_actions(spark, d, start, end), adapt_users(spark, d), _tasks(spark, d), TASK_ID, TOTAL, SEED)
-    return getattr(r, which)
+    return getattr(_task(spark, d), which)
 
 
 def _sink(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write twice and read back: a re-run must leave no duplicates."""
     path = scratch_path(spark, f"sink-{uuid.uuid4().hex}")
-    write_task_output(df, path)
-    write_task_output(df, path)
+    write_task_output(df, path, TASK_ID)
+    write_task_output(df, path, TASK_ID)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def _rerun_without_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of two tasks are written; the second task runs again and nothing survives: what is left is the first task's."""
+    path = scratch_path(spark, f"sink-{uuid.uuid4().hex}")
+    rows = session_random_extract(_sampled(spark, d), TASK_ID)
+    write_task_output(rows, path, TASK_ID)
+    write_task_output(rows, path, TASK_ID + 1)
+    write_task_output(rows.where(F.lit(False)), path, TASK_ID + 1)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def _saved(spark: SparkSession, d: str) -> DataFrame:
+    """The actions as a table of the catalog, partitioned by date and bucketed by session."""
+    table = f"tidewater_actions_{uuid.uuid4().hex}"
+    return save_actions(_actions(spark, d), table, int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, table))
+
+
+def _saved_detail(spark: SparkSession, d: str) -> DataFrame:
+    actions = _saved(spark, d)
+    sampled = sample_sessions(session_user_join(session_rollup(actions), adapt_users(spark, d)), TOTAL, SEED)
+    return session_detail(actions, sampled, TASK_ID)
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    """A whole task, written: what its report says, beside the sums over the tables that it wrote."""
+    path = scratch_path(spark, f"task-{uuid.uuid4().hex}")
+    report = _task(spark, d).write(path)
+    stat = spark.read.parquet(f"{path}/session_aggr_stat").select(F.col("session_count").cast("bigint").alias("kept"))
+    count = lambda table, name: spark.read.parquet(f"{path}/{table}").agg(F.count(F.lit(1)).alias(name))
+    counted = F.lit(report.sessions).cast("bigint").alias("sessions")
+    rows = stat.join(count("session_random_extract", "sampled"), how="cross").join(count("session_detail", "actions"), how="cross")  # one row each
+    return rows.select(counted, "kept", "sampled", "actions")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "action_date_range": lambda s, d: adapt_actions(s, d, START, END),
@@ -103,6 +140,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sink_detail": lambda s, d: _sink(s, session_detail(_actions(s, d), _sampled(s, d), TASK_ID)),
         "run_task_aggr_stat": lambda s, d: _job(s, d, "aggr_stat"),
         "run_task_detail": lambda s, d: _job(s, d, "detail"),
+        "run_task_report": _report,
+        "sink_rerun_without_rows": _rerun_without_rows,
+        "saved_date_range": lambda s, d: actions_in_range(_saved(s, d), START, END).select(*_actions(s, d).columns),
+        "saved_session_rollup": lambda s, d: _flat(session_rollup(_saved(s, d))),
+        "saved_session_detail": _saved_detail,
+        "large_random_extract": lambda s, d: session_random_extract(sample_sessions(_sessions(s, d), MANY, SEED), TASK_ID),
     }
 
 
@@ -196,4 +239,10 @@ def oracle_sql() -> dict[str, str]:
         "sink_detail": f"{base}{_QUOTA} {detail}",
         "run_task_aggr_stat": f"{job} {_stat('kept')}",
         "run_task_detail": f"{job}{_QUOTA} {detail}",
+        "run_task_report": f"{job}{_QUOTA} SELECT (SELECT count(*) FROM sessions) AS sessions, (SELECT count(*) FROM kept) AS kept, (SELECT count(*) FROM sampled) AS sampled, (SELECT count(*) FROM ({detail})) AS actions",
+        "sink_rerun_without_rows": f"{base}{_QUOTA} {extract}",
+        "saved_date_range": f"WITH {_RANGE} SELECT * FROM actions",
+        "saved_session_rollup": f"{base} SELECT * EXCLUDE (kws, cats) FROM flat",
+        "saved_session_detail": f"{base}{_QUOTA} {detail}",
+        "large_random_extract": f"{base}{_QUOTA.replace(f'{TOTAL} //', f'{MANY} //')} {extract}",
     }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewater.sources.layout import bucketed
+
 USER_COLUMNS = ("user_id", "username", "name", "age", "professional", "city", "sex")
 
 
@@ -20,6 +22,14 @@ def actions_in_range(actions: DataFrame, start: str | None = None, end: str | No
     return actions
 
 
+def save_actions(actions: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Save the action log as a table partitioned by ``date`` and bucketed by ``session_id``, and read it back.
+
+    A date range prunes partitions; the rollup and the detail of a sample read it without a shuffle of actions.
+    """
+    return bucketed(actions.repartition(buckets, "session_id"), table, buckets, "session_id", path=path, partition_by=("date",))
+
+
 def user_dim(users: DataFrame) -> DataFrame:
     return users.select(*USER_COLUMNS)
 

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from tidewater.sources.scratch import scratch_path
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, *columns: str, path: str | None = None, mode: str = "error") -> DataFrame:
+def bucketed(df: DataFrame, name: str, buckets: int, *columns: str, path: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Save ``df`` as table ``name``, bucketed by ``columns`` in files below ``path``, and read it back.
 
     Each task writes the buckets it holds; shuffle ``df`` by the columns first where one file a bucket is wanted. Readers that group by
     the columns, or join on them, need no exchange of this table.
     """
-    writer = df.write.format("parquet").mode(mode).bucketBy(buckets, *columns)
+    writer = df.write.format("parquet").bucketBy(buckets, *columns).partitionBy(*partition_by)
     (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 

@@ -46,6 +46,13 @@ def read_task(tasks: DataFrame, task_id: int) -> TaskParams:
 
 
 def read_task_jdbc(spark: SparkSession, url: str, table: str = "task", **options: str) -> DataFrame:
-    """The task table over JDBC; a ``task_id`` predicate is pushed to the database."""
+    """A table over JDBC, columns in lower case; predicates, such as that on ``task_id``, are pushed to the database."""
     df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
     return df.toDF(*[c.lower() for c in df.columns])
+
+
+def read_source(spark: SparkSession, at: str, table: str, **options: str) -> DataFrame:
+    """A parquet path, a table name of the catalog, or ``table`` of a ``jdbc:`` address."""
+    if at.startswith("jdbc:"):
+        return read_task_jdbc(spark, at, table, **options)
+    return spark.read.parquet(at) if "/" in at else spark.table(at)

@@ -225,6 +225,9 @@ def test_time_grows_with_the_text():
         ("<main><article><section><p>A.</section><section><ul><li>one<li>two</ul></section></article><aside>no</aside></main>", "A.\none\ntwo"),
         ("<article><p>Cut <b>of", "Cut of"), ("<script>var a='<p>no</p>';</script><p>Yes</p><style>p{}</style>", "Yes"),
         ("<article><p>a</p><!-- <p>no</p> --><form><p>Sign</form><p>b&nbsp;c</article>", "a\nb c"),
+        ("<article><h1>T</h1><p>One, two, three.<p class=share-price>Shares fell to nine.<p class='notice-period'>Three months.<p class=share-links><a href=x>Tweet</a><p class=notice>We use cookies.</article>", "T\nOne, two, three.\nShares fell to nine.\nThree months."),
+        ("<article><p>Text, of some length, as it is.</p><h2>Sources</h2><ul><li><a href=a>Smith</a><li><a href=b>Jones</a><li><a href=c>Brown</a></ul></article><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>Shop</a></ul>", "Text, of some length, as it is.\nSources\nSmith\nJones\nBrown"),
+        ("<div id=content><div class=social-history><p>The guilds, the markets, and the roads of the town grew together for a long time.</div><p>Then, after the war, all of it was gone.</div><div class=social-icons-row><p>Like us, follow us, and tell all of your friends about it, please do, thank you.</div>", "The guilds, the markets, and the roads of the town grew together for a long time.\nThen, after the war, all of it was gone."),
     ],
 )
 def test_main_text(page, text):
@@ -285,7 +288,8 @@ def brute_main_text(page):
             density = link(b[2]) / size(b[2])
             if b[0] == "p" and (size(b[2]) > 80 and density < 0.25 or density == 0) or b[0] == best[0] and score(b) >= max(10, top / 5) and density < 0.25:
                 keep.append(b[2])
-    menus = [b[2] for b in boxes if b[0] in ("ul", "div", "table", "section") and sum(x[1] > 0 for x in leaves if under(x, b[2])) >= 3 and link(b[2]) > 0.5 * size(b[2]) and b != best]
+    own = [b[2] for b in boxes if b[0] == "article"]
+    menus = [b[2] for b in boxes if not any(b[2][: len(a)] == a for a in own) and b[0] in ("ul", "div", "table", "section") and sum(x[1] > 0 for x in leaves if under(x, b[2])) >= 3 and link(b[2]) > 0.5 * size(b[2]) and b != best]
     kept = lambda leaf: any(under(leaf, k) and not any(under(leaf, m) and m[: len(k)] == k for m in menus) for k in keep)
     return "\n".join(b[0] for b in leaves if kept(b))
 
@@ -421,10 +425,10 @@ def test_find_equals_brute_force(spark, monkeypatch, hits):
 def test_words_over_and_over():
     def took(n):
         began = time.perf_counter()
-        index = decontaminate.Index([0], ["w " * n], decontaminate.SEED)
+        index = decontaminate.Index([[0]], ["w " * n], decontaminate.SEED)
         assert [g[1:4] for g in decontaminate.contaminated(pa.array(["w " * n]), index, 0.5)] == [(0, 1.0, n)]
         text = ("u v " * n, ("v u " * 50 + "x ") * (n // 50))
-        index = decontaminate.Index([0], [text[1]], decontaminate.SEED)
+        index = decontaminate.Index([[0]], [text[1]], decontaminate.SEED)
         assert len(list(decontaminate.contaminated(pa.array([text[0]]), index, 0.5))) == 1
         return time.perf_counter() - began
 
@@ -436,6 +440,26 @@ def test_words_over_and_over():
     assert peak < 1 << 28 and took(32_000) < 10 * took(8_000) + 0.1
 
 
+@pytest.mark.parametrize(("kind", "ids"), [("int", "1, 2"), ("smallint", "1, 2"), ("date", "'2024-01-01', '2024-01-02'"), ("string", "'a', 'b'"), ("decimal(5,1)", "1.5, 2.5"), ("timestamp", "'2024-01-01', '2024-01-02'"), ("array<int>", "array(1), array(2)")])
+def test_ids_of_any_type(spark, kind, ids):
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.sql(f"SELECT CAST(i AS {kind}) AS item_id, t AS text FROM (SELECT explode(array({ids})) AS i) CROSS JOIN (SELECT '{item}' AS t)").unionByName(spark.sql(f"SELECT CAST(NULL AS {kind}) AS item_id, '{item} more' AS text"))
+    found = decontaminate.find(docs(spark, [(1, item), (None, item)]), bench)
+    assert dict(found.dtypes)["item_id"] == kind
+    want = sorted([*(str(r.item_id) for r in bench.collect())] * 2)
+    assert sorted(str(r.item_id) for r in found.collect()) == want and len(want) == 6
+
+
+def test_repeated_items_are_one_text_of_the_index(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)] * 40 + [(i, item) for i in range(2, 9)] + [(9, "other words " * 5)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    sizes = [len(index.texts) for index in decontaminate._indexes(bench, "item_id", "text", 5, decontaminate._blocks(bench, "text"))]
+    assert sum(sizes) == 2
+    found = decontaminate.find(docs(spark, [(5, item)]), bench)
+    assert sorted(r.item_id for r in found.collect()) == [1] * 40 + list(range(2, 9))
+
+
 def test_decontamination(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(40))
     ws = item.split()

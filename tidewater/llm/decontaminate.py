@@ -13,7 +13,8 @@ The benchmark goes to the executors as a sorted index of about ``BLOCK_WORDS`` w
 over the documents whose result is stored before the next. Documents are not shuffled, so no source or passage can make a hot spot.
 
 Edge cases: null or empty texts match nothing; items of fewer than ``SEED`` words have no seeds and are
-never reported; repeated documents and items are reported each; empty tables give no rows.
+never reported; repeated documents and items are reported each (items of one text are one text of the index, so
+copies of an item neither fill a block nor are matched again); ids may be of any type, null ones too; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewater.llm import words
 from tidewater.llm.session import bounded_batches
@@ -38,8 +40,8 @@ HITS = 1_000_000  # hits of seeds looked at together, about
 class Index:
     """One block of the benchmark: its words, and its seeds sorted by hash, each once for an item with the times it stands there."""
 
-    def __init__(self, ids: list, texts: list[str], seed: int) -> None:
-        self.ids, self.seed = ids, seed
+    def __init__(self, ids: list[list], texts: list[str], seed: int) -> None:
+        self.ids, self.texts, self.seed = ids, range(len(texts)), seed  # ids: of all items with a text
         all_words, lengths, hashes, items = [], [np.zeros(0, np.int64)], [], []
         for lo, _, h, first in words.pieces(pa.array(texts, pa.large_string()), plain=True):
             start, row = _starts(first, seed)
@@ -186,23 +188,28 @@ def contaminated(texts: pa.Array, index: Index, coverage: float) -> Iterator[tup
                 yield lo + row, item, n / size, n, len(found)
 
 
+def _texts(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each text of the benchmark once, with the ids of its items (as structs, so null ids stay)."""
+    return benchmark.groupBy(F.coalesce(text_col, F.lit("")).alias("text")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"))).alias("ids"))
+
+
 def _blocks(benchmark: DataFrame, text_col: str) -> int:
-    total = benchmark.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first().n
+    total = benchmark.select(text_col).distinct().agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first().n
     return -(-total // (6 * BLOCK_WORDS))
 
 
 def _indexes(benchmark: DataFrame, id_col: str, text_col: str, seed: int, blocks: int) -> Iterator[Index]:
-    """Blocks of the benchmark, of about ``BLOCK_WORDS`` words."""
-    rows = benchmark.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    """Blocks of the benchmark's different texts, of about ``BLOCK_WORDS`` words."""
+    rows = _texts(benchmark, id_col, text_col)
     for i in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i).collect()
-        yield Index([r.id for r in part], [r.text for r in part], seed)
+        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).collect()
+        yield Index([[x.id for x in r.ids] for r in part], [r.text for r in part], seed)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, coverage, matched_words, tiles) for every document and item with at least ``coverage``."""
     bounded_batches(docs.sparkSession)
-    kind = dict(benchmark.dtypes)[item_col]
+    kind, item_type = dict(benchmark.dtypes)[item_col], to_arrow_type(benchmark.schema[item_col].dataType)
     own = dict(docs.dtypes)[id_col]
     schema = T._parse_datatype_string(f"doc_id {own}, item_id {kind}, coverage double, matched_words long, tiles int")
     out = None
@@ -215,8 +222,10 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed
                 rows = list(contaminated(b.column(1), sent.value, coverage))
                 if rows:
                     r, i, c, n, t = zip(*rows, strict=True)
-                    item = pa.array([sent.value.ids[x] for x in i])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), item, pa.array(c, pa.float64()), pa.array(n, pa.int64()), pa.array(t, pa.int32())], ["doc_id", "item_id", "coverage", "matched_words", "tiles"])
+                    each = pa.array(np.repeat(np.arange(len(rows)), [len(sent.value.ids[x]) for x in i]))  # a row for each item with the text
+                    item = pa.array([x for k in i for x in sent.value.ids[k]], item_type)
+                    found = [pa.array(x, kind).take(each) for x, kind in ((r, pa.int64()), (c, pa.float64()), (n, pa.int64()), (t, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(found[0]), item, *found[1:]], ["doc_id", "item_id", "coverage", "matched_words", "tiles"])
 
         part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
         if blocks > 1:

@@ -5,6 +5,10 @@ end where they end). Each paragraph passes points for its length and commas to i
 as many at each step up, less its share of link text; the best container is kept together with
 those of its siblings that score near it or read like running text.
 
+Names in class and id mark furniture. A name made of furniture words only (``share-buttons``, ``cookie_notice``, ``ad``) drops its element. One that holds
+such a word beside others (``share-price``, ``notice-period``) drops it only if its text does not read like an article's: under 2 points of the same kind, or, in
+an article, mostly links. A list of links is a menu, except in an article, where it may be its sources.
+
 Edge cases: null, empty or text-free pages give ''; markup that does not parse as a tag is
 text; very deep trees are walked without recursion; repeated rows give repeated results.
 """
@@ -39,6 +43,10 @@ DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialo
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words that stand beside those without a meaning of their own.
+PLAIN_WORDS = frozenset(
+    "a area bar block body bottom box btn button buttons close col column container content desktop el first float form group head header heading icon icons inline inner is item items js last left line link links list main message mobile module outer page panel right row section site slot small sticky strip tab tabs text the title top unit wide wrap wrapper zone".split()
+)
 DROP_STEMS = re.compile("advert|breadcrumb|comments?(?!ar)|cookie|disclaimer|disqus|footer|navbar|navigation|newsletter|popup|sidebar|sponsor|subscri")
 LAYOUT_WORDS = frozenset("has layout no with without".split())  # "with-sidebar" is said of what stands beside one
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote".split())  # pass their points on whole
@@ -46,32 +54,42 @@ GOOD_WORDS = frozenset("article body content entry main page post story text".sp
 
 
 class Node:
-    __slots__ = ("children", "hints", "kept", "link", "links", "parent", "role", "score", "size", "tag", "whole")
+    __slots__ = ("article", "children", "furniture", "hints", "kept", "link", "links", "parent", "role", "score", "size", "tag", "whole")
 
-    def __init__(self, tag: str, parent: Node | None, hints: frozenset = frozenset(), role: str = "") -> None:
+    def __init__(self, tag: str, parent: Node | None, hints: frozenset = frozenset(), role: str = "", furniture: int = 0) -> None:
         self.tag, self.parent, self.hints, self.role = tag, parent, hints, role
+        self.furniture = furniture  # 2: a name says so; 1: a part of a name does
+        self.article = tag == "article" or parent is not None and parent.article  # stands in an article
         self.children: list[Node | str] = []
         self.score, self.size, self.link, self.links = 0.0, 0, 0, 0
         self.kept = False
         self.whole = False  # holds an article, main or top heading
 
 
-def _attributes(text: str) -> tuple[frozenset, str]:
+def _furniture(name: str) -> int:
+    """2 for a name of furniture words only, 1 for one that has such words, else 0."""
+    own = [w.lower() for w in WORD.findall(name)]
+    marked = [w for w in own if w in DROP_WORDS or DROP_STEMS.match(w)]
+    if marked:
+        return 2 if all(w in marked or w in PLAIN_WORDS for w in own) else 1
+    return 2 * bool(DROP_STEMS.match(name.lower().replace("-", "").replace("_", "")))
+
+
+def _attributes(text: str) -> tuple[frozenset, str, int]:
     if "=" not in text and "hidden" not in text:
-        return frozenset(), ""
+        return frozenset(), "", 0
     words: set[str] = set()
-    role = ""
+    role, furniture = "", 0
     for m in ATTR.finditer(text):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             words.update(w.lower() for w in WORD.findall(value))
-            if any(DROP_STEMS.match(w.replace("-", "").replace("_", "")) for w in value.lower().split()):
-                words.add("advert")
+            furniture = max([furniture, *map(_furniture, value.split())])
         elif name == "role":
             role = value.strip().lower()
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             role = role or "hidden"
-    return frozenset(words), role
+    return frozenset(words), role, 0 if words & LAYOUT_WORDS else furniture
 
 
 def parse(page: str) -> Node:
@@ -132,19 +150,39 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _reading(nodes: list[Node]) -> dict[int, tuple[int, int, int]]:
+    """Characters, those within links, and commas below each node; nodes: parents first."""
+    out: dict[int, tuple[int, int, int]] = {}
+    for n in reversed(nodes):
+        own = [(len(c.strip()), 0, c.count(",")) if isinstance(c, str) else out[id(c)] for c in n.children]
+        size, link, commas = (sum(x[i] for x in own) for i in range(3))
+        out[id(n)] = (size, size if n.tag == "a" else link, commas)
+    return out
+
+
 def _prune(root: Node) -> list[Node]:
     """Take away what is never part of the article; nodes left, parents first."""
     nodes = _order(root)
     for n in reversed(nodes):
-        if n.tag in ("article", "main") and not n.hints & DROP_WORDS or any(isinstance(c, Node) and c.whole for c in n.children):
+        if n.tag in ("article", "main") and not n.furniture or any(isinstance(c, Node) and c.whole for c in n.children):
             n.whole = True
+    reading = _reading(nodes) if any(n.furniture == 1 for n in nodes) else {}
+
+    def outweighed(c: Node) -> bool:
+        """Whether its text reads like an article's, whatever a part of its name says."""
+        size, link, commas = reading[id(c)]
+        if c.article and c.tag in PARAGRAPH:
+            return link <= 0.5 * size
+        return size > 0 and (1 + commas + min(size / 100, 3)) * (1 - link / size) >= 2
+
     inside: dict[int, bool] = {}
     for n in nodes:
         inside[id(n)] = n.tag in ("article", "main") or n.parent is not None and inside[id(n.parent)]
         kept = []
         for c in n.children:
             if isinstance(c, Node):
-                bad = c.tag in DROP or c.role in DROP_ROLES or c.role == "hidden" or bool(c.hints & DROP_WORDS) and c.tag not in ("html", "body") and not c.hints & LAYOUT_WORDS
+                named = c.tag not in ("html", "body") and (c.furniture == 2 or c.furniture == 1 and not outweighed(c))
+                bad = c.tag in DROP or c.role in DROP_ROLES or c.role == "hidden" or named
                 if c.tag == "header" or "header" in c.hints and c.tag == "div":
                     if not inside[id(n)]:
                         bad = True
@@ -233,7 +271,7 @@ def main_text(page: str | None) -> str:
             running = s.tag == "p" and (s.size > 80 and density < 0.25 or density == 0)
             if running or s.tag == best.tag and s.score >= max(10.0, top / 5) and density < 0.25:
                 keep.add(id(s))
-    menus = {id(n) for n in nodes if n.tag in ("ul", "ol", "div", "table", "section", "dl") and n.links >= 3 and n.link > 0.5 * n.size and n is not best}
+    menus = {id(n) for n in nodes if n.tag in ("ul", "ol", "div", "table", "section", "dl") and n.links >= 3 and n.link > 0.5 * n.size and n is not best and not n.article}
     for n in nodes:  # parents before children
         n.kept = id(n) not in menus and (id(n) in keep or n.parent is not None and n.parent.kept)
     return "\n".join(text for owner, text, _ in blocks if owner.kept)

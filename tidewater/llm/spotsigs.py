@@ -1,7 +1,8 @@
 """Document fingerprints by SpotSigs.
 
 A signature is an anchor (a common word, or the start of the text) and the chain of the next ``CHAIN`` content words after it, words without case and
-punctuation. A document's fingerprint is the set of its signatures, as sorted 32-bit values in hex. Boilerplate
+punctuation. Signatures are 64-bit hashes; a document's fingerprint is the set of their upper halves, sorted, in hex. Near copies are found by the whole
+hashes, which different chains do not share by chance, however many documents there are. Boilerplate
 has few common words, so it hardly counts; a moved paragraph keeps its signatures.
 
 A text in which no common word has a full chain (a table, a list, code, other languages) is signed whole: by the
@@ -16,21 +17,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewater.llm import words
 from tidewater.llm.jaccard_join import Sets, as_sets, named_classes
 from tidewater.llm.session import bounded_batches
+from tidewater.sources.scratch import discard, materialize
 
 CHAIN = 3
-PART_BYTES, MOST_PARTS = 1 << 27, 10_000  # bytes of text in a range of documents; beyond so many ranges they get larger (a task sorts on disk)
+PART_BYTES = 1 << 27  # bytes of text in a range of documents
+QUANTILES = 100_000
+PACK = "zstd"
 START = 0x5851F42D4C957F2D  # stands for the start of a text among the anchors
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -58,7 +61,7 @@ def _is_anchor(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
-    """The sorted, distinct 32-bit signatures of each text."""
+    """The sorted, distinct 64-bit signatures of each text."""
     out: list[np.ndarray] = []
     for lo, hi, h, first in words.pieces(texts, plain=True):
         anchor = _is_anchor(h)
@@ -79,7 +82,7 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
         order = np.argsort(row, kind="stable")
         row, name, begin = row[order], name[order], begin[order]
         s = words.running(h[content])
-        sig = (words.mixed(words.window(s, begin, begin + chain) ^ name) >> np.uint64(32)).astype(np.uint32)
+        sig = words.mixed(words.window(s, begin, begin + chain) ^ name)
         cut = np.searchsorted(row, np.arange(hi - lo + 1))
         whole = None
         for i in range(hi - lo):
@@ -87,15 +90,20 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
             if not len(own):
                 if first[i + 1] > first[i]:
                     whole = words.running(h) if whole is None else whole
-                    own = (words.mixed(words.window(whole, first[i : i + 1], first[i + 1 : i + 2])) >> np.uint64(32)).astype(np.uint32)
+                    own = words.mixed(words.window(whole, first[i : i + 1], first[i + 1 : i + 2]))
                 elif t := texts[lo + i].as_py():
-                    own = np.frombuffer(hashlib.md5(t.encode()).digest()[:4], np.uint32)
+                    own = np.frombuffer(hashlib.md5(t.encode()).digest()[:8], np.uint64)
             out.append(np.unique(own))
     return out
 
 
-def text_of(sig: np.ndarray) -> str:
-    return sig.astype(">u4").tobytes().hex()
+def print_of(sig: np.ndarray) -> np.ndarray:
+    """The fingerprint of sorted signatures: their upper halves, distinct."""
+    return np.unique((sig >> np.uint64(32)).astype(np.uint32))
+
+
+def text_of(prints: np.ndarray) -> str:
+    return prints.astype(">u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
@@ -114,22 +122,32 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN, text_col: str = "text") ->
     @F.pandas_udf("string")
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([text_of(x) for x in signatures(pa.array(s, pa.large_string(), from_pandas=True), chain)], dtype=object)
+            yield pd.Series([text_of(print_of(x)) for x in signatures(pa.array(s, pa.large_string(), from_pandas=True), chain)], dtype=object)
 
     out = docs.drop("fingerprint", "signatures").withColumn("fingerprint", make(F.col(text_col)))
     return out.withColumn("signatures", F.call_function("div", F.length("fingerprint"), F.lit(8)))
 
 
-def signature_sets(texts: pa.Array, chain: int = CHAIN) -> Iterator[tuple[int, int, Sets]]:
-    """Fingerprints as sets for the join."""
-    found = signatures(texts, chain)
+def signed(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """(doc_id, text) with each text's signatures in its place, packed, stored: texts are signed once, whatever reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in signatures(b.column(1), chain)], pa.binary())], ["doc_id", "text"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary")
+    return materialize(rows, "spotsigs-signed")
+
+
+def stored_sets(packed: pa.Array) -> Iterator[tuple[int, int, Sets]]:
+    """Packed signatures as sets for the join."""
+    found = [np.frombuffer(x.as_buffer(), np.uint64) for x in packed]
     yield 0, len(found), _as_sets(found)
 
 
 def _as_sets(found: list[np.ndarray]) -> Sets:
     at = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64)))
-    every = np.concatenate(found) if found else np.empty(0, np.uint32)
-    return as_sets(words.mixed(every.astype(np.uint64)), at)
+    return as_sets(np.concatenate(found) if found else np.empty(0, np.uint64), at)
 
 
 def near_classes(docs: DataFrame, percent: int = 80, chain: int = CHAIN) -> DataFrame:
@@ -139,7 +157,9 @@ def near_classes(docs: DataFrame, percent: int = 80, chain: int = CHAIN) -> Data
     their ids; the others meet over their first signatures, common ones last, only where their lengths allow a link (by ranges of
     length in the nodes of a tree), and are compared in full. No list of all pairs is made.
     """
-    out = named_classes(docs, partial(signature_sets, chain=chain), percent)
+    every = signed(docs, chain)
+    out = named_classes(every, stored_sets, percent)
+    discard(every)
     return out.withColumnsRenamed({"n": "signatures", "component_id": "near_class"})
 
 
@@ -153,21 +173,26 @@ def edited(text: str, following: str) -> str:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed, as they are about to move."""
-    pack = zstandard.ZstdCompressor(level=1)
+    """Texts compressed, as they are about to move; their sizes first."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "_tie", "packed"])
+        texts = [t.encode() for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t).to_bytes(8, "little") + pa.compress(t, PACK, asbytes=True) for t in texts], pa.binary())], ["doc_id", "_tie", "packed"])
+
+
+def _unpacked(data: bytes) -> str:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), PACK, asbytes=True).decode()
 
 
 def with_next(docs: DataFrame, near: DataFrame, parts: int) -> DataFrame:
     """Rows (_part, _tail, _kind, doc_id, packed, v, near_class) such that within a part, in order, each row of kind 1 with _tail 0 is followed by the next document's.
 
-    Parts are ranges of doc_id (cut at its quantiles, fixed by this call). The first document of each range is added to the
-    range before it as a tail, and the very first to the last range. The texts are shuffled once, compressed. Rows of kind 0 are
+    Parts are ranges of doc_id, cut at its quantiles by a sketch that tells ``QUANTILES`` of them apart (fixed by this call). The first document of each range is
+    added to the range before it as a tail, and the very first to the last range. The texts are shuffled once, compressed. Rows of kind 0 are
     those of ``near`` (doc_id, v, near_class) and stand before the documents of their id.
     """
+    parts = min(parts, QUANTILES)
     steps = [i / parts for i in range(1, parts)]
-    cuts = sorted({float(c) for c in docs.agg(F.percentile_approx("doc_id", steps, 100_000).alias("c")).first().c or ()}) if steps else []
+    cuts = sorted({float(c) for c in docs.agg(F.percentile_approx("doc_id", steps, QUANTILES).alias("c")).first().c or ()}) if steps else []
 
     def dealt(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("_at", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double"))
@@ -178,17 +203,16 @@ def with_next(docs: DataFrame, near: DataFrame, parts: int) -> DataFrame:
         return rows.withColumn("_part", F.col("_part").cast("int")).drop("_at")
 
     id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    firsts = {r["_part"]: r["id"] for r in dealt(docs.select("doc_id")).groupBy("_part").agg(F.min(id_).alias("id")).collect()}  # one row a part
-    order = sorted(firsts)
-    before = {firsts[p]: order[i - 1] for i, p in enumerate(order)}
+    firsts = dealt(docs.select("doc_id")).groupBy("_part").agg(F.min(id_).alias("_first"))  # one row a part
+    order = Window.orderBy("_part")
+    to = firsts.select("_first", F.coalesce(F.lag("_part").over(order), F.max("_part").over(Window.partitionBy())).alias("_part"))
     text = F.coalesce("text", F.lit(""))
     packed = lambda rows: rows.select("doc_id", F.xxhash64(text).alias("_tie"), text.alias("text")).mapInArrow(_packed, "doc_id long, _tie long, packed binary")
     none = {"v": F.lit(None).cast("long"), "near_class": F.lit(None).cast("long"), "_kind": F.lit(1)}
     out = dealt(packed(docs)).withColumns({"_tail": F.lit(0), **none})
-    if before:
-        to = F.create_map(*(F.lit(x) for k, v in before.items() for x in (k, v)))
-        tails = packed(docs.where(id_.isin(*before)))
-        out = out.unionByName(tails.withColumns({"_part": F.try_element_at(to, id_), "_tail": F.lit(1), **none}))
+    heads = packed(docs.join(F.broadcast(to.select("_first")), id_ == F.col("_first"), "left_semi"))
+    tails = heads.join(F.broadcast(to), id_ == F.col("_first")).select("doc_id", "_tie", "packed", "_part")
+    out = out.unionByName(tails.withColumns({"_tail": F.lit(1), **none}))
     names = dealt(near.select("doc_id", "v", "near_class")).withColumns({"_tie": F.lit(0).cast("long"), "packed": F.lit(None).cast("binary"), "_tail": F.lit(0), "_kind": F.lit(0)})
     out = out.unionByName(names).repartitionById(max(parts, 1), "_part")
     return out.sortWithinPartitions("_part", "_tail", F.col("doc_id").asc_nulls_first(), "_kind", "_tie").select("_part", "_tail", "_kind", "doc_id", "packed", "v", "near_class")
@@ -201,15 +225,14 @@ def edit_likeness(docs: DataFrame, chain: int = CHAIN, percent: int = 80) -> Dat
     docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         held = None  # (part, id, text, signatures, class) that waits for its next document
         own, classes_of = None, {}  # classes of the documents of one id, by the name of their set
         for b in batches:
             part, tail, kind, ids, data, name, near = (b.column(i).to_pylist() for i in range(7))
             some = [i for i, k in enumerate(kind) if k]
-            texts = [unpack.decompress(data[i]).decode() for i in some]
+            texts = [_unpacked(data[i]) for i in some]
             sigs = signatures(pa.array(texts, pa.large_string()), chain)
-            names = iter(zip(texts, sigs, _as_sets(sigs).name.view(np.int64).tolist(), strict=True))
+            names = iter(zip(texts, map(print_of, sigs), _as_sets(sigs).name.view(np.int64).tolist(), strict=True))
             todo = []
             for p, is_tail, k, i, v, c in zip(part, tail, kind, ids, name, near, strict=True):
                 if (p, i) != own:
@@ -223,7 +246,7 @@ def edit_likeness(docs: DataFrame, chain: int = CHAIN, percent: int = 80) -> Dat
                 held = None if is_tail else (p, i, t, s, classes_of.get(v, i))
             if not todo:
                 continue
-            new = signatures(pa.array([x[4] for x in todo], pa.large_string()), chain)
+            new = list(map(print_of, signatures(pa.array([x[4] for x in todo], pa.large_string()), chain)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[0] for x in todo], pa.int64()),
@@ -240,5 +263,5 @@ def edit_likeness(docs: DataFrame, chain: int = CHAIN, percent: int = 80) -> Dat
 
     near = near_classes(docs, percent, chain).where(~F.col("doc_id").eqNullSafe(F.col("near_class"))).select("doc_id", "v", "near_class").distinct()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     return with_next(docs, near, parts).mapInArrow(run, ROW)

@@ -11,7 +11,7 @@ everywhere, and generalised or removed.
 
 Edge cases: null text is empty; spans are in code points, end exclusive; a term that touches a pattern's span
 is not marked again; an empty corpus discloses nothing; null or repeated ids only repeat rows (documents
-are counted by row).
+are counted by row). Documents of very many entities are bounded by their classes (see ``disclosing_terms``).
 """
 
 from __future__ import annotations
@@ -184,84 +184,107 @@ def _chance(both: Column, term_docs: Column, share: Column) -> Column:
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, mistakes: float = MISTAKES) -> DataFrame:
     """(term, degree): terms whose strongest disclosure of any entity reaches the threshold, from the whole corpus.
 
+    Entities that the same documents name are one class: they have the same counts with every term. A class of k documents is counted only with terms of
+    ``support`` to k * (n / k) ** (1 - disclosure) documents, as others cannot reach the threshold. So a document of thousands of addresses
+    that its copies share is one class, common words meet common entities only, and most terms meet none.
+
     ``docs`` is read twice: it should be a stored table.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     named = texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_contexts, "row long, entities array<long>, place long, marks array<long>, terms array<string>")
     named = materialize(named, "pii-named")
+    counts = texts.mapInPandas(_counted, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs"))
+    counts = materialize(counts.withColumn("key", F.xxhash64("term")), "pii-terms")
+    n = F.lit(float(max(docs.count(), 2)))
+    share = F.least(F.col("entity_docs").cast("double"), n - 0.5) / n
+
     each = named.select("row", "place", F.explode("entities").alias("entity"))
-    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"), F.count_distinct("place").alias("places")).where(F.col("places") >= support)
+    rows = lambda seed: F.bit_xor(F.xxhash64("row", F.lit(seed)))  # noqa: E731  names the set of an entity's documents
+    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"), F.count_distinct("place").alias("places"), rows(1).alias("x"), rows(2).alias("y")).where(F.col("places") >= support)
+    entities = materialize(entities.select("entity", "entity_docs", "x", "y"), "pii-counts")
+    tried = float(max(counts.count(), 1) * max(entities.count(), 1))
+    classes = entities.groupBy("entity_docs", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "entity_docs")
     # an entity may be in a third of all rows: they are dealt to SALTS tasks
-    entities = materialize(entities.select("entity", "entity_docs"), "pii-counts")
-    salted = entities.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     each = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, ["entity", "salt"])
-    each = materialize(each.select("row", "entity", "entity_docs"), "pii-entities")
-    pairs = each.join(named.select("row", "terms"), "row").select("entity", "entity_docs", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "entity_docs", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    counts = materialize(texts.mapInPandas(_counted, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs")), "pii-terms")
-    n = F.lit(float(max(docs.count(), 2)))
-    tried = float(max(counts.count(), 1) * max(entities.count(), 1))
-    share = F.least(F.col("entity_docs").cast("double"), n - 0.5) / n
+    each = materialize(each.select("row", "place", "entity", "entity_docs", (F.col("entity_docs") * share ** (disclosure - 1) * (1 + 1e-9)).alias("most")), "pii-entities")
+
+    held = named.join(each.groupBy("row").agg(F.max("most").alias("most")), "row").select("row", "most", F.explode("terms").alias("term"))
+    held = held.join(counts.where(F.col("term_docs") >= support), "term").where(F.col("term_docs") <= F.col("most"))
+    held = materialize(held.select("row", "key", "term_docs"), "pii-held-terms")
+    pairs = each.select("row", "entity", "entity_docs", "most").join(held, "row").where(F.col("term_docs") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "key", "entity_docs", "term_docs").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     degree = 1 + F.log(F.col("both") / F.col("term_docs")) / -F.log(share)
-    pairs = pairs.join(counts, "term").withColumn("degree", degree).where(F.col("degree") >= disclosure)
+    pairs = pairs.withColumn("degree", degree).where(F.col("degree") >= disclosure)
     pairs = pairs.where(_chance(F.col("both"), F.col("term_docs"), share) + F.log(F.lit(tried)) <= F.log(F.lit(mistakes)))
-    pairs = materialize(pairs.select("entity", "term", "degree"), "pii-pairs")
-    held = each.join(named.select("row", "place", "terms"), "row").select("entity", "place", F.explode("terms").alias("term"))
-    held = materialize(held.join(pairs, ["entity", "term"], "left_semi").distinct(), "pii-held")
-    varied = _varied(held, named.select("place", "marks"), support)
-    out = materialize(pairs.join(varied, ["entity", "term"], "left_semi").groupBy("term").agg(F.max("degree").alias("degree")), "pii-disclosing")
-    discard(named, entities, each, counts, pairs, held, varied)
+    pairs = materialize(pairs.select("entity", "key", "degree"), "pii-pairs")
+    if pairs.isEmpty():
+        discard(named, counts, entities, each, held, pairs)
+        return docs.sparkSession.createDataFrame([], "term string, degree double")
+    places = each.select("row", "place", "entity").join(pairs.select("entity", "key"), "entity").join(held.select("row", "key"), ["row", "key"])
+    places = materialize(places.select("entity", F.col("key").alias("term"), "place").distinct(), "pii-held")
+    varied = _varied(places, named.select("place", "marks"), support).withColumnRenamed("term", "key")
+    found = pairs.join(varied, ["entity", "key"], "left_semi").groupBy("key").agg(F.max("degree").alias("degree"))
+    out = materialize(found.join(counts.select("key", "term"), "key").select("term", "degree"), "pii-disclosing")
+    discard(named, counts, entities, each, held, pairs, places)
     return out
 
 
-def _marked(text: str | None, terms: frozenset | set) -> tuple:
-    """Numbers by kind, base spans and terms' spans of one text, in one walk over both."""
+def _marked(text: str | None, terms: dict[str, float]) -> tuple:
+    """Numbers by kind, base spans and terms' spans, the number of terms, their highest degree and the number of entities of one text, in one walk over both."""
     text = text or ""
     base = base_spans(text)
     more: list[Span] = []
+    degree = None
     if terms and text:
         busy, i = sorted((a, b) for _, a, b in base), 0
         for m in TERM.finditer(text):
             while i < len(busy) and busy[i][1] <= m.start():
                 i += 1
-            if m[0].lower() in terms and (i == len(busy) or busy[i][0] >= m.end()):
+            if (d := terms.get(m[0].lower())) is not None and (i == len(busy) or busy[i][0] >= m.end()):
                 more.append(("term", *m.span()))
-    return *(sum(k == kind for k, _, _ in base) for kind in KINDS), joined(base), joined(base + more), len(more)
+                degree = d if degree is None else max(d, degree)
+    return *(sum(k == kind for k, _, _ in base) for kind in KINDS), joined(base), joined(base + more), len(more), degree, len(entities_of(text, base))
 
 
-MADE = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "n_term")
-MARKED = T.StructType([T.StructField(c, T.StringType() if "spans" in c else T.LongType()) for c in MADE])
+MADE = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "n_term", "degree", "n_entity")
+MARKED = T.StructType([T.StructField(c, T.StringType() if "spans" in c else T.DoubleType() if c == "degree" else T.LongType()) for c in MADE])
 
 
 def find(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``docs`` with n_email, n_ip, n_card, n_phone, base_spans, spans (those and the terms'), n_term."""
+    """``docs`` with n_email, n_ip, n_card, n_phone, base_spans, spans (those and the terms'), n_term, and what stands behind them: degree (the highest of its terms; null without any) and n_entity (protected entities it names)."""
     bounded_batches(docs.sparkSession)
-    terms = (disclosing_terms(docs) if terms is None else terms).select("term").distinct()
+    terms = (disclosing_terms(docs) if terms is None else terms).groupBy("term").agg(F.max("degree").alias("degree"))
     out = docs.drop(*MADE)
     given = out.columns
     first = terms.limit(SENT_TERMS + 1).collect()
     if len(first) <= SENT_TERMS:
-        known = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in first))
+        known = docs.sparkSession.sparkContext.broadcast({r.term: r.degree for r in first})
 
         @F.pandas_udf(MARKED)
         def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
-                yield pd.DataFrame([_marked(t, known.value) for t in texts], columns=list(MADE))
+                yield _frame([_marked(t, known.value) for t in texts])
 
         out = out.withColumn("_pii", mark(F.col("text")))
     else:
-        out = _with_own_terms(out, terms).withColumn("_pii", _mark_own("text", "_pii_terms")).drop("_pii_terms")
+        out = _with_own_terms(out, terms).withColumn("_pii", _mark_own("text", "_pii_terms", "_pii_degrees")).drop("_pii_terms", "_pii_degrees")
     return out.select(*given, *(F.col(f"_pii.{c}").alias(c) for c in MADE))
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=list(MADE))
+    return out.assign(degree=out["degree"].astype("float64"))
+
+
 @F.pandas_udf(MARKED)
-def _mark_own(texts: pd.Series, terms: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_marked(t, set(() if own is None else own)) for t, own in zip(texts, terms, strict=True)], columns=list(MADE))
+def _mark_own(texts: pd.Series, terms: pd.Series, degrees: pd.Series) -> pd.DataFrame:
+    return _frame([_marked(t, {} if own is None else dict(zip(own, d, strict=True))) for t, own, d in zip(texts, terms, degrees, strict=True)])
 
 
 def _with_own_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``docs`` with ``_pii_terms``, the disclosing terms that the text holds, brought to it by a shuffle. Copies of one text are dealt to SALTS tasks."""
+    """``docs`` with ``_pii_terms`` and ``_pii_degrees``, the disclosing terms that the text holds, brought to it by a shuffle. Copies of one text are dealt to SALTS tasks."""
     key = F.sha2("text", 256)
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,8 +292,8 @@ def _with_own_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
             rows = [(k, w) for k, t in zip(b["key"], b["text"], strict=True) for w in ({x.lower() for x in TERM.findall(t)} if t else ())]
             yield pd.DataFrame(rows, columns=["key", "term"])
 
-    hits = docs.select(key.alias("key"), "text").mapInPandas(explode, "key string, term string").join(terms, "term", "left_semi")
-    hits = hits.groupBy("key").agg(F.collect_set("term").alias("_pii_terms"))
+    hits = docs.select(key.alias("key"), "text").mapInPandas(explode, "key string, term string").join(terms, "term")
+    hits = hits.groupBy("key").agg(F.collect_set(F.struct("term", "degree")).alias("hits")).select("key", F.col("hits.term").alias("_pii_terms"), F.col("hits.degree").alias("_pii_degrees"))
     hits = hits.withColumn("_pii_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))).withColumnRenamed("key", "_pii_key")
     other = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     docs = docs.withColumns({"_pii_key": key, "_pii_salt": F.pmod(F.xxhash64(*other), F.lit(SALTS))})

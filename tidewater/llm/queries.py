@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_term")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_term", "degree", "n_entity")
 
 
 def op2_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

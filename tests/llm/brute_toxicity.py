@@ -16,7 +16,8 @@ def words_of(text):
 class Brute:
     """Probabilities by class (1 toxic, 0 ordinary) of a word after a word, of a word's spelling, of a byte after bytes of a word."""
 
-    def __init__(self, texts, labels):
+    def __init__(self, texts, labels, discounts):
+        self.discounts = discounts
         three = {c: set() for c in (0, 1)}
         for t, y in zip(texts, labels):
             ws = [None, None, *words_of(t)]
@@ -56,7 +57,7 @@ class Brute:
             short = run[-order:]
             table = plain if len(run) < order else kinds
             p = self._mixed({k[-1:]: n for k, n in table.items() if k[:-1] == short[:-1] and len(k) == len(short)}, toxicity.DISCOUNT, x, p)
-        return self._mixed({k[-1:]: n for k, n in self.run[c].items() if k[:-1] == run[:-1]}, toxicity.RUN_DISCOUNT, x, p)
+        return self._mixed({k[-1:]: n for k, n in self.run[c].items() if k[:-1] == run[:-1]}, self.discounts.run, x, p)
 
     def spelling(self, c, w):
         p = 1.0
@@ -65,7 +66,7 @@ class Brute:
         return p
 
     def alone(self, c, w):
-        return self._mixed(self.word[c], toxicity.WORD_DISCOUNT, w, self.spelling(c, w))
+        return self._mixed(self.word[c], self.discounts.word, w, self.spelling(c, w))
 
     def after(self, c, h, w):
-        return self._mixed({x: n for (a, x), n in self.pair[c].items() if a == h}, toxicity.PAIR_DISCOUNT, w, self.alone(c, w))
+        return self._mixed({x: n for (a, x), n in self.pair[c].items() if a == h}, self.discounts.pair, w, self.alone(c, w))

@@ -650,9 +650,9 @@ def small_corpus(seed):
     return texts, [int(i % 3 == 0) for i in range(60)]
 
 
-def test_kneser_ney_probabilities_sum_to_one(monkeypatch):
-    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 1.5)
-    b = Brute(*small_corpus(1))
+def test_kneser_ney_probabilities_sum_to_one():
+    d = toxicity.Discounts(3.0, 2.0, 1.5)
+    b = Brute(*small_corpus(1), d)
     for c in (0, 1):
         for ctx in (b"", b"a", b"ab", b"grox", b"groxe", b"groxgroxer", b"q", b"\xc3", b"never"):
             assert sum(b.byte(c, ctx, bytes([x])) for x in range(256)) == pytest.approx(1)
@@ -661,22 +661,22 @@ def test_kneser_ney_probabilities_sum_to_one(monkeypatch):
         passed = lambda counts, d: sum(min(d, n) for n in counts.values()) / sum(counts.values()) if counts else 1.0
         for h in (None, b"ab", b"grox", b"never"):
             of_h = {w: n for (x, w), n in b.pair[c].items() if x == h}
-            rest = passed(of_h, toxicity.PAIR_DISCOUNT) * passed(b.word[c], toxicity.WORD_DISCOUNT) * unseen
+            rest = passed(of_h, d.pair) * passed(b.word[c], d.word) * unseen
             assert sum(b.after(c, h, w) for w in vocab) + rest == pytest.approx(1)
 
 
-@pytest.mark.parametrize("discount", [6.0, 1.0])
-def test_ratios_equal_brute_force(spark, monkeypatch, discount):
-    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", discount)
-    monkeypatch.setattr(toxicity, "LENGTH", 1e12)  # all bytes weigh alike
+def test_ratios_equal_brute_force(spark):
     texts, labels = small_corpus(2)
     kept = [i % 4 == 1 for i in range(60)]
     rows = spark.createDataFrame(list(zip(texts, labels, kept)), "text string, toxic int, kept boolean").repartition(3)
     new = ["never seen groxish abé", "abq ab ab grox grox b", "the END x"]
-    for counts, some in zip(toxicity.counted(rows), ([i for i in range(60) if not kept[i]], range(60))):
+    wanted = [toxicity.Discounts(3.0, 2.0, 6.0), toxicity.Discounts(0.75, 1.5, 1.0)]
+    made = [(c, d, some) for d, fits in zip(wanted, toxicity.counted(rows, *wanted)) for c, some in zip(fits, ([i for i in range(60) if not kept[i]], range(60)))]
+    for counts, d, some in made:  # tables are read once for all discounts and both fits
         model = toxicity.ratios(counts)
-        b = Brute([texts[i] for i in some], [labels[i] for i in some])
-        assert bool(len(model.pair.key)) == (discount == 1.0) and len(model.word.key)
+        b = Brute([texts[i] for i in some], [labels[i] for i in some], d)
+        assert any((np.abs(model.pair.ratio) > 0).tolist()) or d.pair > 1
+        assert len(model.word.key)
         for t in [*new, *texts[:20]]:
             want = [math.log(b.after(1, h, w)) - math.log(b.after(0, h, w)) for h, w in zip([None, *words_of(t)], words_of(t))]
             got = [model.by_word(data, st, en, h, first).tolist() for _, _, data, st, en, h, first in words.spelled(pa.array([t]), plain=True)]
@@ -685,6 +685,17 @@ def test_ratios_equal_brute_force(spark, monkeypatch, discount):
             assert e[1].tolist() == pytest.approx([np.mean(want), max(want)] if want else [0, 0]) and not e[[0, 2]].any()
 
 
+def test_discounts_are_chosen_on_training_rows(spark):
+    texts, labels = small_corpus(5)
+    df = docs(spark, list(enumerate(texts)))
+    train = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    few, many = toxicity.Discounts(0.75, 0.75, 0.75), toxicity.Discounts(50.0, 50.0, 50.0)  # the second leaves nothing to tell classes by
+    want = toxicity.fit(df, train, discounts=(few,))
+    for both in ((few, many), (many, few)):
+        got = toxicity.fit(df, train, discounts=both)
+        assert np.allclose(got.curve, want.curve) and len(got.word.key) == len(want.word.key)
+
+
 def test_without_labels(spark):
     df = docs(spark, [(1, "some words"), (2, None)])
     model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -9,15 +9,15 @@ Each class, toxic and ordinary, has a model of words after words. It takes, in t
 
 Each level keeps what is left of its counts after a discount and passes on to the next level what was taken. As Kneser-Ney asks, what is counted for a pair or a
 word are the different words before it, so copies of a text count once; byte runs are counted by word, and below the highest order by the different bytes
-before. The levels by class take whole counts off (``RUN_DISCOUNT``, ``WORD_DISCOUNT``, ``PAIR_DISCOUNT``): a rare expression keeps nothing there, so it says
-no more than its parts are known to say.
+before. The levels by class take whole counts off: a rare expression keeps nothing there, so it says
+no more than its parts are known to say. How much is chosen from ``DISCOUNTS`` by the log-loss on training rows that the models have not seen.
 
 A text's evidence is the log-likelihood ratio of the two models by word, length-normalised: the mean over the text, and the highest of a word.
 A logistic curve over these two, fitted on texts that its models have not seen, turns evidence into a score from 0 to 1. Toxic texts weigh
 ``WEIGHT`` times as much there (or as often as they are rarer, if that is less), as they are few.
 
-Fitting uses labelled rows only: at most about ``SAMPLE`` of them, drawn by hash. A quarter of them is kept from the models of the curve;
-the final models have all. Of words and pairs only those above the discount and the histories that hold such are sent to the executors, of spelling the byte
+Fitting uses labelled rows only: at most about ``SAMPLE`` of them, drawn by hash. A quarter of them is kept from the models of the curve and for the choice of
+discounts; the final models have all. Of words and pairs only those above the discount and the histories that hold such are sent to the executors, of spelling the byte
 runs of the sample. Scoring covers every row and whole texts.
 
 Edge cases: null, empty and word-free texts have no evidence and get the curve's value there; without
@@ -40,14 +40,23 @@ from tidewater.sources.scratch import discard, materialize
 
 ORDER = 7
 DISCOUNT = 0.75  # of counts of both classes
-RUN_DISCOUNT, WORD_DISCOUNT, PAIR_DISCOUNT = 3.0, 2.0, 6.0  # of counts by class
 SAMPLE = 8_000
 WEIGHT = 2.0
 THRESHOLD = 0.7
 START = np.uint64(0x3C79AC492BA7B653)  # stands for the word before the first
 END = 32  # stands for the end of a word; no word holds this byte
 BYTE = np.uint64(8)
-LENGTH = 64  # bytes at which the weight of a word's spelling has fallen to a half
+
+
+class Discounts(NamedTuple):
+    """What is taken off counts by class."""
+
+    run: float
+    word: float
+    pair: float
+
+
+DISCOUNTS = (Discounts(3.0, 2.0, 6.0), Discounts(2.0, 2.0, 4.0), Discounts(4.0, 3.0, 8.0))
 
 
 def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,13 +119,13 @@ class Model(NamedTuple):
     curve: np.ndarray = np.zeros(3)
 
     def spelling(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Ratios of words by their bytes alone; the longer a word, the less a byte weighs."""
+        """Ratios of words by their bytes alone."""
         if not len(starts):
             return np.empty(0)
         key, at = runs(data, starts, ends)
         seen, out = self.run.of(key)
         out[~seen] = self.context.of(key[~seen] >> BYTE)[1]  # what an unseen byte is passed on to is the same for both classes
-        return np.add.reduceat(out, at[:-1]) * LENGTH / (LENGTH + ends - starts)
+        return np.add.reduceat(out, at[:-1])
 
     def by_word(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Ratio of every word of some rows."""
@@ -182,7 +191,7 @@ class Spelling(NamedTuple):
     ordinary_rest: np.ndarray
 
 
-def spelling(run: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Spelling:
+def spelling(run: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discount: float) -> Spelling:
     """From counts of byte runs by class.
 
     ``lower`` is the probability of a run's last byte after the shorter contexts, built from one
@@ -203,9 +212,9 @@ def spelling(run: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Spelli
         ctx, total, left = _grouped(grams >> BYTE, c[one], np.minimum(c[one], DISCOUNT))
         i = np.searchsorted(ctx, short >> BYTE)
         lower = (np.maximum(c - DISCOUNT, 0) + left[i] * lower) / total[i]
-    ctx, nt, no, lt, lo = _grouped(run >> BYTE, toxic, ordinary, np.minimum(toxic, RUN_DISCOUNT), np.minimum(ordinary, RUN_DISCOUNT))
+    ctx, nt, no, lt, lo = _grouped(run >> BYTE, toxic, ordinary, np.minimum(toxic, discount), np.minimum(ordinary, discount))
     i = np.searchsorted(ctx, run >> BYTE)
-    return Spelling(run, _logs(toxic, RUN_DISCOUNT, nt[i], lt[i], lower), _logs(ordinary, RUN_DISCOUNT, no[i], lo[i], lower), ctx, _passed(lt, nt), _passed(lo, no))
+    return Spelling(run, _logs(toxic, discount, nt[i], lt[i], lower), _logs(ordinary, discount, no[i], lo[i], lower), ctx, _passed(lt, nt), _passed(lo, no))
 
 
 class Counts(NamedTuple):
@@ -227,23 +236,25 @@ class Counts(NamedTuple):
     history: np.ndarray
     histories: np.ndarray
     histories_left: np.ndarray
+    discounts: Discounts
 
 
 def ratios(c: Counts) -> Model:
     """The models of both classes as ratios, without a curve."""
     if not c.total.all():
         return Model()
-    s = spelling(c.run, c.runs[:, 0], c.runs[:, 1])
+    d = c.discounts
+    s = spelling(c.run, c.runs[:, 0], c.runs[:, 1], d.run)
     key, at = runs(c.data, c.starts, c.ends)
     i = np.searchsorted(s.run, key)
     alone = [np.exp(np.add.reduceat(p[i], at[:-1])) if len(i) else np.empty(0) for p in (s.toxic, s.ordinary)]
     # words and what is passed on below them
-    by_class = [_logs(c.words[:, k], WORD_DISCOUNT, c.total[k], c.left[k], alone[k]) for k in (0, 1)]
+    by_class = [_logs(c.words[:, k], d.word, c.total[k], c.left[k], alone[k]) for k in (0, 1)]
     rest = float(np.log(c.left[0] / c.total[0]) - np.log(c.left[1] / c.total[1]))
-    above = (c.words > WORD_DISCOUNT).any(axis=1)
+    above = (c.words > d.word).any(axis=1)
     # pairs and what is passed on below them
     w, h = np.searchsorted(c.word, c.pair_word), np.searchsorted(c.history, c.pair_history)
-    pair = [_logs(c.pairs[:, k], PAIR_DISCOUNT, c.histories[h, k], c.histories_left[h, k], np.exp(by_class[k][w])) for k in (0, 1)]
+    pair = [_logs(c.pairs[:, k], d.pair, c.histories[h, k], c.histories_left[h, k], np.exp(by_class[k][w])) for k in (0, 1)]
     passed = [_passed(c.histories_left[:, k], c.histories[:, k]) for k in (0, 1)]
     return Model(
         Table(s.run, s.toxic - s.ordinary), Table(s.context, s.toxic_rest - s.ordinary_rest), Table(c.word[above], (by_class[0] - by_class[1])[above]),
@@ -318,69 +329,86 @@ def _joined(each: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(each), np.uint8), np.concatenate(([0], ends[:-1])).astype(np.int64), ends
 
 
-def counted(rows: DataFrame) -> tuple[Counts, Counts]:
-    """Counts from labelled texts (text, toxic, kept): of those not kept back, and of all.
+FITS = (("t", "o"), ("at", "ao"))  # without the quarter kept back, and with it
+
+
+def counted(rows: DataFrame, discounts: Discounts = DISCOUNTS[0], *more: Discounts) -> list[tuple[Counts, Counts]]:
+    """For each of the discounts, counts from labelled texts (text, toxic, kept): of those not kept back, and of all.
 
     Distinct runs of three words give the words before a pair, distinct pairs those before a word; everything is summed before it reaches the driver,
-    as are byte runs. Pairs that the discount takes whole stay behind.
+    as are byte runs. Pairs that all discounts take whole stay behind. Each table is read once, whatever is made of it.
     """
+    wanted = (discounts, *more)
     each = lambda f, cols=FLAGS: [f(c).alias(c) for c in cols]
+    four = ("t", "o", "at", "ao")
     three = rows.mapInArrow(_grams, "three long, pair long, h long, w long, t byte, o byte, kt byte, ko byte").groupBy("three", "pair", "h", "w").agg(*each(F.max))
     three = three.withColumns({"at": F.greatest("t", "kt"), "ao": F.greatest("o", "ko")})
-    found = materialize(three.groupBy("pair", "h", "w").agg(*each(F.sum, ("t", "o", "at", "ao"))), "toxicity-pairs")
+    found = materialize(three.groupBy("pair", "h", "w").agg(*each(F.sum, four)), "toxicity-pairs")
     spelled = rows.mapInArrow(_spelled, "w long, bytes binary").groupBy("w").agg(F.min("bytes").alias("bytes"))
-    by_word = found.groupBy("w").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in ("t", "o", "at", "ao")])
+    by_word = found.groupBy("w").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in four])
     by_word = materialize(by_word.join(spelled, "w"), "toxicity-words")
-    by_run = by_word.select("bytes", "t", "o", "at", "ao").mapInArrow(_runs_of, "run long, t long, o long, kt long, ko long").groupBy("run").agg(*each(F.sum))
-    by_run = by_run.withColumnsRenamed({"kt": "at", "ko": "ao"})
-    out = []
-    by_run = materialize(by_run, "toxicity-runs")
-    for t, o in (("t", "o"), ("at", "ao")):
-        def columns(table: DataFrame, key: str, t=t, o=o) -> tuple:
-            got = table.toArrow()
-            name = np.ascontiguousarray(got[key].to_numpy()).view(np.uint64)
-            order = np.argsort(name)
-            return got, order, name[order], np.column_stack([got[c].to_numpy()[order] for c in (t, o)]).astype(float)
-
-        some = (F.col(t) > 0) | (F.col(o) > 0)
-        above = lambda d, t=t, o=o: (F.col(t) > d) | (F.col(o) > d)
-        pairs = found.where(above(PAIR_DISCOUNT)).select("pair", "h", "w", t, o)
-        left = lambda c, d: F.sum(F.least(F.col(c).cast("double"), F.lit(d)))
-        histories = found.where(some).groupBy("h").agg(F.sum(t).alias(t), F.sum(o).alias(o), left(t, PAIR_DISCOUNT).alias("lt"), left(o, PAIR_DISCOUNT).alias("lo")).where((F.col("lt") < F.col(t)) | (F.col("lo") < F.col(o)))
-        total = by_word.agg(*(F.coalesce(f, F.lit(0)).cast("double") for f in (F.sum(t), F.sum(o), left(t, WORD_DISCOUNT), left(o, WORD_DISCOUNT)))).first()
-        ws, order, word, nw = columns(by_word.where(above(WORD_DISCOUNT)).unionByName(by_word.where(~above(WORD_DISCOUNT)).join(pairs.select("w").distinct(), "w", "left_semi")).select("w", "bytes", t, o), "w")
-        data, starts, ends = _joined(ws["bytes"].take(pa.array(order)).to_pylist())
-        _, _, run, nr = columns(by_run.where(some), "run")
-        ps, porder, pair, np_ = columns(pairs, "pair")
-        hs, horder, history, nh = columns(histories, "h")
-        hash_of = lambda got, order, c: np.ascontiguousarray(got[c].to_numpy()[order]).view(np.uint64)
-        out.append(Counts(
-            run, nr, word, nw, np.array(total[:2]), np.array(total[2:]), data, starts, ends, pair, hash_of(ps, porder, "h"), hash_of(ps, porder, "w"), np_,
-            history, nh, np.column_stack([hs[c].to_numpy()[horder] for c in ("lt", "lo")]),
-        ))
-    discard(found, by_word, by_run)
-    return out[0], out[1]
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    by_run = by_word.select("bytes", *four).mapInArrow(_runs_of, "run long, t long, o long, kt long, ko long").groupBy("run").agg(*each(F.sum))
+
+    left = lambda c, d: F.sum(F.least(F.col(c).cast("double"), F.lit(d)))
+    above = lambda d: (F.col("at") > d) | (F.col("ao") > d)
+    least_word, least_pair = min(d.word for d in wanted), min(d.pair for d in wanted)
+    pairs = found.where(above(least_pair))
+    kept = {(c, d): f"{c}_{k}" for c in four for k, d in enumerate(sorted({d.pair for d in wanted}))}  # what a history passes on at each discount
+    histories = found.groupBy("h").agg(*each(F.sum, four), *(left(c, d).alias(n) for (c, d), n in kept.items())).where((F.col("at_0") < F.col("at")) | (F.col("ao_0") < F.col("ao")))
+    words_ = by_word.where(above(least_word)).unionByName(by_word.where(~above(least_word)).join(pairs.select("w").distinct(), "w", "left_semi"))
+    sums = [(c, d) for c in four for d in sorted({d.word for d in wanted})]
+    total = by_word.agg(*(F.coalesce(f, F.lit(0)).cast("double") for f in (*map(F.sum, four), *(left(c, d) for c, d in sums)))).first()
+    total = dict(zip([*four, *sums], total, strict=True))
+    tables = [(t := df.toArrow()).take(pa.array(np.argsort(_hashes(t, key)))) for df, key in ((words_, "w"), (by_run.withColumnsRenamed({"kt": "at", "ko": "ao"}), "run"), (pairs, "pair"), (histories, "h"))]
+    discard(found, by_word)
+
+    def made(t: str, o: str, d: Discounts) -> Counts:
+        counts = lambda got, *cols: np.column_stack([got[c].to_numpy() for c in cols]).astype(float)
+        w, r, p, h = (got.filter(pa.array(counts(got, t, o).any(axis=1))) for got in tables)
+        data, starts, ends = _joined(w["bytes"].to_pylist())
+        return Counts(
+            _hashes(r, "run"), counts(r, t, o), _hashes(w, "w"), counts(w, t, o), np.array([total[t], total[o]]), np.array([total[t, d.word], total[o, d.word]]), data, starts, ends,
+            _hashes(p, "pair"), _hashes(p, "h"), _hashes(p, "w"), counts(p, t, o), _hashes(h, "h"), counts(h, t, o), counts(h, kept[t, d.pair], kept[o, d.pair]), d,
+        )
+
+    return [tuple(made(t, o, d) for t, o in FITS) for d in wanted]
+
+
+def _hashes(table: pa.Table, column: str) -> np.ndarray:
+    return np.ascontiguousarray(table[column].to_numpy()).view(np.uint64)
+
+
+def loss(evidence: np.ndarray, label: np.ndarray, weights: np.ndarray, weight: float = WEIGHT) -> float:
+    """The log-loss that ``curve`` makes small, a row."""
+    z = np.where(label == 1, 1, -1) * np.clip(design(evidence) @ weights, -30, 30)
+    return float((np.where(label == 1, weight, 1.0) * np.log1p(np.exp(-z))).sum() / max(1, len(label)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, discounts: tuple[Discounts, ...] = DISCOUNTS) -> Model:
     """Models and curve from labelled rows (doc_id, toxic). The sample bounds the broadcast of ids and all that reaches the driver."""
     bounded_batches(docs.sparkSession)
     ids = sample_of(labels, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = materialize(rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("kept")), "toxicity-sample")
-    first, every = counted(rows)
-    sent = docs.sparkSession.sparkContext.broadcast(ratios(first))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            e = sent.value.evidence(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), b.column(1)], ["mean", "top", "toxic"])
-
-    seen = rows.where("kept").select("text", "toxic").mapInArrow(weigh, "mean double, top double, toxic int").toArrow()
-    fitted = curve(np.column_stack([seen["mean"].to_numpy(), seen["top"].to_numpy()]), seen["toxic"].to_numpy())
-    sent.destroy()
+    best = None
+    for first, every in counted(rows, *discounts):
+        sent = docs.sparkSession.sparkContext.broadcast(ratios(first))
+
+        def weigh(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                e = sent.value.evidence(b.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), b.column(1)], ["mean", "top", "toxic"])
+
+        seen = rows.where("kept").select("text", "toxic").mapInArrow(weigh, "mean double, top double, toxic int").toArrow()
+        sent.destroy()
+        seen = seen.sort_by([("toxic", "ascending"), ("mean", "ascending"), ("top", "ascending")])  # in the same order in every run
+        evidence, label = np.column_stack([seen["mean"].to_numpy(), seen["top"].to_numpy()]), seen["toxic"].to_numpy()
+        weights = curve(evidence, label)
+        now = loss(evidence, label, weights)
+        if best is None or now < best[0]:
+            best = now, every, weights
     discard(rows)
-    return ratios(every)._replace(curve=fitted)
+    return ratios(best[1])._replace(curve=best[2])
 
 
 def score(text: Column, model: Model) -> Column:

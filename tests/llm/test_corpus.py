@@ -1,5 +1,6 @@
 """Operators on whole corpora: Jaccard join, sharding, mixing, language model, pipeline."""
 
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute_katz import brute, brute_order, lower
+from brute_toxicity import Brute as BruteToxicity, words_of as toxic_words
 from pyspark.sql import functions as F
+from test_texts import brute_find
 
 from tidewater.llm import jaccard_join, katz, katz_tables, mixing, sharding, toxicity, words
 from tidewater.llm.components import components
@@ -403,6 +406,76 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(seen["sharding"])
 
 
+def brute_pipeline(rows, labels, items, source, kept):
+    """The five stages by dictionaries, sets and SQL: (ids after each of the first three, [(doc_id, shard, slot)])."""
+    text = dict(rows)
+    train = [i for i in labels if i in text and zlib.crc32(str(i).encode()) % 3 != 1]
+    best = None
+
+    def evidence(b, t):
+        ws = toxic_words(t)
+        r = [math.log(b.after(1, h, w)) - math.log(b.after(0, h, w)) for h, w in zip([None, *ws], ws)]
+        return [np.mean(r), max(r)] if r else [0.0, 0.0]
+
+    for d in toxicity.DISCOUNTS:
+        first = BruteToxicity([text[i] for i in train if not kept[i]], [labels[i] for i in train if not kept[i]], d)
+        e, y = np.array([evidence(first, text[i]) for i in train if kept[i]]), np.array([labels[i] for i in train if kept[i]])
+        weights = toxicity.curve(e, y)
+        now = toxicity.loss(e, y, weights)
+        if best is None or now < best[0] - 1e-12:
+            best = now, BruteToxicity([text[i] for i in train], [labels[i] for i in train], d), weights
+    score = lambda t: 1 / (1 + math.exp(-float(np.dot([1.0, *evidence(best[1], t)], best[2]))))
+    clean = [(i, t) for i, t in rows if score(t) < 0.7]
+    least = {c for _, _, c in brute_classes(clean)}
+    single = [(i, t) for i, t in clean if i in least or not t.split()]
+    leaked = {i for i, _, _ in brute_find(single, items, 5, 0.5)}
+    apart = [(i, t) for i, t in single if i not in leaked]
+    taken = by_sql(apart, source)
+    mixed = sorted(i for i, t in apart for _ in range(taken[i] // len(t.split()) if t.split() else 1))
+    return [[i for i, _ in x] for x in (clean, single, apart)], [(i, *sharding.place(n, len(mixed), 40)) for n, i in enumerate(mixed)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pipeline_equals_brute_force(spark, tmp_path, seed):
+    import corpus_pipeline
+
+    rng = random.Random(seed)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter") for b in ("ren", "sto", "na", "li", "vor")]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(j, " ".join(f"item{j}x{i}" for i in range(20))) for j in range(3)]
+    rows = []
+    for i in range(150):
+        ws = say(rng.randint(5, 30)).split()
+        if i % 5 == 0:
+            ws[rng.randrange(len(ws))] = rng.choice(("groxish", "groxer", "vermin"))
+        if i % 11 == 0 and len(rows) > 3:  # a near copy
+            ws = rng.choice(rows)[1].split()
+            ws[-1:] = [rng.choice(vocab)]
+        if i % 13 == 0:  # a part of an item, now and then enough of it, in two pieces
+            own = items[i % 3][1].split()
+            ws = ws[:3] + own[10 : 10 + rng.randint(5, 10)] + ws[3:6] + own[: rng.randint(5, 9)]
+        rows.append((i, " ".join(ws)))
+    rows += [(500, ""), (501, "?!")]
+    labels = {i: int(any(w in t for w in ("grox", "vermin"))) for i, t in rows}
+    source = lambda i: None if i % 7 == 0 else f"s{i % 4}"
+    path = f"file://{tmp_path}"
+    spark.createDataFrame([(i, t, "en", source(i), 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    kept = {r.i: r.k for r in spark.createDataFrame([(i,) for i, _ in rows], "i long").select("i", (F.pmod(F.xxhash64("i", F.lit(2)), F.lit(4)) == 0).alias("k")).collect()}
+    stages, want = brute_pipeline(rows, labels, items, source, kept)
+    df = spark.read.parquet(f"{path}/documents.parquet")
+    for (name, stage), ids in zip(corpus_pipeline.STAGES, stages):
+        df = stage(spark, df, path)
+        df.write.parquet(f"{path}/{name}")
+        df = spark.read.parquet(f"{path}/{name}")
+        assert sorted(r.doc_id for r in df.collect()) == sorted(ids), name
+    assert len(rows) > len(stages[0]) > len(stages[1]) > len(stages[2]) > 20
+    got = corpus_pipeline.run(spark, path).collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted(want)
+    assert {r.doc_id: r.text for r in got}.items() <= dict(rows).items()
+
+
 def test_pipeline_without_documents(spark, tmp_path):
     import corpus_pipeline
 

@@ -114,6 +114,39 @@ def test_one_phrase_gives_linear_units(spark, monkeypatch):
     assert units(5000) <= 5000
 
 
+def test_one_template_gives_few_units(spark):
+    """Texts of one template under 80 % alike: all share many first elements, but too late in each for any two to link."""
+
+    def units(n):
+        rng = random.Random(n)
+        template = [f"{rng.getrandbits(40):x}" for _ in range(190)]
+        text = lambda: " ".join([*template[:60], *(f"{rng.getrandbits(40):x}" for _ in range(rng.randint(21, 26))), *template[60:]])
+        df = docs(spark, [(i, text()) for i in range(n)])
+        order = jaccard_join.Order(jaccard_join._common(df, 5))
+        every = jaccard_join.signed(df, order, 5, 80).cache()
+        shared = jaccard_join.postings(every, order, 80).cache()
+        assert shared.groupBy("element").count().where(f"count >= {n}").count() > jaccard_join.DEPTH
+        return jaccard_join._units(shared, spark.createDataFrame([], "v long, component long"), every, 80).count()
+
+    few, many = units(1000), units(4000)
+    assert few <= 1000 and many <= 4000
+
+
+def test_templates_at_the_border_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(3)
+    rows = []
+    for t in range(4):
+        template = [f"t{t}w{i}" for i in range(60)]
+        for _ in range(25):
+            own = [f"{rng.getrandbits(40):x}" for _ in range(rng.randint(0, 12))]
+            at = rng.randrange(61)
+            cut = template[: 60 - rng.randint(0, 6)]
+            rows.append((len(rows), " ".join([*cut[:at], *own, *cut[at:]])))
+    got = sorted(tuple(r) for r in jaccard_join.classes(docs(spark, rows)).collect())
+    assert got == sorted(brute_classes(rows)) and 4 < len({c for _, _, c in got}) < 90
+
+
 def test_classes_when_sets_meet_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SENT", 0)
     monkeypatch.setattr(jaccard_join, "PER_TASK", 2)

@@ -391,12 +391,22 @@ def deeper(rows: DataFrame, every: DataFrame, percent: int, level: int) -> DataF
 
 def spanning(rows: DataFrame, percent: int, level: int) -> DataFrame:
     """Rows of elements whose sets are of several components, with ``lead``, the component of most of them, and ``large``, whether the others make more
-    blocks than the sets have further elements to be split by."""
-    by = rows.groupBy("element", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
-    by = by.groupBy("element").agg(F.count(F.lit(1)).alias("components"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "component")).alias("top"))
+    blocks than the sets have further elements to be split by.
+
+    A pair is looked for under its first shared elements only: what stands before them in a set is not in the other. So a set of n whose last
+    element of the key has ``place`` shares at most n - place + level - 1 elements, and links with none larger than ``reach``. The smaller set of a pair must reach its
+    own size; where none under an element does (texts of one template, each with enough words of its own), no pair is left, and other
+    sets stay only if those that do could link with them.
+    """
+    shares = (F.col("n") - F.col("place") + level - 1) * (100 + percent)
+    rows = rows.withColumn("reach", F.call_function("div", shares, F.lit(percent)) - F.col("n"))
+    able = F.col("reach") >= F.col("n")
+    by = rows.groupBy("element", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.min(F.when(able, F.col("n"))).alias("least"), F.max(F.when(able, F.col("reach"))).alias("most"))
+    by = by.groupBy("element").agg(F.count(F.lit(1)).alias("components"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.max(F.struct("c", "component")).alias("top"), F.min("least").alias("least"), F.max("most").alias("most"))
     further = F.col("n") / F.col("c") * (1 - percent / 100) + level
     large = F.col("c") - F.col("top.c") > BLOCK * further
-    return rows.join(by.where("components > 1").select("element", "c", F.col("top.component").alias("lead"), large.alias("large")), "element")
+    met = rows.join(by.where((F.col("components") > 1) & F.col("least").isNotNull()).select("element", "c", "least", "most", F.col("top.component").alias("lead"), large.alias("large")), "element")
+    return met.where(able | (F.col("least") <= F.col("reach")) & (F.col("n") <= F.col("most"))).drop("reach", "least", "most")
 
 
 def _units(shared: DataFrame, labels: DataFrame, every: DataFrame, percent: int) -> DataFrame:

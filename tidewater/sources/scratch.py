@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names; where none is set (tests on one machine), a temporary folder, then set."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError(f"set {KEY} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set(KEY, found)

@@ -438,10 +438,7 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     met = deal(docs, held_out, hot, buckets).repartitionById(buckets, "part").sortWithinPartitions("part").mapInArrow(meet, SCHEMA)
     met = materialize(met, "katz-buckets")
 
-    words_n, pairs_n, kinds = np.zeros(TOP + 3, np.int64), np.zeros(TOP + 3, np.int64), 0
-    for r in met.where(F.col("kind") == STATS).select("block").toLocalIterator():  # one row a bucket
-        a, b, v = unpack(pa.scalar(bytes(r.block), pa.binary()))
-        words_n, pairs_n, kinds = words_n + a, pairs_n + b, kinds + int(v[0])
+    words_n, pairs_n, kinds = _tallies(met)
     train_tokens = _train_tokens(met)
     kinds += len(hot.word)
     in_classes = int((words_n[1 : TOP + 1] * np.arange(1, TOP + 1)).sum())
@@ -469,6 +466,23 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     return out
 
 
+def _tallies(met: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Counts of counts of words and of pairs, and the number of different words, summed over the buckets by the tasks."""
+    width = TOP + 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * width + 1, np.int64)
+        for b in batches:
+            for block in b.column(0):
+                total += np.concatenate(unpack(block))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "n"])
+
+    rows = met.where(F.col("kind") == STATS).select("block").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(2 * width + 1, np.int64)
+    n[rows["i"].to_numpy()] = rows["n"].to_numpy()
+    return n[:width], n[width : 2 * width], int(n[-1])
+
+
 def _train_tokens(met: DataFrame) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

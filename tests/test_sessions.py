@@ -237,7 +237,7 @@ def test_rows_of_a_table_of_the_catalog_are_replaced(spark, tmp_path):
     try:
         df = spark.createDataFrame([(1, "a"), (1, "b")], "task_id int, session_id string")
         for t, rows in ((1, df), (2, df), (1, df), (2, df.limit(0))):
-            write_task_table(rows, "extract_rows", t)
+            assert write_task_table(rows, "extract_rows", t) == rows.count()
         assert sorted((r.task_id, r.session_id) for r in spark.table("extract_rows").collect()) == [(1, "a"), (1, "b")]
     finally:
         spark.sql("DROP TABLE extract_rows")
@@ -266,7 +266,8 @@ def test_main(spark, tmp_path, how):
         for n, df in zip("aut", (log, people, record), strict=True):
             df.write.parquet(at_[n])
     elif how == "tables":
-        at_, out = {n: f"main_{n}" for n in "aut"}, f"file://{tmp_path}/out"
+        at_, out = {n: f"main_{n}" for n in "aut"}, "results"
+        spark.sql(f"CREATE DATABASE results LOCATION 'file://{tmp_path}/results'")
         save_actions(log, at_["a"], 2, f"file://{tmp_path}/a")
         people.write.option("path", f"file://{tmp_path}/u").saveAsTable(at_["u"])
         record.write.option("path", f"file://{tmp_path}/t").saveAsTable(at_["t"])
@@ -279,13 +280,14 @@ def test_main(spark, tmp_path, how):
     try:
         for _ in range(2):
             assert main(["5", *args]) == (30, 30, 10, 30)
-        read = (lambda n: read_task_jdbc(spark, out, n, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")) if how == "jdbc" else lambda n: spark.read.parquet(f"{out}/{n}")
+        read = (lambda n: read_task_jdbc(spark, out, n, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")) if how == "jdbc" else lambda n: spark.table(f"{out}.{n}") if how == "tables" else spark.read.parquet(f"{out}/{n}")
         assert read("session_aggr_stat").first().session_count == 30
         assert (read("session_random_extract").count(), read("session_detail").count()) == (10, 30)
         with pytest.raises(LookupError):
             main(["6", *args])
     finally:
         if how == "tables":
+            spark.sql("DROP DATABASE results CASCADE")
             for n in "aut":
                 spark.sql(f"DROP TABLE IF EXISTS main_{n}")
 

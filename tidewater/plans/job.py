@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tidewater.operators import SessionFilter, sample_sessions, session_aggr_stat, session_detail, session_random_extract, session_rollup, session_user_join
-from tidewater.sources import actions_in_range, read_source, read_task, replace_task_jdbc, write_task_output
+from tidewater.sources import actions_in_range, read_source, read_task, replace_task_jdbc, write_task_output, write_task_table
 from tidewater.sources.scratch import discard, materialize
 
 TABLES = ("session_aggr_stat", "session_random_extract", "session_detail")
@@ -60,6 +60,10 @@ class TaskResult:
         """Write the three tables below ``path`` as parquet, in place of what an earlier run of the task left."""
         return self._run(lambda df, table: write_task_output(df, f"{path}/{table}", self.task_id))
 
+    def write_tables(self, database: str) -> TaskReport:
+        """Write the three tables of a database of the catalog, partitioned by task."""
+        return self._run(lambda df, table: write_task_table(df, f"{database}.{table}", self.task_id))
+
     def write_jdbc(self, url: str, **options: str) -> TaskReport:
         """Write the three tables to a database; each table's old rows of the task are replaced in one transaction."""
         return self._run(lambda df, table: replace_task_jdbc(df, url, table, self.task_id, **options))
@@ -92,13 +96,13 @@ def main(argv: list[str] | None = None) -> TaskReport:
     """``spark-submit tidewater/plans/job.py TASK_ID --actions ... --users ... --tasks ... --out ...``
 
     Inputs are parquet paths, names of tables in the catalog (with ``--hive``: of the Hive metastore), or ``jdbc:`` addresses, whose tables are
-    user_visit_action, user_info and task. ``--out`` is a folder or a ``jdbc:`` address. ``--option driver=...`` goes to every JDBC source and sink.
+    user_visit_action, user_info and task. ``--out`` is a folder, a database of the catalog or a ``jdbc:`` address. ``--option driver=...`` goes to every JDBC source and sink.
     """
     a = argparse.ArgumentParser(description="Run one task and write its three tables.")
     a.add_argument("task_id", type=int)
     for name in ("actions", "users", "tasks"):
         a.add_argument(f"--{name}", required=True, help="parquet path, table name or JDBC address")
-    a.add_argument("--out", required=True, help="folder or JDBC address of the results")
+    a.add_argument("--out", required=True, help="folder, database or JDBC address of the results")
     a.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="JDBC option, such as driver, user, password")
     a.add_argument("--hive", action="store_true", help="read tables of the Hive metastore")
     a.add_argument("--total", type=int, default=100)
@@ -108,7 +112,10 @@ def main(argv: list[str] | None = None) -> TaskReport:
     spark, options = builder.getOrCreate(), dict(o.split("=", 1) for o in x.option)
     actions, users, tasks = (read_source(spark, at, table, **options) for at, table in ((x.actions, "user_visit_action"), (x.users, "user_info"), (x.tasks, "task")))
     result = run_task(actions, users, tasks, x.task_id, x.total, x.seed)
-    report = result.write_jdbc(x.out, **options) if x.out.startswith("jdbc:") else result.write(x.out)
+    if x.out.startswith("jdbc:"):
+        report = result.write_jdbc(x.out, **options)
+    else:
+        report = result.write(x.out) if "/" in x.out else result.write_tables(x.out)
     print(report)
     return report
 

@@ -22,15 +22,18 @@ def write_task_output(df: DataFrame, path: str, task_id: int) -> int:
     return n
 
 
-def write_task_table(df: DataFrame, table: str, task_id: int) -> None:
-    """The same for a table of the catalog that is partitioned by ``task_id``: a static overwrite of the task's partition, also by no rows."""
+def write_task_table(df: DataFrame, table: str, task_id: int) -> int:
+    """The same for a table of the catalog, partitioned by ``task_id``: a static overwrite of the task's partition, also by no rows. The table is created where it is missing."""
     spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        df.limit(0).withColumn("task_id", F.lit(task_id).cast("int")).write.format("parquet").partitionBy("task_id").saveAsTable(table)
     columns = [c for c in spark.table(table).columns if c != "task_id"]
     df.select(*columns).createOrReplaceTempView(view := f"rows_{uuid.uuid4().hex}")
     try:
         spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (task_id = {int(task_id)}) SELECT * FROM {view}")
     finally:
         spark.catalog.dropTempView(view)
+    return spark.table(table).where(F.col("task_id") == task_id).count()  # of one partition, from its files' footers
 
 
 def replace_task_jdbc(df: DataFrame, url: str, table: str, task_id: int, batch_size: int = 1000, **options: str) -> int:

@@ -671,7 +671,8 @@ def test_ratios_equal_brute_force(spark):
     rows = spark.createDataFrame(list(zip(texts, labels, kept)), "text string, toxic int, kept boolean").repartition(3)
     new = ["never seen groxish abé", "abq ab ab grox grox b", "the END x"]
     wanted = [toxicity.Discounts(3.0, 2.0, 6.0), toxicity.Discounts(0.75, 1.5, 1.0)]
-    made = [(c, d, some) for d, fits in zip(wanted, toxicity.counted(rows, *wanted)) for c, some in zip(fits, ([i for i in range(60) if not kept[i]], range(60)))]
+    make = toxicity.counted(rows, tuple(wanted))
+    made = [(make(fit, d), d, some) for d in wanted for fit, some in enumerate(([i for i in range(60) if not kept[i]], range(60)))]
     for counts, d, some in made:  # tables are read once for all discounts and both fits
         model = toxicity.ratios(counts)
         b = Brute([texts[i] for i in some], [labels[i] for i in some], d)

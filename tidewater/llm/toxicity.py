@@ -26,7 +26,7 @@ labels of both classes every score is the share of toxic labels (0.5 without lab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -332,13 +332,12 @@ def _joined(each: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 FITS = (("t", "o"), ("at", "ao"))  # without the quarter kept back, and with it
 
 
-def counted(rows: DataFrame, discounts: Discounts = DISCOUNTS[0], *more: Discounts) -> list[tuple[Counts, Counts]]:
-    """For each of the discounts, counts from labelled texts (text, toxic, kept): of those not kept back, and of all.
+def counted(rows: DataFrame, wanted: tuple[Discounts, ...] = DISCOUNTS) -> Callable[[int, Discounts], Counts]:
+    """Counts from labelled texts (text, toxic, kept), as a function of the fit (0: of those not kept back, 1: of all) and of one of the discounts.
 
     Distinct runs of three words give the words before a pair, distinct pairs those before a word; everything is summed before it reaches the driver,
     as are byte runs. Pairs that all discounts take whole stay behind. Each table is read once, whatever is made of it.
     """
-    wanted = (discounts, *more)
     each = lambda f, cols=FLAGS: [f(c).alias(c) for c in cols]
     four = ("t", "o", "at", "ao")
     three = rows.mapInArrow(_grams, "three long, pair long, h long, w long, t byte, o byte, kt byte, ko byte").groupBy("three", "pair", "h", "w").agg(*each(F.max))
@@ -359,10 +358,13 @@ def counted(rows: DataFrame, discounts: Discounts = DISCOUNTS[0], *more: Discoun
     sums = [(c, d) for c in four for d in sorted({d.word for d in wanted})]
     total = by_word.agg(*(F.coalesce(f, F.lit(0)).cast("double") for f in (*map(F.sum, four), *(left(c, d) for c, d in sums)))).first()
     total = dict(zip([*four, *sums], total, strict=True))
-    tables = [(t := df.toArrow()).take(pa.array(np.argsort(_hashes(t, key)))) for df, key in ((words_, "w"), (by_run.withColumnsRenamed({"kt": "at", "ko": "ao"}), "run"), (pairs, "pair"), (histories, "h"))]
+    by_run = by_run.withColumnsRenamed({"kt": "at", "ko": "ao"})
+    tables = [(t := df.withColumns({c: F.col(c).cast("int") for c in four}).toArrow()).take(pa.array(np.argsort(_hashes(t, key)))) for df, key in ((words_, "w"), (by_run, "run"), (pairs, "pair"), (histories, "h"))]
+    del t
     discard(found, by_word)
 
-    def made(t: str, o: str, d: Discounts) -> Counts:
+    def made(fit: int, d: Discounts) -> Counts:
+        t, o = FITS[fit]
         counts = lambda got, *cols: np.column_stack([got[c].to_numpy() for c in cols]).astype(float)
         w, r, p, h = (got.filter(pa.array(counts(got, t, o).any(axis=1))) for got in tables)
         data, starts, ends = _joined(w["bytes"].to_pylist())
@@ -371,7 +373,7 @@ def counted(rows: DataFrame, discounts: Discounts = DISCOUNTS[0], *more: Discoun
             _hashes(p, "pair"), _hashes(p, "h"), _hashes(p, "w"), counts(p, t, o), _hashes(h, "h"), counts(h, t, o), counts(h, kept[t, d.pair], kept[o, d.pair]), d,
         )
 
-    return [tuple(made(t, o, d) for t, o in FITS) for d in wanted]
+    return made
 
 
 def _hashes(table: pa.Table, column: str) -> np.ndarray:
@@ -391,8 +393,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, discounts: tup
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = materialize(rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("kept")), "toxicity-sample")
     best = None
-    for first, every in counted(rows, *discounts):
-        sent = docs.sparkSession.sparkContext.broadcast(ratios(first))
+    made = counted(rows, discounts)
+    for d in discounts:  # one fit at a time is held
+        sent = docs.sparkSession.sparkContext.broadcast(ratios(made(0, d)))
 
         def weigh(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -406,9 +409,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, discounts: tup
         weights = curve(evidence, label)
         now = loss(evidence, label, weights)
         if best is None or now < best[0]:
-            best = now, every, weights
+            best = now, d, weights
     discard(rows)
-    return ratios(best[1])._replace(curve=best[2])
+    return ratios(made(1, best[1]))._replace(curve=best[2])
 
 
 def score(text: Column, model: Model) -> Column:

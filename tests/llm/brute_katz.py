@@ -52,8 +52,10 @@ def brute(docs):
     out = []
     for i, ws in seq:
         base = sum(log10((c[w] + 1) / (total + kinds + 1)) for w in ws)
-        score = sum(log10(p2(h, w)) for h, w in zip(["<s>", *ws[:-1]], ws))
-        out.append((i, held(i), len(ws), sum(c[w] > 0 for w in ws), total, base, score))
+        own = list(zip(["<s>", *ws[:-1]], ws))
+        score = sum(log10(p2(h, w)) for h, w in own)
+        new = sum(pair[x] <= (not held(i)) for x in own) / len(ws)
+        out.append((i, held(i), len(ws), sum(c[w] > 0 for w in ws), total, base, score, sum(not pair[x] for x in own), new))
     return out, p2, c
 
 

@@ -356,7 +356,10 @@ def test_katz_degenerate(spark):
     assert katz.scores(docs(spark, []), F.lit(False)).count() == 0
     check_katz(spark, [(None, None)])
     r = katz.scores(docs(spark, [(1, "a b")]), F.lit(True)).first()
-    assert (r.train_tokens, r.n_known, r.held_out) == (0, 0, True)
+    assert (r.train_tokens, r.n_known, r.held_out, r.n_backoff, r.novelty) == (0, 0, True, 3, 1)
+    rows = [(1, "a b c d"), (2, "a b c d"), (3, "e f g h"), (4, "a b x"), (5, None), (6, "")]
+    got = {r.doc_id: (r.n_backoff, r.novelty) for r in katz.scores(docs(spark, rows), F.col("doc_id") == 4).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (0, 1), 4: (2, 0.5), 5: (0, 0), 6: (0, 0)}
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])

@@ -409,11 +409,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names[n > 1].view(np.int64)), pa.array(n[n > 1])], ["w", "n"])
 
 
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_backoff long, novelty double"
 
 
 def scores(docs: DataFrame, held_out: Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; training is on those not held out.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_backoff, novelty) of every document; training is on those not held out.
+
+    n_backoff: tokens whose pair training lacks. novelty: share of tokens whose pair no other occurrence in training vouches for; a
+    training document's own occurrence is not counted, so a text that stands there twice has 0, and one of unseen pairs 1.
 
     ``docs`` (doc_id, text) is read three times and a sample of it twice: it should be a stored table.
     """
@@ -500,6 +503,7 @@ def _final(rows: list[tuple[int, int, list[np.ndarray]]], k: Constants) -> pa.Re
     ids, null, held, size = next(a for kind, _, a in rows if kind == ROWS)
     n = len(ids)
     known, base, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    unseen, once = np.zeros(n, np.int64), np.zeros(n, np.int64)
     d_pair = np.log10(np.concatenate(([1.0], k.pair, [BIG])))
     # an unseen pair's word: its whole log-probability, or (frequent words) what its count leaves open
     lower = np.log10(np.concatenate(([k.unknown], k.word * np.arange(1, TOP + 1) / max(k.total, 1), [BIG / max(k.total, 1)])))
@@ -509,12 +513,15 @@ def _final(rows: list[tuple[int, int, list[np.ndarray]]], k: Constants) -> pa.Re
             base[at] += a[1]
             score[at] += a[2] + np.column_stack(a[4 : 4 + CLASSES]) @ d_pair + np.column_stack(a[4 + CLASSES :]) @ lower
             known[at] += a[3].astype(np.int64)
+            unseen[at] += sum(x.astype(np.int64) for x in a[4 + CLASSES :])
+            once[at] += a[5]
         elif kind == ANSWER:
             score[a[0]] += a[1]
     base -= size * np.log10(k.total + k.kinds + 1)
     if k.docs:
         score -= np.log10(k.docs)  # the first word's history
+    novelty = (unseen + np.where(held, 0, once)) / size
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, mask=null), pa.array(held), pa.array(size), pa.array(known), pa.array(np.full(n, k.total, np.int64)), pa.array(base), pa.array(score)],
+        [pa.array(ids, mask=null), pa.array(held), pa.array(size), pa.array(known), pa.array(np.full(n, k.total, np.int64)), pa.array(base), pa.array(score), pa.array(unseen), pa.array(novelty)],
         [c.split()[0] for c in OUT.split(", ")],
     )

@@ -6,7 +6,7 @@ sum to exactly one: alpha(h) = (1 - sum of d_r r / c(h)) / (1 - sum of P(w)), bo
 never seen has alpha 1.
 
 How it runs. A task turns its texts into (previous word, word) pairs and deals them in compact blocks to buckets by word: all of a word's
-occurrences, training or not, meet in one bucket, which so holds exact counts c(w) and r and adds up each document's share of the
+occurrences, training or not, meet in one bucket (a block names no more documents than it has pairs), which so holds exact counts c(w) and r and adds up each document's share of the
 score. Buckets pass on, by history, what alpha(h) needs, and which documents need alpha(h). Discounts are
 a few constants found from counts of counts over all buckets; everything is arranged so that they are applied last. The n-gram tables are
 these buckets: they are partitioned by word, then by history, and never whole in one place.
@@ -139,10 +139,11 @@ class Shares:
         for into, which, count in ((self.seen, yes, r), (self.unseen, ~yes, c)):
             into += np.bincount(d[which] * CLASSES + np.minimum(count[which], TOP + 1), minlength=n * CLASSES).reshape(n, CLASSES)
 
-    def block(self) -> bytes:
+    def block(self, row_of: np.ndarray | None = None) -> bytes:
+        """Those of documents that have any; ``row_of``: their rows in the batch, if not all of it is here."""
         rows = np.flatnonzero(self.seen.sum(1) + self.unseen.sum(1))
         counts = [small(np.ascontiguousarray(m[rows, i])) for m in (self.seen, self.unseen) for i in range(CLASSES)]
-        return pack(small(rows), self.base[rows], self.katz[rows], small(self.known[rows]), *counts)
+        return pack(small(rows if row_of is None else row_of[rows]), self.base[rows], self.katz[rows], small(self.known[rows]), *counts)
 
 
 def deal(docs: DataFrame, held_out: Column, hot: Hot, buckets: int) -> DataFrame:
@@ -173,13 +174,18 @@ def deal(docs: DataFrame, held_out: Column, hot: Hot, buckets: int) -> DataFrame
         by *= np.uint64(buckets)
         by >>= np.uint64(32)
         cuts = np.searchsorted(by, np.arange(buckets + 1, dtype=np.uint64))
-        bits = np.packbits(held)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[b], cuts[b + 1])
             names, back = np.unique(np.concatenate((w[own], before[own])), return_inverse=True)
             wi, hi = back[: cuts[b + 1] - cuts[b]], back[cuts[b + 1] - cuts[b] :]
             o = np.argsort(wi * len(names) + hi)
-            yield DEALT, batch, b, pack(names, small(np.bincount(wi, minlength=len(names))), small(hi[o]), small(d[own][o]), bits)
+            own = d[own][o]
+            rows, at = np.unique(own, return_inverse=True)
+            if 2 * len(rows) > n:  # most documents of the batch: by their rows there, none is named
+                rows, at, flags = rows[:0], own, held
+            else:
+                flags = held[rows]
+            yield DEALT, batch, b, pack(names, small(np.bincount(wi, minlength=len(names))), small(hi[o]), small(at), small(rows), np.packbits(flags))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -204,17 +210,18 @@ def deal(docs: DataFrame, held_out: Column, hot: Hot, buckets: int) -> DataFrame
 
 def score_bucket(blocks: list[tuple[int, list[np.ndarray]]], hot: Hot, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
     """All that follows from one bucket's pairs."""
-    w, before, doc, held, start = [], [], [], [], [0]
+    w, before, doc, held, row_of, start = [], [], [], [], [], [0]
     batches = [b for b, _ in blocks]
-    for _, (names, count, hi, d, bits) in blocks:
+    for _, (names, count, hi, d, rows, bits) in blocks:
         w.append(np.repeat(names, count))
         before.append(names[hi])
         doc.append(d.astype(np.int32) + np.int32(start[-1]))
-        flags = np.unpackbits(bits).astype(bool)
+        flags = np.unpackbits(bits, count=len(rows) or None).astype(bool)
         held.append(flags)
+        row_of.append(rows.astype(np.int32) if len(rows) else np.arange(len(flags), dtype=np.int32))
         start.append(start[-1] + len(flags))
     blocks.clear()
-    w, before, doc, held = np.concatenate(w), np.concatenate(before), np.concatenate(doc), np.concatenate(held)
+    w, before, doc, held, row_of = np.concatenate(w), np.concatenate(before), np.concatenate(doc), np.concatenate(held), np.concatenate(row_of)
     train = ~held[doc]
     names, which = np.unique(w, return_inverse=True)
     c_of = np.bincount(which[train], minlength=len(names))
@@ -237,7 +244,7 @@ def score_bucket(blocks: list[tuple[int, list[np.ndarray]]], hot: Hot, buckets:
         a, b = np.searchsorted(doc, (start[i], start[i + 1]))
         shares = Shares(start[i + 1] - start[i])
         shares.add(doc[a:b].astype(np.int64) - start[i], end[a:b], c[a:b], r[a:b])
-        yield LOCAL, batch, home_of(batch, buckets), shares.block()
+        yield LOCAL, batch, home_of(batch, buckets), shares.block(row_of[start[i] : start[i + 1]])
 
     # by history: pairs by class of r, the sum of larger r, words by class of c, the sum of larger c
     seen = np.flatnonzero(r_of > 0)
@@ -254,7 +261,7 @@ def score_bucket(blocks: list[tuple[int, list[np.ndarray]]], hot: Hot, buckets:
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         x = need[cuts[p] : cuts[p + 1]]
         source = np.searchsorted(first, doc[x], "right") - 1
-        yield REQUEST, 0, p, pack(before[x], batches[np.unique(source)], small(np.bincount(source, minlength=len(batches))[np.unique(source)]), small(doc[x] - first[source]))
+        yield REQUEST, 0, p, pack(before[x], batches[np.unique(source)], small(np.bincount(source, minlength=len(batches))[np.unique(source)]), small(row_of[doc[x]]))
 
 
 def histories(h: np.ndarray, r: np.ndarray, c: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:

@@ -228,13 +228,15 @@ def score_bucket(blocks: list[tuple[int, list[np.ndarray]]], hot: Hot, buckets:
     is_hot, at = find(hot.word, names)
     c_of[is_hot] = hot.word_count[at[is_hot]]
     own = c_of[~is_hot]
-    c, end, pair = c_of[which], w == END, words.paired(before, w)
-    del w, which
+    which, end, pair = which.astype(np.int32), w == END, words.paired(before, w)
+    del w
     _, one, by_pair = np.unique(pair, return_index=True, return_inverse=True)
     del pair
     r_of = np.bincount(by_pair[train], minlength=len(one))
     r = r_of[by_pair]
     del by_pair, train
+    c = c_of[which]
+    del which
 
     # counts of counts: words (hot ones are counted elsewhere), pairs; words known
     tally = lambda x: np.bincount(np.minimum(x[x > 0], TOP + 2), minlength=TOP + 3)
@@ -249,6 +251,7 @@ def score_bucket(blocks: list[tuple[int, list[np.ndarray]]], hot: Hot, buckets:
     # by history: pairs by class of r, the sum of larger r, words by class of c, the sum of larger c
     seen = np.flatnonzero(r_of > 0)
     h, rs, cs = before[one[seen]], r_of[seen], c[one[seen]]
+    del c, end, seen, one, r_of
     yield from histories(h, rs, cs, buckets)
 
     need = np.flatnonzero(r == 0)
@@ -266,15 +269,19 @@ def score_bucket(blocks: list[tuple[int, list[np.ndarray]]], hot: Hot, buckets:
 
 def histories(h: np.ndarray, r: np.ndarray, c: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
     """``HISTORY`` blocks of seen pairs (history, r, c of the word), by the history's part."""
-    names, back = np.unique(h, return_inverse=True)
-    part = ((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.searchsorted(part, np.arange(buckets + 1, dtype=np.uint64))
-    count = lambda x, k: np.bincount(back[x == k], minlength=len(names))
-    big = lambda x: np.bincount(back, np.where(x > TOP, x, 0), len(names)).astype(np.int64)
-    columns = [*(count(r, k) for k in range(1, TOP + 1)), big(r), *(count(c, k) for k in range(1, TOP + 1)), big(c)]
+    order = np.argsort(h)
+    h, r, c = h[order], r[order], c[order]
+    del order
+    lowest = ((np.arange(buckets, dtype=np.uint64) << np.uint64(32)) + np.uint64(buckets - 1)) // np.uint64(buckets) << np.uint64(32)  # hash of each part
+    cuts = np.append(np.searchsorted(h, lowest), len(h))
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         own = slice(cuts[p], cuts[p + 1])
-        yield HISTORY, 0, p, pack(names[own], *(small(x[own]) for x in columns))
+        names, back = np.unique(h[own], return_inverse=True)
+        columns = []
+        for x in (r[own], c[own]):
+            columns += [np.bincount(back[x == k], minlength=len(names)) for k in range(1, TOP + 1)]
+            columns.append(np.bincount(back, np.where(x > TOP, x, 0), len(names)).astype(np.int64))
+        yield HISTORY, 0, p, pack(names, *map(small, columns))
 
 
 def good_turing(n: np.ndarray) -> np.ndarray:
@@ -338,16 +345,16 @@ def answer(stats: list[list[np.ndarray]], requests: list[list[np.ndarray]], k: C
 
 def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple[int, int, list[np.ndarray]]]]:
     """Runs of rows of equal column ``by`` as (kind, key, arrays)."""
-    held, at = [], None
+    groups, at = [[]], None  # the last one is taken out of the list, so only its reader holds it
     for b in batches:
         for x, kind, key, block in zip(b.column(by).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
-            if held and x != at:
-                yield held
-                held = []
+            if groups[0] and x != at:
+                yield groups.pop()
+                groups.append([])
             at = x
-            held.append((kind, key, [a.copy() for a in unpack(block)]))
-    if held:
-        yield held
+            groups[0].append((kind, key, [a.copy() for a in unpack(block)]))
+    if groups[0]:
+        yield groups.pop()
 
 
 def _hot(docs: DataFrame, training: Column) -> tuple[Hot, int, int]:

@@ -697,6 +697,25 @@ def test_discounts_are_chosen_on_training_rows(spark):
         assert np.allclose(got.curve, want.curve) and len(got.word.key) == len(want.word.key)
 
 
+def test_files_of_the_sample_do_not_follow_the_documents_splits(spark, monkeypatch):
+    texts, labels = small_corpus(6)
+    df = docs(spark, list(enumerate(texts)))
+    train = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    want = toxicity.fit(df.coalesce(1), train)
+    stored, write = [], toxicity.materialize
+
+    def seen(df, name):
+        out = write(df, name)
+        if name == "toxicity-sample":
+            stored.append((len(out.inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(toxicity, "materialize", seen)
+    got = toxicity.fit(df.repartition(60), train)
+    assert [n for _, n in stored] == [60] and stored[0][0] <= toxicity.FILES
+    assert np.allclose(got.curve, want.curve) and all(np.array_equal(g.key, w.key) and np.allclose(g.ratio, w.ratio) for g, w in zip(got[:5], want[:5]))
+
+
 def test_without_labels(spark):
     df = docs(spark, [(1, "some words"), (2, None)])
     model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))

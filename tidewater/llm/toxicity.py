@@ -41,6 +41,7 @@ from tidewater.sources.scratch import discard, materialize
 ORDER = 7
 DISCOUNT = 0.75  # of counts of both classes
 SAMPLE = 8_000
+FILES = 16  # of the sample's texts
 WEIGHT = 2.0
 THRESHOLD = 0.7
 START = np.uint64(0x3C79AC492BA7B653)  # stands for the word before the first
@@ -391,7 +392,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, discounts: tup
     bounded_batches(docs.sparkSession)
     ids = sample_of(labels, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = materialize(rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("kept")), "toxicity-sample")
+    rows = rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("kept"))
+    rows = materialize(rows.repartition(FILES), "toxicity-sample")  # else a file, and a task in each pass, follow every split of the documents
     best = None
     made = counted(rows, discounts)
     for d in discounts:  # one fit at a time is held
